@@ -13,9 +13,11 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, ascii_lower, read, words
+from millrace.llm.common import read, words
 from millrace.storage import materialize
 
+#: The same words before lower-casing.
+CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: The most windows that are broadcast.
 MAX_BROADCAST_WINDOWS = 200_000
@@ -119,7 +121,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """All columns of docs; hit words, each with the characters up to the next word, are cut out of the text."""
     scanned, hits = find_hits(docs, benchmark, text_col, keep=tuple(docs.columns), window=window)
     old = F.col("row")[text_col]
-    pieces = scanned.join(hits.select("rid", "spans"), "rid", "left").select("row", "spans", F.regexp_extract_all(old, F.lit(WORD), 0).alias("words"), F.split(old, WORD, -1).alias("gaps"))
+    pieces = scanned.join(hits.select("rid", "spans"), "rid", "left").select("row", "spans", F.regexp_extract_all(old, F.lit(CASED_WORD), 0).alias("words"), F.split(old, CASED_WORD, -1).alias("gaps"))
     hit = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["len"] - 1))))
     stay = F.array_except(F.sequence(F.lit(0), F.size("words") - 1), hit)
     cut = F.concat(F.col("gaps")[0], F.array_join(F.transform(stay, lambda i: F.concat(F.col("words")[i], F.col("gaps")[i + 1])), ""))
