@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontamination, exact_dedup, line_dedup
+from millrace.llm import byte_bpe, decontamination, exact_dedup, kd_sharding, line_dedup
 
 QUERIES = {
+    "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op4_decontaminate": decontamination.op4_decontaminate,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op7_kd_sharding": kd_sharding.op7_kd_sharding,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import decontamination, exact_dedup, line_dedup
+from millrace.llm.common import WORD
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LINE = "This line is long enough to be counted, it has over forty characters."
@@ -79,7 +80,7 @@ DOCS = [
 
 
 def brute_hits(text, bench):
-    words = lambda t: re.findall(decontamination.WORD, (t or "").translate(LOW))
+    words = lambda t: re.findall(WORD, (t or "").translate(LOW))
     w, hit, items = words(text), set(), set()
     for item, t in bench:
         b = words(t)
