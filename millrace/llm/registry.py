@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import byte_bpe, decontamination, exact_dedup, kd_sharding, line_dedup
+from millrace.llm import byte_bpe, decontamination, exact_dedup, kd_sharding, line_dedup, quality_cnn
 
 QUERIES = {
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op4_decontaminate": decontamination.op4_decontaminate,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_kd_sharding": kd_sharding.op7_kd_sharding,
+    "op9_quality_classifier": quality_cnn.op9_quality_classifier,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
