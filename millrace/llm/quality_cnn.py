@@ -77,7 +77,7 @@ class Network:
         pooled, top, best, flat = self.pooled(chunks, grad=True)
         h = self.hidden(pooled)
         counts = np.bincount(owner, minlength=docs).astype(np.float32)[:, None]
-        mean, most = np.zeros((docs, HIDDEN), np.float32), np.full((docs, HIDDEN), -2, np.float32)
+        mean, most = np.zeros((docs, HIDDEN), h.dtype), np.full((docs, HIDDEN), -2, h.dtype)
         np.add.at(mean, owner, h)
         mean /= counts
         np.maximum.at(most, owner, h)
