@@ -34,3 +34,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def task_count(spark: SparkSession, rows: int, per_task: int) -> int:
     """Tasks so that none gets more than per_task rows, and no fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of rows with their groups (one row for each key; `size` is how many rows it has of `total`).
+
+    The groups with over a thousandth of the rows, about HOT_SHARE at most, are broadcast; the rest are shuffled, where
+    no key has more rows than that. Both inputs are read twice: pass tables.
+    """
+    hot = groups.filter(F.col(size) > max(1, total // HOT_SHARE))
+    warm = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(groups, on)
+    return rows.join(F.broadcast(hot), on).unionByName(warm)

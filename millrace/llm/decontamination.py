@@ -100,6 +100,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", kee
     return scanned.drop("likely"), hits
 
 
+def _contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (n_hit * 20 >= n_words)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per input row: id, n_words, n_hit, n_items, items (sorted as strings), contaminated.
 
@@ -113,7 +117,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n_hit = F.coalesce(_covered(F.col("spans")), F.lit(0).cast("long"))
     items = F.array_sort(F.coalesce(F.col("items"), F.array().cast("array<string>")))
     return scanned.join(hits, "rid", "left").select(F.col("row.id").alias(id_col), "n_words", n_hit.alias("n_hit"), items.alias("items")).select(
-        id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated")
+        id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", _contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated")
     )
 
 
@@ -128,6 +132,14 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     return pieces.select(F.col("row").withField(text_col, F.when(F.col("spans").isNull(), old).otherwise(cut)).alias("row")).select("row.*")
 
 
+def remove_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of docs that are not contaminated, all columns kept."""
+    scanned, hits = find_hits(docs, benchmark, text_col, keep=tuple(docs.columns), window=window)
+    covered = hits.select("rid", _covered(F.col("spans")).alias("n_hit"))
+    bad = scanned.select("rid", "n_words").join(covered, "rid").filter(_contaminated(F.col("n_hit"), F.col("n_words"))).select("rid")
+    return scanned.join(bad, "rid", "left_anti").select("row.*")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

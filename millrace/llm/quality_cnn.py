@@ -201,6 +201,17 @@ def classify(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD,
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score at least the threshold, all columns kept; all of them without a network."""
+    if net is None:
+        return docs
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(score_texts(net, [(t or "").encode() for t in texts]).astype(float))
+
+    return docs.filter(F.pandas_udf(run, "double")(F.col(text_col)) >= threshold)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return classify(docs, fit(docs, read(spark, sf_dir, "labels"), "quality"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from millrace.llm import byte_bpe, decontamination, exact_dedup, kd_sharding, line_dedup, quality_cnn
+import corpus_pipeline
+from millrace.llm import byte_bpe, dart_minhash, decontamination, exact_dedup, kd_sharding, line_dedup, quality_cnn
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op4_decontaminate": decontamination.op4_decontaminate,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_dart_minhash": dart_minhash.op6_dart_minhash,
     "op7_kd_sharding": kd_sharding.op7_kd_sharding,
     "op9_quality_classifier": quality_cnn.op9_quality_classifier,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
