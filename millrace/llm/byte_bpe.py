@@ -28,26 +28,27 @@ from millrace.llm.common import read
 #: Pieces of more bytes are merged with a heap instead: each contraction would scan the whole piece.
 SQL_BYTES = 400
 #: Encoded pieces that a worker remembers, and tokens of one decoding query.
-MEMORY_PIECES = 200_000
-SLICE_TOKENS = 400_000
-SLICE_CHARS = 1_000_000
+MEMORY_PIECES = 600_000
+SLICE_TOKENS = 500_000
+SLICE_CHARS = 2_000_000
 
+#: A row is a token: spot = piece << 10 | first byte, e = the byte behind it. A pair's key is rank << 30 | first byte of the
+#: left token << 20 | first byte of the right << 10 | byte behind both, so that the least key is the leftmost pair of the
+#: least rank.
 MERGE = """
-WITH RECURSIVE step(w, p, t, live) AS (
-  SELECT w, p, t, true FROM start
+WITH RECURSIVE step(spot, e, t, live) AS (
+  SELECT spot, e, t, true FROM start
   UNION ALL
-  SELECT w, p, CASE WHEN k = best THEN (best >> 32)::INTEGER ELSE t END, best IS NOT NULL
-  FROM (
-    SELECT *, min(k) OVER (PARTITION BY w) AS best, lag(k) OVER (PARTITION BY w ORDER BY p) AS before
-    FROM (
-      SELECT s.w, s.p, s.t, (m.rank::BIGINT << 32) | s.p AS k
-      FROM (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS next FROM step WHERE live) s
-      LEFT JOIN merges m ON m.l = s.t AND m.r = s.next
-    )
-  )
-  WHERE best IS NULL OR before IS DISTINCT FROM best
+  SELECT s.spot, CASE WHEN s.spot & 1023 = (k >> 20) & 1023 THEN k & 1023 ELSE s.e END,
+         CASE WHEN s.spot & 1023 = (k >> 20) & 1023 THEN k >> 30 ELSE s.t END, k IS NOT NULL
+  FROM step s LEFT JOIN (
+    SELECT l.spot >> 10 AS w, min((m.rank << 30) | ((l.spot & 1023) << 20) | (l.e << 10) | r.e) AS k
+    FROM step l JOIN step r ON r.spot = (l.spot >> 10 << 10) + l.e JOIN merges m ON m.pair = (l.t << 16) | r.t
+    WHERE l.live GROUP BY 1
+  ) b ON b.w = s.spot >> 10
+  WHERE s.live AND (k IS NULL OR s.spot & 1023 <> (k >> 10) & 1023)
 )
-SELECT w, list(t ORDER BY p) AS ids FROM step WHERE NOT live GROUP BY w
+SELECT spot >> 10 AS w, list(t ORDER BY spot) AS ids FROM step WHERE NOT live GROUP BY 1
 """
 DECODE = "SELECT d, string_agg(v.chars, '' ORDER BY i.p) AS chars FROM ids i JOIN vocab v USING (id) GROUP BY d"
 
@@ -81,7 +82,7 @@ class Coder:
         self.memory: dict[str, bytes] = {}
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         left, right, rank = ranks.merges
-        self._table("merges", {"l": left, "r": right, "rank": rank})
+        self._table("merges", {"pair": (left.astype(np.int64) << 16) | right, "rank": rank.astype(np.int64)})
         tokens = list(ranks.ids)
         self._table("vocab", {"id": np.array(list(ranks.ids.values()), dtype=np.int32), "chars": pa.array([t.decode("latin-1") for t in tokens])})
         self.byte_ids = np.array([ranks.ids[bytes([b])] for b in range(256)], dtype=np.int32)
@@ -136,30 +137,49 @@ class Coder:
             sizes = np.array([len(raw) for _, raw in part])
             first = np.repeat(np.cumsum(sizes) - sizes, sizes)
             flat = np.frombuffer(b"".join(raw for _, raw in part), dtype=np.uint8)
-            rows = pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "p": (np.arange(len(flat)) - first).astype(np.int32), "t": self.byte_ids[flat]})
+            place = np.arange(len(flat)) - first
+            rows = pa.table({"spot": (np.repeat(np.arange(len(part)), sizes) << 10) | place, "e": place + 1, "t": self.byte_ids[flat].astype(np.int64)})
             self.db.register("start", rows)
-            out = self.db.execute(MERGE).to_arrow_table()
+            out = self.db.sql(MERGE).to_arrow_table()
             self.db.unregister("start")
             lists = out.column("ids").combine_chunks()
             values, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
             for w, a, b in zip(out.column("w").to_pylist(), offsets[:-1], offsets[1:], strict=True):
                 self.memory[part[w][0]] = values[a:b].tobytes()
 
-    def encode(self, text: str) -> Iterator[bytes]:
-        """Ids as little-endian unsigned 32-bit integers, in slices."""
+    def cut(self, text: str) -> Iterator[list[str]]:
+        """The text's pieces, in slices."""
         if len(text) <= SLICE_CHARS:
-            slices = iter([self.find.findall(text)])
+            yield self.find.findall(text)
         else:
             found = self.find.finditer(text)
-            slices = iter(lambda: [m[0] for m in itertools.islice(found, SLICE_CHARS // 4)], [])
-        for pieces in slices:
-            try:
-                yield b"".join(map(self.memory.__getitem__, pieces))
-            except KeyError:
-                if len(self.memory) > MEMORY_PIECES:
-                    self.memory.clear()
-                self.learn({x for x in pieces if x not in self.memory})
-                yield b"".join(map(self.memory.__getitem__, pieces))
+            while part := [m[0] for m in itertools.islice(found, SLICE_CHARS // 4)]:
+                yield part
+
+    def encode(self, texts: Iterable[str]) -> Iterator[tuple[int, bytes]]:
+        """(number of the text, ids as little-endian unsigned 32-bit integers) of each slice of each text, in order.
+
+        Slices are gathered to about SLICE_CHARS characters, so that one query encodes all their new pieces.
+        """
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for at, pieces in ((at, x) for at, text in enumerate(texts) for x in self.cut(text)):
+            held.append((at, pieces))
+            size += sum(map(len, pieces))
+            if size >= SLICE_CHARS:
+                yield from self._joined(held)
+                held, size = [], 0
+        yield from self._joined(held)
+
+    def _joined(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, bytes]]:
+        distinct = set().union(*(pieces for _, pieces in held))
+        new = distinct - self.memory.keys()
+        if len(self.memory) + len(new) > MEMORY_PIECES:
+            self.memory.clear()
+            new = distinct
+        self.learn(new)
+        for at, pieces in held:
+            yield at, b"".join(map(self.memory.__getitem__, pieces))
 
     def decode(self, slices: list[np.ndarray]) -> list[bytes]:
         """The bytes of each slice of ids."""
@@ -169,7 +189,7 @@ class Coder:
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
         rows = {"d": np.repeat(np.arange(len(slices), dtype=np.int32), sizes), "p": (np.arange(sizes.sum()) - first).astype(np.int32), "id": np.concatenate(slices).astype(np.int32)}
         self.db.register("ids", pa.table(rows))
-        out = self.db.execute(DECODE).to_arrow_table()
+        out = self.db.sql(DECODE).to_arrow_table()
         self.db.unregister("ids")
         result = [b""] * len(slices)
         for d, chars in zip(out.column("d").to_pylist(), out.column("chars"), strict=True):
@@ -215,17 +235,16 @@ def _roundtrip(shared: _Shared, full: bool):
                         whole[at][0].append(ids), whole[at][1].append(raw)
                 waiting.clear()
 
-            for at, text in enumerate(batch["text"]):
-                for raw in coder.encode(text or ""):
-                    sums[at][0].update(raw)
-                    ids = np.frombuffer(raw, dtype="<u4")
-                    tokens[at] += len(ids)
-                    for start in range(0, len(ids), SLICE_TOKENS):
-                        waiting.append((at, ids[start : start + SLICE_TOKENS]))
-                        held += len(waiting[-1][1])
-                        if held >= SLICE_TOKENS:
-                            flush()
-                            held = 0
+            for at, raw in coder.encode(text or "" for text in batch["text"]):
+                sums[at][0].update(raw)
+                ids = np.frombuffer(raw, dtype="<u4")
+                tokens[at] += len(ids)
+                for start in range(0, len(ids), SLICE_TOKENS):
+                    waiting.append((at, ids[start : start + SLICE_TOKENS]))
+                    held += len(waiting[-1][1])
+                    if held >= SLICE_TOKENS:
+                        flush()
+                        held = 0
             flush()
             out = {"id": batch["id"], "n_tokens": tokens, "ids_sha256": [a.hexdigest() for a, _ in sums], "decoded_sha256": [b.hexdigest() for _, b in sums]}
             if full:
