@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import byte_bpe, dart_minhash, decontamination, exact_dedup, kd_sharding, line_dedup, quality_cnn
+from millrace.llm import byte_bpe, crf_langid, dart_minhash, decontamination, exact_dedup, kd_sharding, line_dedup, quality_cnn
 
 QUERIES = {
+    "op1_crf_langid": crf_langid.op1_crf_langid,
     "pipeline": corpus_pipeline.run,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op4_decontaminate": decontamination.op4_decontaminate,
