@@ -134,20 +134,21 @@ class Template:
         """(aligned words, coverage, first word, word behind) of each place that covers enough.
 
         A range of several windows may hold the license more than once, when its words are not unique there; so it is
-        aligned from each window that could begin it.
+        aligned from each word of the template that could begin it, and of the windows that overlap the first that
+        suffices the one with most aligned words is taken.
         """
         for a, b in self.stretches(text):
-            at = a
-            while at < b:
-                part = text[at : min(b, at + self.width)]
-                pairs = align(part, self.words)
-                if len(pairs) >= self.need:
-                    yield len(pairs), len(pairs) / len(self.words), at + pairs[0][0], at + pairs[-1][0] + 1
-                    at += pairs[-1][0] + 1
-                else:
-                    at += 1
-                    while at < b and text[at] not in self.counts:
-                        at += 1
+            at, stop, best = a, b, None
+            while at < stop:
+                pairs = align(text[at : min(b, at + self.width)], self.words) if text[at] in self.counts else []
+                if len(pairs) >= self.need and (best is None or len(pairs) > best[0]):
+                    if best is None:
+                        stop = min(b, at + pairs[-1][0] + 1)
+                    best = (len(pairs), len(pairs) / len(self.words), at + pairs[0][0], at + pairs[-1][0] + 1)
+                at += 1
+                if best and (at == stop or best[0] == len(self.words)):
+                    yield best
+                    at, stop, best = best[3], b, None
 
 
 class Scanner:
