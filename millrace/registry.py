@@ -1,6 +1,5 @@
 """All queries of the engine with their DuckDB statements."""
 
-from __future__ import annotations
+from millrace.plans.queries import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["ORACLES", "QUERIES"]
