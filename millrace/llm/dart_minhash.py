@@ -196,21 +196,47 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInPandas(_verified, "u long, v long")
 
 
-def _likely_pairs(block: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of nodes of different components whose marks mostly agree; in a mixed block only pairs across its two sides."""
+def _block_links(block: pd.DataFrame) -> pd.DataFrame:
+    """Links between nodes of different components in a block or between its two sides, as a forest: no link that earlier ones imply.
+
+    A pair is looked at in the bucket of its first common band only, and by text only if its marks mostly agree; pairs
+    that agree most come first, so that most of the others are already connected.
+    """
+    block = block.sort_values("rid")
     marks = np.stack([np.frombuffer(m, dtype="<u2") for m in block["marks"]])
-    rid, label, side = (block[c].to_numpy() for c in ("rid", "label", "side"))
-    mixed = block["i"].iloc[0] != block["j"].iloc[0]
-    us, vs = [], []
+    rid, label, side, texts = (block[c].to_numpy() for c in ("rid", "label", "side", "text"))
+    band, mixed, one = int(block["band"].iloc[0]), block["i"].iloc[0] != block["j"].iloc[0], block["i"].iloc[0]
+    found = []
     for at in range(len(rid)):
-        if mixed and side[at] != block["i"].iloc[0]:
+        if mixed and side[at] != one:
+            continue
+        other = np.flatnonzero((label != label[at]) & ((side != side[at]) if mixed else (np.arange(len(rid)) > at)))
+        same = marks[other] == marks[at]
+        share = same.mean(axis=1)
+        good = share >= LIKELY
+        other, share, same = other[good], share[good], same[good]
+        first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        found += [(-s, at, int(o)) for s, o in zip(share[first], other[first], strict=True)]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    sets: dict[int, Counter] = {}
+    out = []
+    for _, a, b in sorted(found):
+        if (x := root(label[a])) == (y := root(label[b])):
             continue
-        other = label != label[at]
-        other &= (side != side[at]) if mixed else (np.arange(len(rid)) > at)
-        found = np.flatnonzero(other)
-        found = found[(marks[found] == marks[at]).mean(axis=1) >= LIKELY]
-        us.append(np.maximum(rid[found], rid[at])), vs.append(np.minimum(rid[found], rid[at]))
-    return pd.DataFrame({"u": np.concatenate(us) if us else np.zeros(0, np.int64), "v": np.concatenate(vs) if vs else np.zeros(0, np.int64)})
+        for i in (a, b):
+            if i not in sets:
+                sets[i] = shingle_counts(texts[i])
+        if similar(sets[a], sets[b]):
+            parent[x] = y
+            out.append((rid[a], rid[b]))
+    return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -226,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     worded = rows.filter("n > 0")
     sets = materialize(worded.groupBy("c1", "c2").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"), F.max(F.struct(F.col("row")[id_col].alias("id"), "rid")).alias("top")), "dart-sets")
     nodes = sets.select("rid").join(worded.select("rid", "bands", "marks"), "rid")
-    keyed = materialize(nodes.select("rid", F.posexplode("bands").alias("band", "value")).select("rid", F.xxhash64("band", "value").alias("key")), "dart-keys")
+    keyed = materialize(nodes.select("rid", F.posexplode("bands").alias("band", "value")).select("rid", "band", F.xxhash64("band", "value").alias("key")), "dart-keys")
     buckets = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "dart-buckets")
     total = max(1, keyed.count())
     members = materialize(join_groups(keyed, buckets, ["key"], "size", total), "dart-members")
@@ -247,10 +273,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parted = materialize(tagged.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.first("size").alias("n")).filter("a <> b").select("key", "n"), "dart-parted")
     mixed = join_groups(tagged, parted, ["key"], "n", total)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    spread = mixed.join(worded.select("rid", "marks"), "rid").select("key", "rid", "label", "marks", F.pmod(F.xxhash64("rid"), blocks).cast("int").alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    spread = spread.select("key", "rid", "label", "marks", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    more = spread.groupBy("key", "i", "j").applyInPandas(_likely_pairs, "u long, v long").distinct()
-    more = materialize(_verify(more, texts), "dart-links-2")
+    full = mixed.join(worded.select("rid", "marks"), "rid").join(texts, "rid")
+    spread = full.select("key", "band", "rid", "label", "marks", "text", F.pmod(F.xxhash64("rid"), blocks).cast("int").alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    spread = spread.select("key", "band", "rid", "label", "marks", "text", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    more = materialize(spread.groupBy("key", "i", "j").applyInPandas(_block_links, "u long, v long"), "dart-links-2")
     final = components(links.unionByName(more))
 
     labelled = materialize(sets.join(final.withColumnRenamed("node", "rid"), "rid", "left").select("c1", "c2", "copies", "top", F.coalesce("label", "rid").alias("label")), "dart-labelled")
