@@ -9,8 +9,8 @@ weighted Jaccard similarity.
 
 Documents with equal sets are one node. Nodes that agree on all rows of a band share a bucket. In each bucket every
 node is compared with the bucket's leader, the node that shares most buckets, which links a group of copies without
-its pairs. In buckets that are still of several components the other pairs are compared by signature, block by block,
-and the likely ones by their texts. All links are verified on the shingles themselves.
+its pairs. In buckets that are still of several components the other pairs are compared block by block, by signature and
+the likely ones by their texts, and a block returns a forest of links. All links are verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import UPPER, WORD, join_groups, read, words
+from millrace.llm.common import UPPER, WORD, join_groups, read
 from millrace.llm.components import components
 from millrace.storage import drop_path, materialize, table_path
 
@@ -38,8 +39,8 @@ K = BANDS * ROWS
 DARTS = K * np.log(K) + 2 * K
 #: Share of agreeing coordinates from which a pair is compared by text: four standard deviations under 0.8.
 LIKELY = 0.68
-#: Words that are hashed at once, nodes of a block, and pairs of one leader in a task.
-SLICE, BLOCK, PAIRS = 400_000, 256, 400
+#: Bytes of text that are hashed at once, nodes of a block, and pairs of one leader in a task.
+SLICE, BLOCK, PAIRS = 2_500_000, 256, 400
 
 U = np.uint64
 
@@ -61,6 +62,39 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return ((x >> U(11)).astype(np.float64) + 1) * 2.0**-53
 
 
+#: For each byte: whether it is part of a word once A-Z are lower-cased, and a random number for its lower case.
+_LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+_IN_WORD = np.array([48 <= b <= 57 or 97 <= b <= 122 or b > 127 for b in _LOWERED])
+_VALUE = mix(_LOWERED.astype(np.uint64) * gold(3) + gold(5))
+_BASE = 0x2545F4914F6CDD1D
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, at least n of each; kept by the process."""
+    if not _powers or len(_powers[0]) < n:
+        _powers[:] = [np.cumprod(np.r_[U(1), np.full(n - 1, x, dtype=np.uint64)]) for x in (U(_BASE), U(pow(_BASE, -1, 2**64)))]
+    return _powers
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, offsets of each text's words) of UTF-8 texts that stand one after the other.
+
+    A word's hash is a polynomial of its bytes' numbers, taken from running sums, so that no word is cut out as a string.
+    """
+    inside = _IN_WORD[data]
+    before, behind = np.zeros_like(inside), np.zeros_like(inside)
+    before[1:], behind[:-1] = inside[:-1], inside[1:]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    before[edges], behind[edges - 1] = False, False
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~behind) + 1
+    power, inverse = _power_tables(max(2, len(data)))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_VALUE[data] * power[: len(data)], out=sums[1:])
+    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * gold(7))
+    return hashes, np.searchsorted(starts, offsets)
+
+
 def weighted_sets(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, shingle, weight) of distinct shingles, sorted by document; hashes: of the words of all documents."""
     n = np.diff(offsets)
@@ -139,19 +173,20 @@ SIGNATURE = "n long, c1 long, c2 long, bands array<long>, marks binary"
 
 
 def _signature(column: pa.Array) -> pa.Array:
-    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    texts = pc.fill_null(column, "").cast(pa.large_binary())
+    _, ends, data = texts.buffers()
+    offsets = np.frombuffer(ends, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, np.uint8)
     parts, start = [], 0
-    while start < len(lists):
-        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE, side="right")) - 1)
-        end = min(end, len(lists))
-        parts.append(signatures(values[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]))
+    while start < len(texts):
+        end = int(np.searchsorted(offsets, offsets[start] + SLICE, side="right")) - 1
+        end = min(max(start + 1, end), len(texts))
+        parts.append(signatures(*word_hashes(raw[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])))
         start = end
     if not parts:
         return pa.array([], type=pa.struct([("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("bands", pa.list_(pa.int64())), ("marks", pa.binary())]))
     whole = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-    bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(lists) + 1) * BANDS, BANDS), pa.int32()), pa.array(whole["bands"].reshape(-1)))
+    bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(texts) + 1) * BANDS, BANDS), pa.int32()), pa.array(whole["bands"].reshape(-1)))
     marks = pa.array([m.tobytes() for m in whole["marks"]], pa.binary())
     return pa.StructArray.from_arrays([pa.array(whole["n"]), pa.array(whole["c1"]), pa.array(whole["c2"]), bands, marks], ["n", "c1", "c2", "bands", "marks"])
 
@@ -245,8 +280,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows without words are not in a class.
     """
     rows = materialize(
-        docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row"), F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("hashes"))
-        .select("rid", "row", F.arrow_udf(_signature, SIGNATURE)("hashes").alias("s")).select("rid", "row", "s.*"),
+        docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row"))
+        .select("rid", "row", F.arrow_udf(_signature, SIGNATURE)(F.col("row")[text_col]).alias("s")).select("rid", "row", "s.*"),
         "dart-rows",
     )
     worded = rows.filter("n > 0")

@@ -67,6 +67,17 @@ def test_agreement_is_weighted_similarity():
     assert abs(np.mean(hits) - true) < 0.02
 
 
+def test_words_are_those_of_the_pattern():
+    rng = random.Random(8)
+    texts = ["", "A a", "x", "é É日本, naïve_x9 9", "..", "Tail ", " a"] + ["".join(rng.choice("aAbZ09 _.é日\n") for _ in range(60)) for _ in range(50)]
+    raw = [t.encode() for t in texts]
+    hashes, offsets = m.word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    words = [m._WORD.findall(t.translate(m._LOW)) for t in texts]
+    assert np.diff(offsets).tolist() == list(map(len, words))
+    flat = [w for ws in words for w in ws]
+    assert len(set(zip(flat, hashes.tolist(), strict=True))) == len(set(flat)) == len(set(hashes.tolist()))
+
+
 def test_heavy_weights_agree_as_their_ratio():
     hits = []
     for salt in range(60):
