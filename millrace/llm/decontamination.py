@@ -1,7 +1,7 @@
 """Benchmark decontamination by 13-word windows; DataFrame functions only.
 
-Plan: each document's words are hashed window by window inside the row and tested against a small bit set of the
-benchmark's windows, so that only likely windows leave the row. Those carry their words and meet the benchmark's windows
+Plan: each document's windows are tested inside the row against two small bit sets of the benchmark's windows, one by
+the hashes of three words and one by the hash of all, so that only likely windows leave the row. Those carry their words and meet the benchmark's windows
 in a hash join on the words themselves, which verifies them. The join is a broadcast while the windows are few enough
 by count; otherwise Spark shuffles both sides. Coverage of a document is folded from the sorted hits.
 """
@@ -35,30 +35,37 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
 
 
 def _window_hash(hashes: Column, start: Column, length: int) -> Column:
-    return F.xxhash64(F.slice(hashes, start, length))
+    return F.xxhash64(F.slice(hashes, start + 1, length))
 
 
-def _bit_set(windows: DataFrame, count: int) -> tuple[Column, int]:
-    """Bits at the windows' hashes, as an array of longs of a bounded size, and its size in bits."""
+def _three_words(hashes: Column, start: Column, length: int) -> Column:
+    """A cheap hash of a window's first, middle and last word."""
+    middle, last = F.get(hashes, start + length // 2), F.get(hashes, start + (length - 1))
+    return F.get(hashes, start).bitwiseXOR(F.shiftrightunsigned(middle, 7)).bitwiseXOR(F.shiftrightunsigned(last, 13))
+
+
+def _bit_set(hashes: DataFrame, count: int) -> tuple[Column, int]:
+    """Bits at the values of column h, as an array of longs of a bounded size, and its size in bits."""
     bits = 1 << min(MAX_BITS_LOG2, max(10, (count * BITS_A_WINDOW - 1).bit_length()))
-    hashed = windows.select(F.xxhash64(F.transform(F.split("gram", " "), lambda x: F.xxhash64(x))).alias("h"))
     at = F.col("h").bitwiseAND(bits - 1)
-    rows = hashed.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    rows = hashes.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
     longs = [0] * (bits >> 6)
     for row in rows:
         longs[row["word"]] = row["bits"]
     return F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>"), bits  # folded into one literal
 
 
-def _likely(hashes: Column, length: int, longs: Column, bits: int) -> Column:
-    """Starts of the windows of this length whose bit is set."""
-    starts = F.when(F.size(hashes) >= length, F.sequence(F.lit(1), F.size(hashes) - length + 1)).otherwise(F.array().cast("array<int>"))
+def _is_set(value: Column, bit_set: tuple[Column, int]) -> Column:
+    longs, bits = bit_set
+    at = value.bitwiseAND(bits - 1)
+    return F.call_function("shiftrightunsigned", F.get(longs, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
 
-    def hit(start: Column) -> Column:
-        at = _window_hash(hashes, start, length).bitwiseAND(bits - 1)
-        return F.call_function("shiftrightunsigned", F.get(longs, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
 
-    return F.filter(starts, hit)
+def _likely(hashes: Column, length: int, cheap: tuple[Column, int], whole: tuple[Column, int]) -> Column:
+    """Starts of the windows of this length that both bit sets have: first by three words, then by all of them."""
+    starts = F.when(F.size(hashes) >= length, F.sequence(F.lit(0), F.size(hashes) - length)).otherwise(F.array().cast("array<int>"))
+    some = F.filter(starts, lambda i: _is_set(_three_words(hashes, i, length), cheap))
+    return F.filter(some, lambda i: _is_set(_window_hash(hashes, i, length), whole))
 
 
 def _covered(spans: Column) -> Column:
@@ -80,10 +87,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", kee
     w, h = F.col("w"), F.col("h")
     found: Column = F.array().cast("array<struct<pos:int,len:int,gram:string>>")
     if count:
-        longs, bits = _bit_set(windows, count)
+        hashed = windows.select("len", F.transform(F.split("gram", " "), lambda x: F.xxhash64(x)).alias("hw"))
+        whole = _bit_set(hashed.select(F.xxhash64("hw").alias("h")), count)
+        ends = functools.reduce(lambda acc, n: F.when(F.col("len") == n, _three_words(F.col("hw"), F.lit(0), n)).otherwise(acc), by_length, F.lit(None).cast("long"))
+        cheap = _bit_set(hashed.select(ends.alias("h")), count)
 
         def carried(length: int) -> Column:
-            return F.transform(_likely(h, length, longs, bits), lambda i: F.struct((i - 1).alias("pos"), F.lit(length).alias("len"), F.array_join(F.slice(w, i, length), " ").alias("gram")))
+            return F.transform(_likely(h, length, cheap, whole), lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.array_join(F.slice(w, i + 1, length), " ").alias("gram")))
 
         found = functools.reduce(F.concat, map(carried, sorted(by_length)))
     scanned = materialize(
