@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +47,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, to
     hot = groups.filter(F.col(size) > max(1, total // HOT_SHARE))
     warm = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(groups, on)
     return rows.join(F.broadcast(hot), on).unionByName(warm)
+
+
+def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table out of the plan itself: no RDD and no Python on executors."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))

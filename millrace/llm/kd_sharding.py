@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import read
+from millrace.llm.common import literal_table, read
 from millrace.storage import materialize
 
 SHARDS = 16
@@ -57,7 +57,7 @@ def _splits(spark: SparkSession, rows: DataFrame, keys: list[str], counts: dict[
     per_node = max(16, BINS // max(1, len(state)))
     while todo := {n: s for n, s in state.items() if not s["done"]}:
         ranges = [(n, s["dim"], s["lo"], s["hi"] - 1, max(0, (s["hi"] - s["lo"] - 1).bit_length() - (per_node.bit_length() - 1))) for n, s in todo.items()]
-        frame = spark.createDataFrame(ranges, "node int, dim int, lo long, last long, shift int")
+        frame = literal_table(spark, [dict(zip(("node", "dim", "lo", "last", "shift"), r, strict=True)) for r in ranges], "node: int, dim: int, lo: bigint, last: bigint, shift: int")
         hist = (
             rows.select("node", "size", *keys).join(F.broadcast(frame), "node").withColumn("key", _key_of(F.col("dim"), keys))
             .filter(F.col("key").between(F.col("lo"), F.col("last")))
@@ -113,7 +113,7 @@ def kd_shards(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int |
         for n in [n for n, c in counts.items() if c > 1]:
             left = counts[n] // 2
             counts |= {n: left, n + left: counts[n] - left}
-        frame = F.broadcast(spark.createDataFrame(splits, "node int, dim int, at long"))
+        frame = F.broadcast(literal_table(spark, [{"node": n, "dim": d, "at": at} for n, d, at in splits], "node: int, dim: int, at: bigint"))
         left = F.expr("leaves div 2").cast("int")
         right = F.col("dim").isNotNull() & (_key_of(F.col("dim"), keys) >= F.col("at"))
         tree = tree.join(frame, "node", "left").select(
