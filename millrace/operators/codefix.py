@@ -221,7 +221,7 @@ def augmentations(chosen: DataFrame, corpus: DataFrame, opts: CodefixOptions = C
     both = best.unionByName(fill).groupBy("id", "text").agg(F.min("place").alias("place"))
     first_k = both.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("place", "text"))).filter(F.col("n") <= opts.k)
     lists = first_k.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]).alias("augmentations"))
-    return chosen.select("id").join(lists, "id", "left").withColumn("augmentations", F.coalesce("augmentations", F.array().cast("array<string>")))
+    return chosen.select("id").distinct().join(lists, "id", "left").withColumn("augmentations", F.coalesce("augmentations", F.array().cast("array<string>")))
 
 
 def numbered(items: Column) -> Column:

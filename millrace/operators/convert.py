@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import FILE_SEP, FIM_PREFIX, fim_in_order, has_all_fim
+from millrace.storage import materialize
 
 #: The closed list of reasons.
 MISSING_FIELDS = "missing_required_fields"
@@ -25,8 +26,8 @@ NEEDS_TRUNCATION = "rag_variant_requires_truncation"
 BOTH_MODE_CONFLICT = "both_mode_conflict_skip"
 
 UNKNOWN_MODEL_MAX = 1_000_000
-#: The tokens of the default tokenizer: marker tokens, words, single other characters; blanks go with what follows.
-TOKEN = r"<\|[a-z_]+\|>|\s*[A-Za-z0-9_]+|\s*[^\sA-Za-z0-9_]|\s+"
+#: The tokens of the default tokenizer: markers, runs of blanks, words, single other characters.
+TOKEN = r"<\|[a-z_]+\|>|\s+|[A-Za-z0-9_]+|[^\sA-Za-z0-9_]"
 
 
 @dataclass(frozen=True)
@@ -104,18 +105,18 @@ def truncate(df: DataFrame, opts: ConvertOptions, prompt: str = "prompt", comple
     needs = ~fits & (F.col("__budget") > 0)
     if opts.policy == "drop_file_sep_prefix_then_left":
         small = F.length(text) <= opts.max_strip_chars
-        d = d.withColumn("__s", F.when(needs & small, strip_blocks(text, True, opts.max_iters)))
-        d = d.withColumn("__p", F.coalesce(F.col("__s.text"), text)).withColumn("__hit", F.coalesce(F.col("__s.hit_max"), F.lit(False))).withColumn("__skipped", needs & ~small)
+        d = d.withColumn("__ts", F.when(needs & small, strip_blocks(text, True, opts.max_iters)))
+        d = d.withColumn("__p", F.coalesce(F.col("__ts.text"), text)).withColumn("__hit", F.coalesce(F.col("__ts.hit_max"), F.lit(False))).withColumn("__skipped", needs & ~small)
     else:
         d = d.withColumn("__p", text).withColumn("__hit", F.lit(False)).withColumn("__skipped", F.lit(False))
-    d = d.withColumn("__t", F.when(needs, left_trim(F.col("__p"), F.col("__budget"), tokens)))
+    d = materialize(d, "convert-passed").withColumn("__t", F.when(needs, left_trim(F.col("__p"), F.col("__budget"), tokens)))
     stripped = F.greatest(F.lit(0), F.col("__n") - F.size(tokens(F.col("__p"))))
     reason = (
         F.when(F.col("__budget") <= 0, COMPLETION_TOO_LONG).when(fits, None).when(~fim_in_order(text), LOST_AFTER_TRUNCATION)
         .when(F.col("__hit") & F.lit(opts.drop_on_safeguard), MAX_ITERS).otherwise(F.col("__t.reason"))
     )
     out = F.struct(F.when(fits & (F.col("__budget") > 0), text).otherwise(F.col("__t.text")).alias("text"), F.when(fits, 0).otherwise(stripped + F.coalesce(F.col("__t.removed"), F.lit(0))).alias("removed"), reason.alias("reason"), F.col("__skipped").alias("skipped_strip"))
-    return d.withColumn("t", out).drop("__budget", "__n", "__s", "__p", "__hit", "__t", "__skipped")
+    return d.withColumn("t", out).drop("__budget", "__n", "__ts", "__p", "__hit", "__t", "__skipped")
 
 
 def fan_out(df: DataFrame, opts: ConvertOptions) -> DataFrame:
@@ -137,7 +138,9 @@ def convert(df: DataFrame, opts: ConvertOptions = ConvertOptions(), split: str =
     d = d.withColumn("__s", F.when(is_plain, strip_blocks(F.col("__prompt"), False, opts.max_iters)))
     hit = F.coalesce(F.col("__s.hit_max"), F.lit(False))
     d = d.withColumn("__base", F.when(is_plain & ~hit, F.col("__s.text")).otherwise(F.col("__prompt")))
+    d = materialize(d, "convert-stripped")  # each step is written: later ones would repeat its expressions many times over
     d = truncate(d, opts, "__base", tokens=tokens) if opts.truncate else d.withColumn("t", F.struct(F.col("__base").alias("text"), F.lit(0).alias("removed"), F.lit(None).cast("string").alias("reason"), F.lit(False).alias("skipped_strip")))
+    d = materialize(d, "convert-truncated")
     d = d.withColumn("tokens_before", F.size(tokens(F.col("__base")))).withColumn("tokens_after", F.size(tokens(F.col("t.text"))))
     limit = opts.model_max_length if opts.model_max_length and opts.model_max_length <= UNKNOWN_MODEL_MAX else None
     reason = F.when(F.col("prompt").isNull() | F.col("completion").isNull(), MISSING_FIELDS).when(F.col("completion_tokens") < opts.min_completion_tokens, MIN_COMPLETION)
@@ -149,7 +152,7 @@ def convert(df: DataFrame, opts: ConvertOptions = ConvertOptions(), split: str =
     if opts.enforce_model_max and limit:
         reason = reason.when(F.col("tokens_after") > limit, OVER_MODEL_MAX)
     reason = reason.when(~fim_in_order(F.col("t.text")), LOST_AFTER_TRUNCATION)
-    d = d.withColumn("drop_reason", reason).withColumn("removed_blocks", F.coalesce(F.col("__s.removed"), F.lit(0)))
+    d = materialize(d.withColumn("drop_reason", reason), "convert-judged").withColumn("removed_blocks", F.coalesce(F.col("__s.removed"), F.lit(0)))
     d = d.withColumn("over_model_max", (F.col("tokens_before") > limit) if limit else F.lit(False))
     d = d.withColumn("prompt", F.when(F.col("drop_reason").isNull(), F.col("t.text"))).withColumn("removed_tokens", F.col("t.removed")).withColumn("truncated", F.col("drop_reason").isNull() & (F.col("t.removed") > 0))
     d = d.withColumn("variant_id", F.concat_ws("::", F.col("source_id").cast("string"), "variant")).drop("__prompt", "__s", "__base", "t")

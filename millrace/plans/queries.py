@@ -206,8 +206,8 @@ _BLINES = f"SELECT DISTINCT trim(l, {_WS}) AS line FROM (SELECT unnest(string_sp
 
 
 def _bench_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.btrim(F.explode(F.split("text", "\n")), F.lit(" \t\n\x0b\x0c\r"))
-    return table(spark, sf_dir, "benchmark").select(line.alias("fp")).filter(F.length("fp") >= 4).distinct()
+    trimmed = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")))
+    return table(spark, sf_dir, "benchmark").select(F.explode(trimmed).alias("fp")).filter(F.length("fp") >= 4).distinct()
 
 
 def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -489,7 +489,7 @@ def strip_filesep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("source_id", F.col("s.text").alias("stripped"), F.col("s.removed").alias("removed"), F.col("s.unmatched").alias("unmatched"))
 
 
-CONVERT = convert.ConvertOptions(max_length=32)
+CONVERT = convert.ConvertOptions(max_length=56)
 
 
 def _converted(spark: SparkSession, sf_dir: str, conflict: str = "keep_one") -> DataFrame:
@@ -498,7 +498,7 @@ def _converted(spark: SparkSession, sf_dir: str, conflict: str = "keep_one") ->
     return convert.convert(_prompts(spark, sf_dir), dataclasses.replace(CONVERT, conflict=conflict))
 
 
-_TOK = r"len(regexp_extract_all({0}, '<\|[a-z_]+\|>|\s*[A-Za-z0-9_]+|\s*[^\sA-Za-z0-9_]|\s+'))"
+_TOK = r"len(regexp_extract_all({0}, '<\|[a-z_]+\|>|\s+|[A-Za-z0-9_]+|[^\sA-Za-z0-9_]'))"
 _PLAIN = "lead_stripped || 'lead words here <|fim_prefix|>' || head || '<|fim_suffix|>tail' || middle"
 _RAG = "lead || 'lead words here <|fim_prefix|>' || head || '<|fim_suffix|>tail' || inner_block || middle"
 _BARE = "'lead words here <|fim_prefix|>' || head || '<|fim_suffix|>tail' || inner_block || middle"
@@ -508,20 +508,20 @@ _CONVERTED = _PROMPTS + f""", v AS (
 ), t AS (
   SELECT *, {_TOK.format('completion')} AS c, {_TOK.format('base')} AS n, {_TOK.format('cut')} AS m, {_TOK.format("string_split(cut, '<|fim_prefix|>')[1]")} AS before FROM v
 ), r AS (
-  SELECT *, 32 - c - 1 AS budget, CASE
+  SELECT *, 56 - c - 1 AS budget, CASE
     WHEN c < 1 THEN 'min_completion_tokens'
     WHEN variant = 'norag' AND k = 6 THEN 'fim_tokens_lost_after_strip'
-    WHEN 32 - c - 1 <= 0 THEN 'completion_too_long'
+    WHEN 56 - c - 1 <= 0 THEN 'completion_too_long'
     WHEN k = 6 THEN 'fim_tokens_lost_after_truncation'
-    WHEN n <= 32 - c - 1 THEN NULL
-    WHEN m - (32 - c - 1) > before THEN 'budget_too_small_for_fim' END AS drop_reason FROM t
+    WHEN n <= 56 - c - 1 THEN NULL
+    WHEN m - (56 - c - 1) > before THEN 'budget_too_small_for_fim' END AS drop_reason FROM t
 )
 """
 
 
 @query(_CONVERTED + "SELECT source_id, variant, drop_reason, source_id || '::' || variant AS variant_id, CASE WHEN drop_reason IS NULL THEN CASE WHEN n <= budget THEN n ELSE least(m, budget) END END AS tokens_after FROM r")
 def variant_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both variants of each prompt with their fate under a budget of 32 tokens."""
+    """Both variants of each prompt with their fate under a budget of 56 tokens."""
     d = _converted(spark, sf_dir)
     return d.select("source_id", "variant", "drop_reason", "variant_id", F.when(F.col("drop_reason").isNull(), F.col("tokens_after")).alias("tokens_after"))
 
