@@ -62,13 +62,12 @@ def fim_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HEAD = """'package p' || doc_id || ';' || chr(10) || chr(10) || 'import a.B;' || chr(10) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'import c.D;' || chr(10) ELSE '' END"""
 
 
-@query(f"SELECT doc_id AS file, CASE WHEN doc_id % 3 = 0 THEN '' ELSE {_HEAD} END AS header FROM documents WHERE trim(string_split(text, chr(10))[1], {_WS}) <> ''")
+@query(f"SELECT doc_id AS file, CASE WHEN doc_id % 3 = 0 THEN '' ELSE {_HEAD} END AS header FROM documents")
 def header_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers of documents that begin with package and import lines; a leading comment hides them."""
     head = F.concat(F.lit("package p"), F.col("doc_id").cast("string"), F.lit(";\n\nimport a.B;\n\n"), F.when(F.col("doc_id") % 2 == 0, "import c.D;\n").otherwise(""))
-    first = F.btrim(F.split("text", "\n")[0], F.lit(" \t\n\x0b\x0c\r"))
-    docs = table(spark, sf_dir, "documents").filter(first != "")
-    lines = tx.splitlines(F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("// note\n"), head)).otherwise(head), F.col("text")))
+    docs = table(spark, sf_dir, "documents")
+    lines = tx.splitlines(F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("// note\n"), head)).otherwise(head), F.lit("class A {\n"), F.col("text")))
     return docs.select(F.col("doc_id").alias("file"), F.array_join(F.slice(lines, 1, tx.header_end(lines)), "").alias("header"))
 
 
@@ -188,7 +187,7 @@ def bm25_budgeted_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rag_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context blocks for one place of each document with a hundred lines or less, from chunks of all documents."""
+    """A search for context of the middle of each document whose id is divisible by 50, among chunks of all documents."""
     files = doc_files(spark, sf_dir)
     chunks = samples.line_chunks(files, 30, 10).withColumn("chunk_id", F.struct("file", "start")).withColumn("tokens", tx.code_tokens(F.col("text")))
     chunks = materialize(chunks, "rag-chunks")
@@ -259,7 +258,7 @@ def _match_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     p = F.split("text", "\n")
     at = (F.size(p) / 2).cast("int")
     kind = F.col("doc_id") % 6
-    records = docs.filter(F.col("doc_id") % 3 == 0).select(
+    records = docs.select(
         F.col("doc_id").cast("string").alias("task_id"), F.lit("").alias("prompt"),
         F.when(kind == 3, F.concat(p[at], F.lit(" not there"))).otherwise(p[at]).alias("ground_truth"),
         F.array(F.lit("repo"), F.concat(F.lit("d"), (F.col("doc_id") % 4).cast("string")), F.concat(F.lit("f"), F.when(F.col("doc_id") % 9 == 0, F.lit("none")).otherwise(F.col("doc_id").cast("string")), F.lit(".java"))).alias("fpath_tuple"),
@@ -269,7 +268,7 @@ def _match_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 _MATCH = """
-WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS p, doc_id % 5 AS k FROM documents WHERE doc_id % 3 = 0),
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS p, doc_id % 5 AS k FROM documents),
 r AS (SELECT doc_id, p, (len(p) // 2) AS at, CASE WHEN doc_id % 6 = 3 THEN p[len(p) // 2 + 1] || ' not there' ELSE p[len(p) // 2 + 1] END AS gt,
   CASE WHEN k = 0 THEN NULL WHEN k = 1 THEN len(p) // 2 WHEN k = 2 THEN len(p) // 2 + 1 ELSE len(p) // 2 + 30 END AS line_no FROM d),
 h AS (SELECT doc_id, line_no, unnest(range(len(p))) AS i, unnest(p) AS line, gt FROM r),
@@ -295,11 +294,11 @@ def decontam_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def decontam_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items whose line was changed a little, matched by similarity within their file."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 50 = 0 and n_chars < 3000")
+    """A search for lines that were changed a little, one of each document whose id is divisible by 50, by similarity within their file."""
+    docs = table(spark, sf_dir, "documents")
     lines = docs.select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".java")).alias("file"), F.posexplode(F.split("text", "\n")).alias("line_index", "line"))
     p = F.split("text", "\n")
-    records = docs.select(F.col("doc_id").cast("string").alias("task_id"), F.lit("").alias("prompt"), F.concat(F.element_at(p, -1), F.lit(" x")).alias("ground_truth"), F.array(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".java"))).alias("fpath_tuple"), F.lit(None).cast("int").alias("line_no"))
+    records = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").cast("string").alias("task_id"), F.lit("").alias("prompt"), F.concat(F.element_at(p, -1), F.lit(" x")).alias("ground_truth"), F.array(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".java"))).alias("fpath_tuple"), F.lit(None).cast("int").alias("line_no"))
     return matching.match_records(materialize(records, "match-records"), materialize(lines, "match-lines"), matching.MatchOptions(fuzzy=True))
 
 
@@ -580,13 +579,13 @@ def label_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("conv_id", "turn", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("labels", ",").alias("labels"), F.size("attention_mask").cast("long").alias("n_mask"))
 
 
-@query(_LABELS + """, f AS (SELECT * FROM e WHERE turn = 0), g AS (SELECT *, (conv_id // 4) AS batch FROM f), h AS (SELECT *, max(len(input_ids)) OVER (PARTITION BY batch) AS m FROM g)
-SELECT conv_id, batch, array_to_string(list_concat(input_ids, list_transform(range(m - len(input_ids)), lambda x: 0)), ',') AS input_ids, array_to_string(list_concat(labels, list_transform(range(m - len(labels)), lambda x: -100)), ',') AS labels FROM h
+@query(_LABELS + """, g AS (SELECT *, (conv_id // 4) AS batch FROM e), h AS (SELECT *, max(len(input_ids)) OVER (PARTITION BY batch) AS m FROM g)
+SELECT conv_id, turn, batch, array_to_string(list_concat(input_ids, list_transform(range(m - len(input_ids)), lambda x: 0)), ',') AS input_ids, array_to_string(list_concat(labels, list_transform(range(m - len(labels)), lambda x: -100)), ',') AS labels FROM h
 """)
 def collate_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of four, padded to their longest."""
-    d = tensors.pad_batches(tensors.label_rows(_ids(spark, sf_dir).filter("turn = 0"), 8, 7), "conv_id", 4, 0)
-    return d.select("conv_id", "batch", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("labels", ",").alias("labels"))
+    """Batches of four conversations, padded to their longest row."""
+    d = tensors.pad_batches(tensors.label_rows(_ids(spark, sf_dir), 8, 7), "conv_id", 4, 0)
+    return d.select("conv_id", "turn", "batch", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("labels", ",").alias("labels"))
 
 
 # --- statement repair ------------------------------------------------------------------------------------------------
