@@ -192,7 +192,7 @@ def exact_split(pool: DataFrame, total: int, val: int, seed: int = 42, attempts:
     if total < len(MUTATIONS) or not 0 <= val <= total:
         raise ValueError("total must cover all mutation types and val must not exceed it")
     for attempt in range(attempts):
-        chosen = stratified_quota(pool, "mutation_type", list(MUTATIONS), total, ["file", "line_index"], seed + attempt)
+        chosen = stratified_quota(pool, "mutation_type", list(MUTATIONS), total, ["mutation_type", "file", "line_index"], seed + attempt)
         counts = {r["file"]: r["n"] for r in chosen.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}
         files = subset_with_sum(counts, val)
         if files is not None:

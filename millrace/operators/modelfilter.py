@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.text import first_line, normalize_for_mode
 from millrace.operators.matching import sequence_ratio
@@ -128,7 +129,7 @@ def ask_model(df: DataFrame, ask: Callable[[str], str], opts: FilterOptions, pro
     that are equal are asked once.
     """
     tasks = max(1, df.rdd.getNumPartitions()) if opts.qps else 1
-    schema = df.schema.add("teacher_raw", "string").add("latency_ms", "integer").add("request_error", "string")
+    schema = T.StructType([*df.schema.fields, T.StructField("teacher_raw", T.StringType()), T.StructField("latency_ms", T.IntegerType()), T.StructField("request_error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pause = tasks / opts.qps if opts.qps else 0.0

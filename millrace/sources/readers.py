@@ -16,7 +16,7 @@ SKIP_DIRS = (".git", ".idea", "target", "build", "out", ".gradle", ".mvn")
 def code_files(spark: SparkSession, root: str, pattern: str = "*.java") -> DataFrame:
     """(path, text) of the files under root that match, unless a folder between root and file is to be skipped. path is relative to root."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/").split("://")[-1].removeprefix("file:") + "/")
+    base = root.rstrip("/").split("://")[-1].removeprefix("file:") + "/"
     path = F.substring_index(F.col("path"), base, -1)
     skip = F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, SKIP_DIRS)))
     return files.select(path.alias("path"), decode_ignore(F.col("content")).alias("text")).filter(~skip)
