@@ -1,4 +1,4 @@
-"""Byte-level BPE by DuckDB recursive queries, one database in each Python worker.
+"""Byte-level BPE by DuckDB recursive queries, one database in each task.
 
 Each batch of documents is cut into pieces by the tokenizer's pattern; pieces not met before go to DuckDB as rows of
 (piece, position, token). A recursive query joins neighbours with the merge table and contracts the leftmost pair of the
@@ -12,12 +12,10 @@ import base64
 import hashlib
 import heapq
 import itertools
-import uuid
 from collections.abc import Iterable, Iterator
 
 import duckdb
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +25,10 @@ from millrace.llm.common import read
 
 #: Pieces of more bytes are merged with a heap instead: each contraction would scan the whole piece.
 SQL_BYTES = 400
-#: Encoded pieces that a worker remembers, and tokens of one decoding query.
-MEMORY_PIECES = 600_000
-SLICE_TOKENS = 500_000
-SLICE_CHARS = 2_000_000
+#: Encoded pieces that a task remembers, and tokens of one decoding query.
+MEMORY_PIECES = 350_000
+SLICE_TOKENS = 250_000
+SLICE_CHARS = 1_500_000
 
 #: A row is a token: spot = piece << 10 | first byte, e = the byte behind it. A pair's key is rank << 30 | first byte of the
 #: left token << 20 | first byte of the right << 10 | byte behind both, so that the least key is the leftmost pair of the
@@ -80,7 +78,8 @@ class Coder:
         self.ranks = ranks
         self.find = regex.compile(ranks.pattern)
         self.memory: dict[str, bytes] = {}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.again: set[str] = set()  # pieces that more than one slice had
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         left, right, rank = ranks.merges
         self._table("merges", {"pair": (left.astype(np.int64) << 16) | right, "rank": rank.astype(np.int64)})
         tokens = list(ranks.ids)
@@ -173,11 +172,12 @@ class Coder:
 
     def _joined(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, bytes]]:
         distinct = set().union(*(pieces for _, pieces in held))
-        new = distinct - self.memory.keys()
-        if len(self.memory) + len(new) > MEMORY_PIECES:
-            self.memory.clear()
-            new = distinct
-        self.learn(new)
+        known = distinct & self.memory.keys()
+        self.again |= known
+        if len(self.memory) + len(distinct) - len(known) > MEMORY_PIECES:  # forget what was met in one slice only
+            self.again &= self.memory.keys() if len(self.again) < MEMORY_PIECES // 2 else distinct
+            self.memory = {x: self.memory[x] for x in self.again | known}
+        self.learn(distinct - known)
         for at, pieces in held:
             yield at, b"".join(map(self.memory.__getitem__, pieces))
 
@@ -197,31 +197,14 @@ class Coder:
         return result
 
 
-_coders: dict[str, Coder] = {}
+def _roundtrip(ranks, full: bool):
+    """ranks: a broadcast of Ranks. A task has a coder of its own, so an idle worker holds nothing."""
 
-
-def _coder(shared) -> Coder:
-    """One coder for each worker process and set of ranks; workers serve many tasks."""
-    if shared.id not in _coders:
-        _coders.clear()
-        _coders[shared.id] = Coder(shared.value)
-    return _coders[shared.id]
-
-
-class _Shared:
-    def __init__(self, broadcast):
-        self.broadcast, self.id = broadcast, uuid.uuid4().hex
-
-    @property
-    def value(self) -> Ranks:
-        return self.broadcast.value
-
-
-def _roundtrip(shared: _Shared, full: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = _coder(shared)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(ranks.value)
         for batch in batches:
-            n = len(batch)
+            column = batch.column("text")
+            n = len(column)
             tokens = np.zeros(n, dtype=np.int64)
             sums = [(hashlib.sha256(), hashlib.sha256()) for _ in range(n)]
             whole: list[tuple[list, list]] = [([], []) for _ in range(n)]
@@ -235,7 +218,8 @@ def _roundtrip(shared: _Shared, full: bool):
                         whole[at][0].append(ids), whole[at][1].append(raw)
                 waiting.clear()
 
-            for at, raw in coder.encode(text or "" for text in batch["text"]):
+            texts = (x or "" for start in range(0, n, 64) for x in column.slice(start, 64).to_pylist())
+            for at, raw in coder.encode(texts):
                 sums[at][0].update(raw)
                 ids = np.frombuffer(raw, dtype="<u4")
                 tokens[at] += len(ids)
@@ -246,10 +230,11 @@ def _roundtrip(shared: _Shared, full: bool):
                         flush()
                         held = 0
             flush()
-            out = {"id": batch["id"], "n_tokens": tokens, "ids_sha256": [a.hexdigest() for a, _ in sums], "decoded_sha256": [b.hexdigest() for _, b in sums]}
+            arrays = [batch.column("id"), pa.array(tokens), pa.array([a.hexdigest() for a, _ in sums], pa.string()), pa.array([b.hexdigest() for _, b in sums], pa.string())]
             if full:
-                out |= {"ids": [np.concatenate(a).astype(np.int64) if a else np.zeros(0, np.int64) for a, _ in whole], "decoded": [b"".join(b) for _, b in whole]}
-            yield pd.DataFrame(out)
+                arrays += [pa.array([np.concatenate(a).astype(np.int64) if a else np.zeros(0, np.int64) for a, _ in whole], pa.list_(pa.int64())), pa.array([b"".join(b) for _, b in whole], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(arrays)])
+        coder.db.close()
 
     return run
 
@@ -263,9 +248,9 @@ def bpe_roundtrip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     empty table gives no rows. Special tokens are ordinary text. The file is read on the driver only.
     """
     spark = docs.sparkSession
-    shared = _Shared(spark.sparkContext.broadcast(Ranks.load(ranks_path, pattern)))  # the vocabulary: a fixed size
+    shared = spark.sparkContext.broadcast(Ranks.load(ranks_path, pattern))  # the vocabulary: a fixed size
     schema = f"id {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded binary" * full
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(_roundtrip(shared, full), schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_roundtrip(shared, full), schema).withColumnRenamed("id", id_col)
 
 
 def tokenizer() -> tuple[str, str]:
