@@ -25,7 +25,7 @@ PER_LANGUAGE, TRAIN_CHARS = 400, 6000
 #: Hashed weights of a language, longest n-gram, and steps of training.
 BUCKETS, LONGEST, STEPS = 1 << 16, 4, 260
 LENGTH, SEQUENCES, STRETCH = 96, 48, 20
-#: Words of a segment, words that are labelled at once, and words whose scores a worker remembers.
+#: Words of a segment, words that are labelled at once, and words whose scores a task remembers.
 SEGMENT, AT_ONCE, MEMORY_WORDS = 128, 300_000, 500_000
 FOLDS, HELD = 4, 2
 UNKNOWN = "und"
@@ -179,7 +179,7 @@ def train(texts: list[str], languages: list[str], seed: int = 11) -> Field:
             own[names.index(lang)].append(np.array(ids))
     words = list(vocabulary)
     log_share = np.log(_normal(np.array(share))) - np.log(1 / size) if words else np.zeros((0, size))
-    field = Field(names, np.zeros((BUCKETS, size), np.float32), {}, np.zeros(size, np.float32), np.full((size, size), -np.log(size)), np.full(size, -np.log(size)))
+    field = Field(names, np.zeros((BUCKETS, size), np.float32), {}, np.zeros(size, np.float32), np.full((size, size), -np.log(max(1, size))), np.full(size, -np.log(max(1, size))))
     able = [k for k in range(size) if own[k]]
     if len(able) < 2:
         return field
@@ -305,16 +305,6 @@ class Labeller:
         yield from zip(held, np.split(gamma, np.cumsum(counts)[:-1]), strict=True)
 
 
-_labellers: dict[str, Labeller] = {}
-
-
-def _labeller(key: str, broadcast) -> Labeller:
-    if key not in _labellers:
-        _labellers.clear()
-        _labellers[key] = Labeller(broadcast.value)
-    return _labellers[key]
-
-
 def held_out(id_col: Column) -> Column:
     """The fold that training never sees, by crc32 of the id as text; a null id is held out."""
     return F.coalesce(F.crc32(id_col.cast("string")) % FOLDS == HELD, F.lit(True))
@@ -344,10 +334,10 @@ def identify(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     broadcast = spark.sparkContext.broadcast(field)  # BUCKETS weights for each language and the words of the bounded sample
-    key, names = f"{id(field)}-{broadcast._jbroadcast.id()}", field.languages
+    names = field.languages
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        labeller = _labeller(key, broadcast) if names else None
+        labeller = Labeller(broadcast.value) if names else None  # of this task: an idle worker holds nothing
         for batch in batches:
             pred, score, runs = [], [], []
             for words, gamma in labeller.label(batch["text"]) if names else (([], None) for _ in batch["text"]):
