@@ -40,7 +40,7 @@ DARTS = K * np.log(K) + 2 * K
 #: Share of agreeing coordinates from which a pair is compared by text: four standard deviations under 0.8.
 LIKELY = 0.68
 #: Bytes of text that are hashed at once, nodes of a block, and pairs of one leader in a task.
-SLICE, BLOCK, PAIRS = 2_500_000, 256, 400
+SLICE, BLOCK, PAIRS = 1_000_000, 256, 400
 
 U = np.uint64
 
