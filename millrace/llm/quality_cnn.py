@@ -8,11 +8,11 @@ The network is trained on the driver from a bounded sample of labelled rows and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,7 +100,7 @@ class Network:
         return float(loss), g
 
 
-def to_chunks(raw: bytes) -> np.ndarray:
+def to_chunks(raw: bytes | memoryview) -> np.ndarray:
     """Overlapping chunks that cover all bytes; an empty text is one empty chunk."""
     n = 1 + max(0, -(-(len(raw) - CHUNK) // STEP))
     padded = np.full((n - 1) * STEP + CHUNK, 256, dtype=np.int16)
@@ -184,6 +184,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     return train([(t or "").encode() for t in got["text"]], y)
 
 
+def _scorer(net: Network):
+    """The network as a column function over Arrow buffers: texts are not copied into Python strings."""
+
+    def run(column: pa.Array) -> pa.Array:
+        raw = pc.fill_null(column, "").cast(pa.large_binary())
+        return pa.array(score_texts(net, [memoryview(x.as_buffer()) for x in raw]).astype(np.float64))
+
+    return F.arrow_udf(run, "double")
+
+
 def classify(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", prior: float = 0.5) -> DataFrame:
     """One row per input row: id, held_out, score, predicted.
 
@@ -192,12 +202,8 @@ def classify(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD,
     prior.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [(t or "").encode() for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "held_out": b["held_out"], "score": score_texts(net, texts).astype(float) if net else np.full(len(b), prior)})
-
-    scored = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text")).mapInPandas(run, f"id {dict(docs.dtypes)[id_col]}, held_out boolean, score double")
+    score = F.lit(float(prior)) if net is None else _scorer(net)(F.col(text_col))
+    scored = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), score.alias("score"))
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -206,10 +212,7 @@ def keep_good(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD
     if net is None:
         return docs
 
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(score_texts(net, [(t or "").encode() for t in texts]).astype(float))
-
-    return docs.filter(F.pandas_udf(run, "double")(F.col(text_col)) >= threshold)
+    return docs.filter(_scorer(net)(F.col(text_col)) >= threshold)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
