@@ -1,7 +1,9 @@
 """A corpus pipeline: rejects poor text, drops exact and near copies, drops documents with benchmark passages, encodes.
 
-Each stage takes (spark, docs, sf_dir) and returns the rows it keeps with all columns of docs; the last returns what the
-tokenizer makes of each document. run() applies them to documents, each over the written result of the one before.
+Each stage takes (spark, docs, sf_dir) and returns the rows it keeps with all columns of docs, extra ones too, whatever
+their names; the last returns what the tokenizer makes of each document. run() applies them to documents, each over the
+written result of the one before. Null texts count as empty, null ids as smaller than any other; an empty table gives an
+empty result in every stage.
 """
 
 from __future__ import annotations
@@ -15,13 +17,16 @@ from millrace.storage import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose quality score is at least the threshold; the network learns from the whole labelled corpus outside the held-out fold."""
+    """Keeps documents whose quality score is at least the threshold; all of them if no labels tell good from poor.
+
+    The network learns from labelled documents outside the held-out fold. Repeated rows score and stay alike.
+    """
     net = quality_cnn.fit(docs, read(spark, sf_dir, "labels"), "quality")
     return quality_cnn.keep_good(docs, net)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the largest doc_id of each group of equal texts."""
+    """Keeps the largest doc_id of each group of texts that are equal but for the case of A-Z; of repeated rows one."""
     kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     named = docs.withColumn("__text", F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
     joined = named.join(kept, named["doc_id"].eqNullSafe(kept["__id"]) & (named["__text"] == kept["__sha"]), "left_semi")
@@ -29,17 +34,17 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near copies."""
+    """Keeps one document of each class of near copies, the one with the largest doc_id; texts without words all stay."""
     return dart_minhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more lies in passages of the benchmark."""
+    """Drops documents of which a twentieth or more of the words lies in passages of the benchmark; repeated rows are judged alike."""
     return decontamination.remove_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digests of each document's ids and of what they decode to."""
+    """Each row's doc_id, n_tokens and the digests of its ids and of what they decode to."""
     return byte_bpe.bpe_roundtrip(docs, *byte_bpe.tokenizer())
 
 
