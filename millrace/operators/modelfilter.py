@@ -146,11 +146,14 @@ def ask_model(df: DataFrame, ask: Callable[[str], str], opts: FilterOptions, pro
 
 
 def compare(df: DataFrame, mode: str, threshold: float = 0.98, truth: str = "gt_raw", answer: str = "teacher_raw", one_line: bool = True) -> DataFrame:
-    """Adds gt_norm, teacher_norm, similarity (fuzzy only) and equal. Null answers are not equal."""
+    """Adds gt_norm, teacher_norm, similarity (fuzzy only) and equal. Null answers are not equal; one_line compares the first line of both."""
     if mode not in MODES:
         raise ValueError(f"unknown match mode {mode}")
-    taken = first_line(F.replace(F.col(answer), F.lit("\r\n"), F.lit("\n"))) if one_line else F.col(answer)
-    d = df.withColumn("gt_norm", normalize_for_mode(F.col(truth), mode)).withColumn("teacher_norm", normalize_for_mode(taken, mode))
+
+    def taken(name: str) -> Column:
+        return first_line(F.replace(F.col(name), F.lit("\r\n"), F.lit("\n"))) if one_line else F.col(name)
+
+    d = df.withColumn("gt_norm", normalize_for_mode(taken(truth), mode)).withColumn("teacher_norm", normalize_for_mode(taken(answer), mode))
     if mode == "fuzzy":
         d = d.withColumn("similarity", sequence_ratio("gt_norm", "teacher_norm"))
         return d.withColumn("equal", F.coalesce(F.col("similarity") >= threshold, F.lit(False)))

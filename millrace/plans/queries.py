@@ -314,11 +314,10 @@ def mask_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as ground truths, with answers that are equal, padded, doubled in blanks, or different."""
-    k = F.col("conv_id") % 4
-    first = F.split("text", "\n")[0]
-    answer = F.when(k == 0, first).when(k == 1, F.concat(F.lit("  "), first, F.lit("  \nmore"))).when(k == 2, F.replace(first, F.lit(" "), F.lit("  "))).otherwise(F.concat(F.lit("no "), first))
-    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("prompt"), first.alias("completion"), answer.alias("teacher_raw"))
+    """Whole turns as ground truths, with answers that are equal, padded, doubled in blanks, or different."""
+    k, text = F.col("conv_id") % 4, F.col("text")
+    answer = F.when(k == 0, text).when(k == 1, F.concat(F.lit("  "), text, F.lit("  \nmore"))).when(k == 2, F.replace(text, F.lit(" "), F.lit("  "))).otherwise(F.concat(F.lit("no "), text))
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("prompt"), text.alias("completion"), answer.alias("teacher_raw"))
     return d.withColumn("latency_ms", (F.col("conv_id") % 100).cast("int")).withColumn("request_error", F.when(F.col("turn") == 5, "timeout"))
 
 

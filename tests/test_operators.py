@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import code_tokens
 from millrace.operators import bm25, codefix, convert, matching, modelfilter, tensors
+from millrace.plans import queries
 from millrace.sources import readers, sinks
 from millrace.streaming import events
 
@@ -259,6 +260,24 @@ def test_tensors(spark):
     assert tensors.training_steps(10, 2, 2, 0.5, 0.1) == {"steps_per_epoch": 3, "total_steps": 1, "warmup_steps": 0}
 
 
+def test_first_lines_of_truth_and_answer_are_compared(spark):
+    df = spark.createDataFrame([(0, "p", "a  b\r\nc", "a b\nd", None, 1), (1, "p", "a\nb\nc", "a\nb\nc", None, 1), (2, "p", "x\na", "a", None, 1), (3, "p", "a\rb", "a", None, 1)], "pos int, prompt string, completion string, teacher_raw string, request_error string, latency_ms int")
+    got = {r.pos: (r.reason, r.teacher_filter.gt_norm) for r in modelfilter.evaluate(df).collect()}
+    assert got == {0: ("passed", "a b"), 1: ("passed", "a"), 2: ("mismatch", "x"), 3: ("passed", "a")}
+    whole = modelfilter.evaluate(df, modelfilter.FilterOptions(first_line_only=False)).filter("passed").collect()
+    assert [r.pos for r in whole] == [1]
+
+
+def test_filter_queries_get_whole_turns(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    got = {(r.conv_id, r.turn): r for r in queries._answers(spark, sf).collect()}
+    assert got.keys() == texts.keys() and any("\n" in t for t in texts.values())
+    for key, text in texts.items():
+        assert got[key].completion == text
+        assert got[key].teacher_raw == [text, f"  {text}  \nmore", text.replace(" ", "  "), f"no {text}"][key[0] % 4]
+
+
 def test_streamed_filter(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text("".join(json.dumps({"prompt": f"p{i}", "completion": f"c{i}"}) + "\n" for i in range(4)))
