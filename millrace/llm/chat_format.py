@@ -32,6 +32,8 @@ _MARKER = re.compile(rf"\s*(?:\*\*(?P<bold>{_NAME})\s*:\s*\*\*|\[(?P<square>{_NA
 #: Turn numbers of a block.
 BLOCK = 64
 LOW = -1e9
+#: The place of a line in its transcript; given is 0 for null turns, which come before turn 0, copy tells rows of one turn apart.
+ORDER = ["turn", "given", "copy", "pos", "line"]
 N = 2 * len(ROLES)  # state 2r begins a turn of role r, 2r + 1 continues one
 
 
@@ -98,7 +100,7 @@ def viterbi(scores: np.ndarray, enter: np.ndarray | None, leave: int | None = No
 
 
 def _block_matrix(group: pd.DataFrame) -> pd.DataFrame:
-    lines = group.sort_values(["turn", "pos", "line"])["line"]
+    lines = group.sort_values(ORDER)["line"]
     scores = np.stack([emission(x) for x in lines])
     first = group["block"].iloc[0] == group["first"].iloc[0]
     matrix = transfer(scores[1:]) if first else transfer(scores)
@@ -124,34 +126,34 @@ def _messages(blocks: pd.DataFrame) -> pd.DataFrame:
 
 def _turns(group: pd.DataFrame) -> pd.DataFrame:
     """Pieces of turns: begun is the turn number at which one began, missing where the first piece goes on from the block before."""
-    group = group.sort_values(["turn", "pos", "line"])
+    group = group.sort_values(ORDER)
     head = group.iloc[0]
     known = head["leave"] is not None and not pd.isna(head["leave"])
     first = head["block"] == head["first"]
     path = viterbi(np.stack([emission(x) for x in group["line"]]), None if first else np.asarray(head["enter"]), int(head["leave"]) if known else None)
     out: list[list] = []
-    for state, turn, pos, line in zip(path, group["turn"], group["pos"], group["line"], strict=True):
+    for state, turn, given, copy, pos, line in zip(path, *(group[k] for k in ORDER), strict=True):
         cut = marker(line)[1] if state % 2 == 0 else 0
         if state % 2 == 0 or not out:
-            out.append([state % 2 == 0, turn, pos, ROLES[state // 2], []])
+            out.append([state % 2 == 0, turn, given, copy, pos, ROLES[state // 2], []])
         if not (cut and cut == len(line) and not line[-1].isspace()):  # a bare marker has its content on the next lines
-            out[-1][4].append(line[cut:])
+            out[-1][6].append(line[cut:])
     return pd.DataFrame({
-        "conv": head["conv"], "block": head["block"], "begins": [o[0] for o in out], "turn": [o[1] for o in out], "pos": [o[2] for o in out],
-        "role": [o[3] for o in out], "content": ["\n".join(o[4]) for o in out], "lines": [len(o[4]) for o in out],
+        "conv": head["conv"], "block": head["block"], "begins": [o[0] for o in out], "turn": [o[1] for o in out], "given": [o[2] for o in out], "copy": [o[3] for o in out], "pos": [o[4] for o in out],
+        "role": [o[5] for o in out], "content": ["\n".join(o[6]) for o in out], "lines": [len(o[6]) for o in out],
     })
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """lines: (conv, turn, pos, line), a transcript's lines in the order of turn and pos. Returns (conv, turn, pos, role, content), one row for each recovered turn.
+    """lines: (conv, turn, copy, pos, line), a transcript's lines in the order of turn, copy and pos. Returns (conv, turn, copy, pos, role, content), one row for each recovered turn.
 
-    turn and pos are those of the line that begins it. Null lines are empty lines; null turns and positions count as 0;
-    equal positions are ordered by their text; a null conv is a transcript of its own. A block of BLOCK turn numbers is
+    turn, copy and pos are those of the line that begins it. Null lines are empty lines; null turns come before turn 0 and
+    stay null; null copies and positions count as 0; equal positions are ordered by their text; a null conv is a transcript of its own. A block of BLOCK turn numbers is
     one group of a task; transcripts of several blocks pass their scores on through one row a block.
     """
     types = dict(lines.dtypes)
     zero = F.lit(0).cast("long")
-    base = lines.select("conv", F.coalesce(F.col("turn").cast("long"), zero).alias("turn"), F.coalesce(F.col("pos").cast("long"), zero).alias("pos"), F.coalesce("line", F.lit("")).alias("line"))
+    base = lines.select("conv", F.coalesce(F.col("turn").cast("long"), zero).alias("turn"), F.col("turn").isNotNull().cast("int").alias("given"), F.coalesce(F.col("copy").cast("long"), zero).alias("copy"), F.coalesce(F.col("pos").cast("long"), zero).alias("pos"), F.coalesce("line", F.lit("")).alias("line"))
     base = materialize(base.withColumn("block", F.floor(F.col("turn") / BLOCK)), "chat-lines")
     spans = base.groupBy("conv").agg(F.min("block").alias("first"), F.max("block").alias("last"))
     long = materialize(spans.filter("first < last"), "chat-long").withColumnRenamed("conv", "c")
@@ -162,16 +164,18 @@ def parse(lines: DataFrame) -> DataFrame:
     messages = materialize(messages, "chat-messages").select(F.col("conv").alias("c"), F.col("block").alias("b"), "enter", "leave")
     joined = base.join(messages, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")), "left").withColumn("first", F.when(F.col("leave").isNull(), F.col("block"))).drop("c", "b")
     joined = joined.join(long.select("c", F.col("first").alias("f")), F.col("conv").eqNullSafe(F.col("c")), "left").withColumn("first", F.coalesce("first", "f")).drop("c", "f")
-    pieces = joined.groupBy("conv", "block").applyInPandas(_turns, f"conv {types['conv']}, block long, begins boolean, turn long, pos long, role string, content string, lines int")
+    pieces = joined.groupBy("conv", "block").applyInPandas(_turns, f"conv {types['conv']}, block long, begins boolean, turn long, given int, copy long, pos long, role string, content string, lines int")
     pieces = materialize(pieces, "chat-pieces")
+    key = ["turn", "given", "copy", "pos"]
     # a piece that goes on belongs to the last turn begun in an earlier block
-    ends = pieces.groupBy("conv", "block").agg(F.max(F.when(F.col("begins"), F.struct("turn", "pos"))).alias("last"))
+    ends = pieces.groupBy("conv", "block").agg(F.max(F.when(F.col("begins"), F.struct("turn", "given", "copy", "pos"))).alias("last"))
     before = ends.withColumn("before", F.last("last", ignorenulls=True).over(Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.filter("before is not null").select(F.col("conv").alias("c"), F.col("block").alias("b"), "before")
-    on = pieces.filter("not begins").join(before, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select("conv", F.col("before.turn").alias("turn"), F.col("before.pos").alias("pos"), "block", "role", "content", "lines")
-    whole = pieces.filter("begins").select("conv", "turn", "pos", "block", "role", "content", "lines").unionByName(on)
+    on = pieces.filter("not begins").join(before, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select("conv", *[F.col(f"before.{k}").alias(k) for k in key], "block", "role", "content", "lines")
+    whole = pieces.filter("begins").select("conv", *key, "block", "role", "content", "lines").unionByName(on)
     parts = F.array_sort(F.collect_list(F.struct("block", "lines", "content")))
-    return whole.groupBy("conv", "turn", "pos").agg(F.max("role").alias("role"), F.array_join(F.transform(F.filter(parts, lambda p: p["lines"] > 0), lambda p: p["content"]), "\n").alias("content"))
+    turns = whole.groupBy("conv", *key).agg(F.max("role").alias("role"), F.array_join(F.transform(F.filter(parts, lambda p: p["lines"] > 0), lambda p: p["content"]), "\n").alias("content"))
+    return turns.withColumn("turn", F.when(F.col("given") == 1, F.col("turn"))).drop("given")
 
 
 def render(role: Column, content: Column) -> Column:
@@ -182,14 +186,15 @@ def render(role: Column, content: Column) -> Column:
 def parse_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Turns of transcripts that are one text each: (id, turn: number of the first line, role, rendered)."""
     split = F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\r\n?", "\n"), "\n", -1)
-    lines = docs.select(F.col(id_col).alias("conv"), F.posexplode(split).alias("turn", "line")).withColumn("pos", F.lit(0))
+    lines = docs.select(F.col(id_col).alias("conv"), F.posexplode(split).alias("turn", "line")).withColumns({"copy": F.lit(0), "pos": F.lit(0)})
     return parse(lines).select(F.col("conv").alias(id_col), "turn", "role", render(F.col("role"), F.col("content")).alias("rendered"))
 
 
 def as_transcript(turns: DataFrame) -> DataFrame:
     """The lines of transcripts that people would have written for (conv_id, turn, role, text), in one of four styles by conv_id.
 
-    A turn with a null role has no marker; a null text is empty. Rows with one conv_id and turn follow each other by text.
+    A turn with a null role has no marker; a null text is empty. Rows with one conv_id and turn follow each other by text and role;
+    copy numbers them, so equal rows stay apart and no lines of two rows mix.
     """
     style = F.pmod(F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))), F.lit(4))
     name = {0: {"system": "System", "user": "User", "assistant": "Assistant"}, 3: {"system": "System", "user": "Q", "assistant": "A"}}
@@ -200,7 +205,9 @@ def as_transcript(turns: DataFrame) -> DataFrame:
 
     marked = F.when(style == 0, F.concat(named(name[0]), F.lit(": "), text)).when(style == 1, F.concat(F.lit("### "), F.initcap(role), F.lit(":\n"), text))
     marked = marked.when(style == 2, F.concat(F.lit("["), role, F.lit("] "), text)).otherwise(F.concat(named(name[3]), F.lit(": "), text))
-    return turns.select(F.col("conv_id").alias("conv"), "turn", F.posexplode(F.split(F.coalesce(marked, text), "\n", -1)).alias("pos", "line"))
+    copy = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(text, role))
+    rows = turns.select(F.col("conv_id").alias("conv"), "turn", copy.alias("copy"), F.split(F.coalesce(marked, text), "\n", -1).alias("lines"))
+    return rows.select("conv", "turn", "copy", F.posexplode("lines").alias("pos", "line"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

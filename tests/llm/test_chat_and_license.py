@@ -58,6 +58,14 @@ def test_null_roles_and_texts(spark):
     assert {r.conv for r in got} == {1, 2} and all(r.role in c.ROLES for r in got)
 
 
+def test_repeated_tied_and_null_turns_stay_apart(spark):
+    rows = [(v, *r) for v in range(8) for r in [
+        (None, "user", "n1"), (None, "user", "n2\nmore"), (None, "assistant", "n3"), (0, "system", "s"), (1, "user", "hi"), (2, "user", "hi"), (2, "user", "hi"), (3, "user", "b\ny"), (3, "assistant", "a\nz\nc"), (200, "user", "late"), (200, "user", "late")]]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = [(r.conv, r.turn, r.role, r.content) for r in c.parse(c.as_transcript(turns)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, rows))
+
+
 def test_patience_alignment():
     assert s.increasing([(0, 5), (1, 1), (2, 6), (3, 2), (4, 3)]) == [(1, 1), (3, 2), (4, 3)]
     a, b = "x a b c the d the e y".split(), "a b the c d e".split()
