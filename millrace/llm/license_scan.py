@@ -42,6 +42,22 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
 }
+_GPL = " ".join(TEMPLATES["GPL-3.0"][1].split())
+_CC = {"BY": "Attribution", "BY-NC": "Attribution-NonCommercial", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+#: The names by which statements of any wording tell a license; all of their words must align.
+NAMED = {
+    "Apache-2.0": ["Apache License 2.0", "Apache 2.0", "Apache License, Version 2"], "MIT": ["MIT License"], "MPL-2.0": ["Mozilla Public License 2.0", "MPL 2.0"], "ISC": ["ISC License"], "Unlicense": ["The Unlicense"],
+    "BSD-2-Clause": ["BSD 2-Clause", "2-Clause BSD"], "BSD-3-Clause": ["BSD 3-Clause", "3-Clause BSD"], "CC0-1.0": ["CC0", "Creative Commons Zero"], "All-rights-reserved": ["All rights reserved."],
+    "LGPL-2.1": ["GNU Lesser General Public License version 2.1", "LGPL 2.1", "LGPLv2.1"],
+    **{f"{short}-{v}.0": [f"GNU {kind}General Public License version {v}", f"GNU {kind}General Public License v{v}", f"{short} version {v}", f"{short}-{v}", f"{short}v{v}"] for short, kind, v in (("GPL", "", 2), ("GPL", "", 3), ("LGPL", "Lesser ", 3), ("AGPL", "Affero ", 3))},
+    **{f"CC-{k}-4.0": [f"CC {k} 4.0", f"Creative Commons {name} 4.0"] for k, name in _CC.items()},
+}
+for _name, _kind, _version in (("GPL-2.0", "", 2), ("LGPL-3.0", "Lesser ", 3), ("AGPL-3.0", "Affero ", 3)):
+    TEMPLATES[_name] = [_GPL.replace("GNU General", f"GNU {_kind}General").replace("version 3", f"version {_version}")]
+for _name, _texts in NAMED.items():
+    TEMPLATES[_name] = [*TEMPLATES.get(_name, []), *_texts]
+#: Words that tell licenses apart: those of a template must align, and others may not stand in its place.
+KINDS = {"lesser", "affero", "library", "nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives", "noderivs"}
 COVERAGE = 0.85
 #: A stretch holds at most this many words for each of the template's.
 STRETCH = 1.5
@@ -99,7 +115,9 @@ class Template:
         self.counts = Counter(self.words)
         self.need = -int(-coverage * len(self.words) // 1)  # words that must align
         self.width = int(STRETCH * len(self.words)) + 1
-        rare = sorted(self.counts, key=lambda w: (-len(w), w))  # long words are rare in other texts
+        self.barred = KINDS - self.counts.keys()
+        self.must = KINDS & self.counts.keys() | {w for w in self.counts if w.isdecimal()}
+        rare = sorted(self.counts, key=lambda w: (w == "by", -len(w), w))  # long words are rare in other texts
         spare, self.keys = len(self.words) - self.need, set()
         for w in rare:
             self.keys.add(w)
@@ -130,6 +148,11 @@ class Template:
         if start >= 0:
             yield start, end + 1
 
+    def tells(self, text: list[str], at: int, pairs: list[tuple[int, int]]) -> bool:
+        """Whether the words that tell this license from others align, and no such word of another stands between."""
+        place = text[at + pairs[0][0] : at + pairs[-1][0] + 1]
+        return self.must <= {self.words[j] for _, j in pairs} and self.barred.isdisjoint(place)
+
     def find(self, text: list[str]) -> Iterator[tuple[int, float, int, int]]:
         """(aligned words, coverage, first word, word behind) of each place that covers enough.
 
@@ -141,7 +164,7 @@ class Template:
             at, stop, best = a, b, None
             while at < stop:
                 pairs = align(text[at : min(b, at + self.width)], self.words) if text[at] in self.counts else []
-                if len(pairs) >= self.need and (best is None or len(pairs) > best[0]):
+                if len(pairs) >= self.need and (best is None or len(pairs) > best[0]) and self.tells(text, at, pairs):
                     if best is None:
                         stop = min(b, at + pairs[-1][0] + 1)
                     best = (len(pairs), len(pairs) / len(self.words), at + pairs[0][0], at + pairs[-1][0] + 1)

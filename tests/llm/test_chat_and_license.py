@@ -92,6 +92,17 @@ def test_planted_licenses(spark):
     assert by[2].n_found == 2 and by[0].coverage == 1.0 and 0.9 < by[1].coverage < 1 and by[None].n_found == 1
 
 
+def test_statements_in_other_words():
+    scanner = s.Scanner()
+    for text, want in {
+        "Licensed under the MIT License": "MIT", "Code: Apache License 2.0, see LICENSE": "Apache-2.0", "Dieses Werk steht unter CC BY-SA 4.0": "CC-BY-SA-4.0", "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "distributed under the GNU Lesser General Public License, version 3": "LGPL-3.0", "under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "GNU Lesser General Public License v. 2.1 or version 2.1": "LGPL-2.1", "Dedicated under CC0 1.0": "CC0-1.0", "(c) 2020 Somebody. All rights reserved.": "All-rights-reserved", "Licensed under CC BY 4.0.": "CC-BY-4.0", "GPLv3 applies": "GPL-3.0",
+        s.TEMPLATES["GPL-3.0"][1].replace("version 3", "version 2"): "GPL-2.0", "the license comes by version 3 of the general public": "", "This work is licensed under the GNU General Public License, version 9.": "",
+    }.items():
+        assert ",".join(sorted({f[0] for f in scanner.scan(text)})) == want, text
+
+
 def test_query_finds_all_statements(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
