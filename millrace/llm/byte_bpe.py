@@ -4,13 +4,17 @@ Each batch of documents is cut into pieces by the tokenizer's pattern; pieces no
 (piece, position, token). A recursive query joins neighbours with the merge table and contracts the leftmost pair of the
 least rank of each piece until nothing merges. The ids of a document are decoded by an ordered aggregation over the
 positions. Work goes in slices of a bounded number of tokens, so memory does not grow with a text.
+
+A contraction at a time is square in a piece's length, so a piece of more than SQL_BYTES bytes is first cut where no
+token of the vocabulary can lie across, which changes nothing: no pair over such a place ever has a rank. Its parts are
+then pieces of the query like others. Only parts that are still longer are contracted in arrays, by the same rule: all
+occurrences of a part's least rank in one step, from the left, up to the first that makes a pair of lower rank.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import itertools
 from collections.abc import Iterable, Iterator
 
@@ -23,8 +27,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import read
 
-#: Pieces of more bytes are merged with a heap instead: each contraction would scan the whole piece.
-SQL_BYTES = 400
+#: Longer pieces are cut where no token lies across; what cannot be cut so is contracted in arrays.
+SQL_BYTES = 128
 #: Encoded pieces that a task remembers, and tokens of one decoding query.
 MEMORY_PIECES = 350_000
 SLICE_TOKENS = 250_000
@@ -41,7 +45,7 @@ WITH RECURSIVE step(spot, e, t, live) AS (
          CASE WHEN s.spot & 1023 = (k >> 20) & 1023 THEN k >> 30 ELSE s.t END, k IS NOT NULL
   FROM step s LEFT JOIN (
     SELECT l.spot >> 10 AS w, min((m.rank << 30) | ((l.spot & 1023) << 20) | (l.e << 10) | r.e) AS k
-    FROM step l JOIN step r ON r.spot = (l.spot >> 10 << 10) + l.e JOIN merges m ON m.pair = (l.t << 16) | r.t
+    FROM step l JOIN step r ON r.spot = (l.spot >> 10 << 10) + l.e JOIN merges m ON m.pair = (l.t << 20) | r.t
     WHERE l.live GROUP BY 1
   ) b ON b.w = s.spot >> 10
   WHERE s.live AND (k IS NULL OR s.spot & 1023 <> (k >> 10) & 1023)
@@ -51,19 +55,68 @@ SELECT spot >> 10 AS w, list(t ORDER BY spot) AS ids FROM step WHERE NOT live GR
 DECODE = "SELECT d, string_agg(v.chars, '' ORDER BY i.p) AS chars FROM ids i JOIN vocab v USING (id) GROUP BY d"
 
 
+#: The rank of a pair that does not merge.
+NEVER = np.iinfo(np.int32).max
+
+
+def _sorted(keys: list[int], values: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    k = np.array(keys, dtype=np.int64)
+    order = np.argsort(k)
+    return k[order], np.array(values, dtype=np.int32)[order]
+
+
+def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: int) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(wanted), missing, dtype=np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], missing)
+
+
 class Ranks:
     """Tokens and their merge table: a pair merges into the token of its joined bytes, whose id is the pair's rank."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        if max(ranks.values(), default=0) >= 1 << 20:
+            raise ValueError("ids must be under 2**20: two of them make a pair's key")
         self.pattern = pattern
         self.ids = dict(ranks)
-        left, right, rank = [], [], []
+        pair, rank = [], []
+        nodes: dict[bytes, int] = {b"": 0}  # of the tree of the tokens' beginnings
+        edge, to = [], []
         for token, number in ranks.items():
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    left.append(a), right.append(b), rank.append(number)
-        self.merges = tuple(np.array(x, dtype=np.int32) for x in (left, right, rank))
+                    pair.append(a << 20 | b), rank.append(number)
+            for end in range(1, len(token) + 1):
+                if (head := token[:end]) not in nodes:
+                    nodes[head] = len(nodes)
+                    edge.append(nodes[token[: end - 1]] << 8 | token[end - 1]), to.append(nodes[head])
+        self.pair, self.rank = _sorted(pair, rank)
+        self.edge, self.to = _sorted(edge, to)
+        self.is_token = np.zeros(len(nodes), dtype=bool)
+        self.is_token[[nodes[t] for t in ranks]] = True
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair; NEVER if it does not merge."""
+        return _look_up(self.pair, self.rank, (left.astype(np.int64) << 20) | right, NEVER)
+
+    def cuts(self, raw: bytes) -> np.ndarray:
+        """Places of raw that no token lies across, ends included."""
+        data = np.frombuffer(raw, dtype=np.uint8)
+        reach = np.arange(1, len(data) + 1)
+        for start in range(0, len(data), 1 << 20):
+            at = np.arange(start, min(len(data), start + (1 << 20)))
+            node, n = np.zeros(len(at), dtype=np.int64), 0
+            while len(at):
+                node = _look_up(self.edge, self.to, (node << 8) | data[at + n], -1)
+                n += 1
+                found = self.is_token[node] & (node >= 0)
+                reach[at[found]] = at[found] + n
+                alive = (node >= 0) & (at + n < len(data))
+                at, node = at[alive], node[alive]
+        far = np.maximum.accumulate(reach)
+        return np.r_[0, np.flatnonzero(far == np.arange(1, len(data) + 1)) + 1]
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Ranks:
@@ -80,8 +133,7 @@ class Coder:
         self.memory: dict[str, bytes] = {}
         self.again: set[str] = set()  # pieces that more than one slice had
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
-        left, right, rank = ranks.merges
-        self._table("merges", {"pair": (left.astype(np.int64) << 16) | right, "rank": rank.astype(np.int64)})
+        self._table("merges", {"pair": ranks.pair, "rank": ranks.rank.astype(np.int64)})
         tokens = list(ranks.ids)
         self._table("vocab", {"id": np.array(list(ranks.ids.values()), dtype=np.int32), "chars": pa.array([t.decode("latin-1") for t in tokens])})
         self.byte_ids = np.array([ranks.ids[bytes([b])] for b in range(256)], dtype=np.int32)
@@ -91,60 +143,75 @@ class Coder:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def _long(self, piece: bytes) -> list[int]:
-        """The same contraction with a heap of (rank, position) and links between the tokens left."""
-        merge = self.ranks.ids
-        end = list(range(1, len(piece) + 1))  # the token at i is piece[i:end[i]]
-        prior, gone = list(range(-1, len(piece) - 1)), [False] * len(piece)
-
-        def pair(i: int):
-            j = end[i]
-            return merge.get(piece[i : end[j]]) if j < len(piece) else None
-
-        heap = [(r, i) for i in range(len(piece) - 1) if (r := pair(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            if gone[i] or pair(i) != rank:
-                continue
-            j = end[i]
-            gone[j], end[i] = True, end[j]
-            if end[i] < len(piece):
-                prior[end[i]] = i
-            for at in (i, prior[i]):
-                if at >= 0 and (r := pair(at)) is not None:
-                    heapq.heappush(heap, (r, at))
-        out, i = [], 0
-        while i < len(piece):
-            out.append(merge[piece[i : end[i]]])
-            i = end[i]
+    def _arrays(self, token: np.ndarray) -> np.ndarray:
+        """Contracts one long part: each step takes the least rank from the left, up to an occurrence that makes a pair of lower rank."""
+        rank = self.ranks.ranks_of(token[:-1], token[1:])
+        while len(rank) and (least := rank.min()) != NEVER:
+            at = np.flatnonzero(rank == least)
+            run = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) > 1], np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]  # occurrences that overlap: every other one
+            while True:
+                gone = np.zeros(len(token), dtype=bool)
+                gone[at + 1] = True
+                merged = token.copy()
+                merged[at] = least
+                merged, place = merged[~gone], at - np.arange(len(at))
+                touched = np.unique(np.r_[place - 1, place])
+                touched = touched[(touched >= 0) & (touched < len(merged) - 1)]
+                made = self.ranks.ranks_of(merged[touched], merged[touched + 1])
+                lower = np.flatnonzero(made < least)
+                last = np.searchsorted(place, touched[lower[0]]) + 1 if len(lower) else len(at)
+                if last >= len(at):
+                    break
+                at = at[:last]
+            rank = rank[~gone[:-1]][: len(merged) - 1]
+            rank[touched] = made
+            token = merged
+        return token
+
+    def _long(self, raw: bytes) -> bytes:
+        """The ids of a long piece: its parts between cuts, as pieces of the query where they are short."""
+        cuts = self.ranks.cuts(raw)
+        out = []
+        for start in range(0, len(cuts) - 1, 50_000):
+            parts = [raw[a:b] for a, b in itertools.pairwise(cuts[start : start + 50_001])]
+            short = list({p for p in parts if len(p) <= SQL_BYTES})
+            known = dict(zip(short, self._merged(short), strict=True))
+            out += [known[p] if p in known else self._arrays(self.byte_ids[np.frombuffer(p, dtype=np.uint8)]).astype("<u4").tobytes() for p in parts]
+        return b"".join(out)
+
+    def _merged(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of short pieces by the recursive query."""
+        out = [b""] * len(parts)
+        for start in range(0, len(parts), 20_000):
+            part = parts[start : start + 20_000]
+            sizes = np.array([len(raw) for raw in part])
+            first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            flat = np.frombuffer(b"".join(part), dtype=np.uint8)
+            place = np.arange(len(flat)) - first
+            rows = pa.table({"spot": (np.repeat(np.arange(len(part)), sizes) << 10) | place, "e": place + 1, "t": self.byte_ids[flat].astype(np.int64)})
+            self.db.register("start", rows)
+            got = self.db.sql(MERGE).to_arrow_table()
+            self.db.unregister("start")
+            lists = got.column("ids").combine_chunks()
+            values, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes(), (lists.offsets.to_numpy() * 4).tolist()
+            for w, a, b in zip(got.column("w").to_pylist(), offsets, offsets[1:]):
+                out[start + w] = values[a:b]
         return out
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encodes pieces that memory lacks."""
-        ids, todo = self.ranks.ids, []
+    def learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """Encodes pieces that memory lacks; long ones are returned and not remembered."""
+        ids, names, todo, long = self.ranks.ids, [], [], {}
         for piece in pieces:
             raw = piece.encode()
             if (whole := ids.get(raw)) is not None:
-                self.memory[piece] = np.uint32(whole).tobytes()
+                self.memory[piece] = whole.to_bytes(4, "little")
             elif len(raw) > SQL_BYTES:
-                self.memory[piece] = np.array(self._long(raw), dtype="<u4").tobytes()
+                long[piece] = self._long(raw)
             else:
-                todo.append((piece, raw))
-        for start in range(0, len(todo), 20_000):
-            part = todo[start : start + 20_000]
-            sizes = np.array([len(raw) for _, raw in part])
-            first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-            flat = np.frombuffer(b"".join(raw for _, raw in part), dtype=np.uint8)
-            place = np.arange(len(flat)) - first
-            rows = pa.table({"spot": (np.repeat(np.arange(len(part)), sizes) << 10) | place, "e": place + 1, "t": self.byte_ids[flat].astype(np.int64)})
-            self.db.register("start", rows)
-            out = self.db.sql(MERGE).to_arrow_table()
-            self.db.unregister("start")
-            lists = out.column("ids").combine_chunks()
-            values, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
-            for w, a, b in zip(out.column("w").to_pylist(), offsets[:-1], offsets[1:], strict=True):
-                self.memory[part[w][0]] = values[a:b].tobytes()
+                names.append(piece), todo.append(raw)
+        self.memory.update(zip(names, self._merged(todo), strict=True))
+        return long
 
     def cut(self, text: str) -> Iterator[list[str]]:
         """The text's pieces, in slices."""
@@ -177,9 +244,12 @@ class Coder:
         if len(self.memory) + len(distinct) - len(known) > MEMORY_PIECES:  # forget what was met in one slice only
             self.again &= self.memory.keys() if len(self.again) < MEMORY_PIECES // 2 else distinct
             self.memory = {x: self.memory[x] for x in self.again | known}
-        self.learn(distinct - known)
+        long = self.learn(distinct - known)
         for at, pieces in held:
-            yield at, b"".join(map(self.memory.__getitem__, pieces))
+            if long and not long.keys().isdisjoint(pieces):
+                yield at, b"".join(long[x] if x in long else self.memory[x] for x in pieces)
+            else:
+                yield at, b"".join(map(self.memory.__getitem__, pieces))
 
     def decode(self, slices: list[np.ndarray]) -> list[bytes]:
         """The bytes of each slice of ids."""

@@ -1,5 +1,8 @@
 import collections
 import hashlib
+import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -43,6 +46,29 @@ def test_bpe_query_over_table(spark):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
 
 
+def test_long_runs_match_tiktoken():
+    path, pattern = byte_bpe.tokenizer()
+    coder, other, rng = byte_bpe.Coder(byte_bpe.Ranks.load(path, pattern)), reference(), random.Random(4)
+    for letters in ("ACGT", "ab", "abcdefghijklmnopqrstuvwxyz", "aA", "इसकाहैमें", "的一是不了人我在", "-=", "a", " ", "zq"):
+        for size in (byte_bpe.SQL_BYTES + 1, 999, 30_000):
+            text = "".join(rng.choices(letters, k=size))
+            assert b"".join(raw for _, raw in coder.encode([text])) == np.array(other.encode_ordinary(text), dtype="<u4").tobytes(), (letters, size)
+
+
+def test_a_run_of_20_megabytes_in_bounded_memory():
+    code = """
+import random, resource, time
+from millrace.llm import byte_bpe
+coder = byte_bpe.Coder(byte_bpe.Ranks.load(*byte_bpe.tokenizer()))
+text = "".join(random.Random(1).choices("ACGT", k=20_000_000))
+before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+assert sum(len(raw) for _, raw in coder.encode([text])) > 20_000_000
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, time.time() - began)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert int(got[0]) < 1500 and float(got[1]) < 90, got
+
+
 def check_shards(rows, texts, shards, slack):
     assert len(rows) == len(texts)
     sizes, slots = collections.Counter(), collections.defaultdict(list)
