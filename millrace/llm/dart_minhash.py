@@ -9,14 +9,13 @@ weighted Jaccard similarity.
 
 Documents with equal sets are one node. Nodes that agree on all rows of a band share a bucket. In each bucket every
 node is compared with the bucket's leader, the node that shares most buckets, which links a group of copies without
-its pairs. In buckets that are still of several components the other pairs are compared block by block, by signature and
-the likely ones by their texts, and a block returns a forest of links. All links are verified on the shingles themselves.
+its pairs. In buckets that are still of several components the other pairs are compared block by block by their
+signatures; only nodes of likely pairs have their texts sent, once for each block, where a forest of links is verified.
+All links are verified on the weights of the shingles' 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import UPPER, WORD, join_groups, read
+from millrace.llm.common import join_groups, read
 from millrace.llm.components import components
 from millrace.storage import drop_path, materialize, table_path
 
@@ -37,10 +36,10 @@ BANDS, ROWS = 32, 6
 K = BANDS * ROWS
 #: Expected darts: enough that all coordinates are hit in most documents; the others get twice as many, and so on.
 DARTS = K * np.log(K) + 2 * K
-#: Share of agreeing coordinates from which a pair is compared by text: four standard deviations under 0.8.
-LIKELY = 0.68
-#: Bytes of text that are hashed at once, nodes of a block, and pairs of one leader in a task.
-SLICE, BLOCK, PAIRS = 1_000_000, 256, 400
+#: Share of agreeing coordinates from which a pair of a block is compared by text: five standard deviations under 0.8.
+LIKELY = 0.66
+#: Bytes of text that are hashed at once, shingles that throw darts at once, nodes and words of a block, pairs of one leader in a task.
+SLICE, THROWN, BLOCK, BLOCK_WORDS, PAIRS = 1_000_000, 300_000, 256, 4_000_000, 400
 
 U = np.uint64
 
@@ -77,26 +76,62 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def _edges(inside: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of words and the bytes behind them; no word goes over a border."""
+    before, behind = np.zeros_like(inside), np.zeros_like(inside)
+    before[1:], behind[:-1] = inside[:-1], inside[1:]
+    before[borders], behind[borders - 1] = False, False
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~behind) + 1
+
+
+def _finished(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return mix(sums + sizes.astype(np.uint64) * gold(7))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, offsets of each text's words) of UTF-8 texts that stand one after the other.
 
     A word's hash is a polynomial of its bytes' numbers, taken from running sums, so that no word is cut out as a string.
     """
-    inside = _IN_WORD[data]
-    before, behind = np.zeros_like(inside), np.zeros_like(inside)
-    before[1:], behind[:-1] = inside[:-1], inside[1:]
-    edges = offsets[(offsets > 0) & (offsets < len(data))]
-    before[edges], behind[edges - 1] = False, False
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~behind) + 1
+    starts, ends = _edges(_IN_WORD[data], offsets[(offsets > 0) & (offsets < len(data))])
     power, inverse = _power_tables(max(2, len(data)))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_VALUE[data] * power[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * gold(7))
-    return hashes, np.searchsorted(starts, offsets)
+    return _finished((sums[ends] - sums[starts]) * inverse[starts], ends - starts), np.searchsorted(starts, offsets)
+
+
+def long_word_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of the words of one long text, slice by slice; a word may go on over any number of slices."""
+    out, carry, held = [], 0, 0  # the sum and the length of a word that is still open
+    for at in range(0, len(data), SLICE):
+        part = data[at : at + SLICE]
+        starts, ends = _edges(_IN_WORD[part], np.zeros(0, dtype=np.int64))
+        power, inverse = _power_tables(SLICE + 1)
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_VALUE[part] * power[: len(part)], out=sums[1:])
+        sums, sizes = (sums[ends] - sums[starts]) * inverse[starts], ends - starts
+        if held and len(starts) and starts[0] == 0:
+            sums[0] = U((carry + int(sums[0]) * pow(_BASE, held, 2**64)) % 2**64)
+            sizes[0] += held
+        elif held:
+            sums, sizes = np.r_[U(carry), sums], np.r_[held, sizes]
+        carry, held = (int(sums[-1]), int(sizes[-1])) if len(ends) and ends[-1] == len(part) else (0, 0)
+        done = len(sums) - bool(held)
+        out.append(_finished(sums[:done], sizes[:done]))
+    return np.concatenate([*out, _finished(np.array([carry], dtype=np.uint64), np.array([held]))] if held else out)
 
 
 def weighted_sets(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, shingle, weight) of distinct shingles, sorted by document; hashes: of the words of all documents."""
+    if len(offsets) == 2 and len(hashes) >= SHINGLE:  # one text, which may be long
+        shingle = np.empty(len(hashes) - SHINGLE + 1, dtype=np.uint64)
+        for at in range(0, len(shingle), SLICE):
+            part = hashes[at : at + SLICE + SHINGLE - 1]
+            size = len(part) - SHINGLE + 1
+            shingle[at : at + size] = mix(sum((mix(part[j : j + size] + gold(j + 1)) for j in range(SHINGLE)), np.zeros(size, dtype=np.uint64)))
+        shingle.sort()
+        first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+        return np.zeros(len(first), dtype=np.int64), shingle[first], np.diff(np.r_[first, len(shingle)])
     n = np.diff(offsets)
     docs = np.repeat(np.arange(len(n)), n)
     at = np.arange(len(hashes)) - offsets[docs]
@@ -119,12 +154,18 @@ def weighted_sets(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 def throw(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, limit: np.ndarray) -> np.ndarray:
     """Earliest dart of each document and coordinate with rank under the document's limit; infinite where there is none."""
     best = np.full(len(limit) * K, np.inf)
+    for at in range(0, len(doc), THROWN):
+        _throw(doc[at : at + THROWN], element[at : at + THROWN], weight[at : at + THROWN], limit, best)
+    return best.reshape(-1, K)
+
+
+def _throw(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, limit: np.ndarray, best: np.ndarray) -> None:
     level = 0
     while True:
         low = 2**level - 1
         own = np.flatnonzero(weight > low)
         if not len(own):
-            return best.reshape(-1, K)
+            return
         d, w = doc[own], weight[own]
         seed = mix(element[own] + gold(level + 1))
         rank = np.zeros(len(own))
@@ -172,51 +213,62 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
 SIGNATURE = "n long, c1 long, c2 long, bands array<long>, marks binary"
 
 
-def _signature(column: pa.Array) -> pa.Array:
+def _hashed(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes and offsets of groups of texts of about SLICE bytes together; a longer text is a group of its own."""
     texts = pc.fill_null(column, "").cast(pa.large_binary())
     _, ends, data = texts.buffers()
     offsets = np.frombuffer(ends, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, np.uint8)
-    parts, start = [], 0
+    start = 0
     while start < len(texts):
         end = int(np.searchsorted(offsets, offsets[start] + SLICE, side="right")) - 1
         end = min(max(start + 1, end), len(texts))
-        parts.append(signatures(*word_hashes(raw[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])))
+        part = raw[offsets[start] : offsets[end]]
+        if len(part) > SLICE:
+            hashes = long_word_hashes(part)
+            yield hashes, np.array([0, len(hashes)])
+        else:
+            yield word_hashes(part, offsets[start : end + 1] - offsets[start])
         start = end
+
+
+def _signature(column: pa.Array) -> pa.Array:
+    parts = [signatures(*x) for x in _hashed(column)]
     if not parts:
         return pa.array([], type=pa.struct([("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("bands", pa.list_(pa.int64())), ("marks", pa.binary())]))
     whole = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-    bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(texts) + 1) * BANDS, BANDS), pa.int32()), pa.array(whole["bands"].reshape(-1)))
+    bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(column) + 1) * BANDS, BANDS), pa.int32()), pa.array(whole["bands"].reshape(-1)))
     marks = pa.array([m.tobytes() for m in whole["marks"]], pa.binary())
     return pa.StructArray.from_arrays([pa.array(whole["n"]), pa.array(whole["c1"]), pa.array(whole["c2"]), bands, marks], ["n", "c1", "c2", "bands", "marks"])
 
 
-_LOW = str.maketrans(UPPER, UPPER.lower())
-_WORD = re.compile(WORD)
-
-
-def shingle_counts(text: str) -> Counter:
-    """The weighted set of a text: its five-word shingles, or all its words if there are fewer."""
-    w = _WORD.findall(text.translate(_LOW))
-    return Counter(zip(*(w[i:] for i in range(SHINGLE)), strict=False)) if len(w) >= SHINGLE else Counter([tuple(w)] if w else [])
+def shingle_sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sorted hashes, weights) of the shingles of each text."""
+    out = []
+    for hashes, offsets in _hashed(texts):
+        doc, shingle, weight = weighted_sets(hashes, offsets)
+        edges = np.searchsorted(doc, np.arange(len(offsets)))
+        out += [(shingle[a:b], weight[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return out
 
 
-def similar(a: Counter, b: Counter) -> bool:
-    if len(b) < len(a):
-        a, b = b, a
-    both = sum(min(n, b[s]) for s, n in a.items() if s in b)
-    return SIMILAR[1] * both >= SIMILAR[0] * (a.total() + b.total() - both) > 0
+def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    both = int(np.minimum(a[1][i], b[1][j]).sum())
+    return SIMILAR[1] * both >= SIMILAR[0] * (int(a[1].sum()) + int(b[1].sum()) - both) > 0
 
 
-def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    last, held = None, Counter()
-    for b in batches:
-        keep = []
-        for hub, hub_text, text in zip(b["v"], b["text_v"], b["text_u"], strict=True):
-            if hub != last:
-                last, held = hub, shingle_counts(hub_text)
-            keep.append(similar(held, shingle_counts(text)))
-        yield b.loc[keep, ["u", "v"]]
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, held = None, None
+    for whole in batches:
+        for start in range(0, len(whole), 256):
+            b = whole.slice(start, 256)
+            sets, hubs, keep = shingle_sets(b.column("text_u")), b.column("v").to_numpy(), np.zeros(len(b), dtype=bool)
+            for at, hub in enumerate(hubs):
+                if hub != last:
+                    last, held = hub, shingle_sets(b.column("text_v").slice(at, 1))[0]
+                keep[at] = similar(held, sets[at])
+            yield b.select(["u", "v"]).filter(pa.array(keep))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -228,30 +280,35 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     spread = hubs.join(texts, hubs["v"] == texts["rid"]).select("v", F.col("text").alias("text_v"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
     full = salted.join(texts, salted["u"] == texts["rid"]).select("u", "v", "salt", F.col("text").alias("text_u"))
     joined = full.join(spread, ["v", "salt"]).select("u", "v", "text_u", "text_v")
-    return joined.mapInPandas(_verified, "u long, v long")
+    return joined.mapInArrow(_verified, "u long, v long")
 
 
-def _block_links(block: pd.DataFrame) -> pd.DataFrame:
-    """Links between nodes of different components in a block or between its two sides, as a forest: no link that earlier ones imply.
-
-    A pair is looked at in the bucket of its first common band only, and by text only if its marks mostly agree; pairs
-    that agree most come first, so that most of the others are already connected.
-    """
+def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of nodes of different components in a block or between its two sides whose marks mostly agree, each in the bucket of its first common band only."""
     block = block.sort_values("rid")
     marks = np.stack([np.frombuffer(m, dtype="<u2") for m in block["marks"]])
-    rid, label, side, texts = (block[c].to_numpy() for c in ("rid", "label", "side", "text"))
-    band, mixed, one = int(block["band"].iloc[0]), block["i"].iloc[0] != block["j"].iloc[0], block["i"].iloc[0]
-    found = []
+    rid, label, side = (block[c].to_numpy() for c in ("rid", "label", "side"))
+    key, i, j, band = (block[c].iloc[0] for c in ("key", "i", "j", "band"))
+    parts = []
     for at in range(len(rid)):
-        if mixed and side[at] != one:
+        if i != j and side[at] != i:
             continue
-        other = np.flatnonzero((label != label[at]) & ((side != side[at]) if mixed else (np.arange(len(rid)) > at)))
+        other = np.flatnonzero((label != label[at]) & ((side != side[at]) if i != j else (np.arange(len(rid)) > at)))
         same = marks[other] == marks[at]
         share = same.mean(axis=1)
         good = share >= LIKELY
         other, share, same = other[good], share[good], same[good]
         first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-        found += [(-s, at, int(o)) for s, o in zip(share[first], other[first], strict=True)]
+        if first.any():
+            other, share = other[first], share[first]
+            parts.append(pd.DataFrame({"u": rid[at], "v": rid[other], "lu": label[at], "lv": label[other], "share": share}))
+    out = pd.concat(parts) if parts else pd.DataFrame({"u": [], "v": [], "lu": [], "lv": [], "share": []})
+    return out.assign(key=key, i=i, j=j)[["key", "i", "j", "u", "v", "lu", "lv", "share"]]
+
+
+def _block_links(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+    """Verified links of a block as a forest: no link that earlier ones imply. Pairs that agree most come first, so that most others are already connected."""
+    sets = dict(zip(texts.column("rid").to_pylist(), shingle_sets(texts.column("text").combine_chunks()), strict=True))
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -260,18 +317,13 @@ def _block_links(block: pd.DataFrame) -> pd.DataFrame:
             x = up
         return x
 
-    sets: dict[int, Counter] = {}
     out = []
-    for _, a, b in sorted(found):
-        if (x := root(label[a])) == (y := root(label[b])):
-            continue
-        for i in (a, b):
-            if i not in sets:
-                sets[i] = shingle_counts(texts[i])
-        if similar(sets[a], sets[b]):
+    rows = zip(*(pairs.column(c).to_pylist() for c in ("share", "u", "v", "lu", "lv")), strict=True)
+    for _, u, v, lu, lv in sorted(rows, key=lambda r: (-r[0], r[1], r[2])):
+        if (x := root(lu)) != (y := root(lv)) and similar(sets[u], sets[v]):
             parent[x] = y
-            out.append((rid[a], rid[b]))
-    return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+            out.append((u, v))
+    return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -286,11 +338,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     worded = rows.filter("n > 0")
     sets = materialize(worded.groupBy("c1", "c2").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"), F.max(F.struct(F.col("row")[id_col].alias("id"), "rid")).alias("top")), "dart-sets")
-    nodes = sets.select("rid").join(worded.select("rid", "bands", "marks"), "rid")
-    keyed = materialize(nodes.select("rid", F.posexplode("bands").alias("band", "value")).select("rid", "band", F.xxhash64("band", "value").alias("key")), "dart-keys")
-    buckets = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "dart-buckets")
+    nodes = sets.select("rid").join(worded.select("rid", "bands", "n"), "rid")
+    keyed = materialize(nodes.select("rid", "n", F.posexplode("bands").alias("band", "value")).select("rid", "n", "band", F.xxhash64("band", "value").alias("key")), "dart-keys")
+    buckets = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words")).filter("size > 1"), "dart-buckets")
     total = max(1, keyed.count())
-    members = materialize(join_groups(keyed, buckets, ["key"], "size", total), "dart-members")
+    members = materialize(join_groups(keyed.drop("n"), buckets, ["key"], "size", total), "dart-members")
     drop_path(docs.sparkSession, table_path(keyed)) if total > 1 else None
 
     # leaders: the node that shares most buckets, by their sizes
@@ -307,11 +359,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tagged = materialize(tagged, "dart-tagged")
     parted = materialize(tagged.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.first("size").alias("n")).filter("a <> b").select("key", "n"), "dart-parted")
     mixed = join_groups(tagged, parted, ["key"], "n", total)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    full = mixed.join(worded.select("rid", "marks"), "rid").join(texts, "rid")
-    spread = full.select("key", "band", "rid", "label", "marks", "text", F.pmod(F.xxhash64("rid"), blocks).cast("int").alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    spread = spread.select("key", "band", "rid", "label", "marks", "text", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    more = materialize(spread.groupBy("key", "i", "j").applyInPandas(_block_links, "u long, v long"), "dart-links-2")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("int")
+    full = mixed.join(worded.select("rid", "marks"), "rid")
+    spread = full.select("key", "band", "rid", "label", "marks", F.pmod(F.xxhash64("rid"), blocks).cast("int").alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    spread = spread.select("key", "band", "rid", "label", "marks", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    block = ["key", "i", "j"]
+    likely = materialize(spread.groupBy(*block).applyInPandas(_block_pairs, "key long, i int, j int, u long, v long, lu long, lv long, share double"), "dart-likely")
+    sent = likely.select(*block, F.explode(F.array("u", "v")).alias("rid")).distinct().join(texts, "rid").select(*block, "rid", "text").toDF("k", "a", "b", "rid", "text")
+    more = materialize(likely.groupBy(*block).cogroup(sent.groupBy("k", "a", "b")).applyInArrow(_block_links, "u long, v long"), "dart-links-2")
     final = components(links.unionByName(more))
 
     labelled = materialize(sets.join(final.withColumnRenamed("node", "rid"), "rid", "left").select("c1", "c2", "copies", "top", F.coalesce("label", "rid").alias("label")), "dart-labelled")

@@ -1,17 +1,36 @@
 import collections
 import random
+import re
+import subprocess
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import dart_minhash as m
+from millrace.llm.common import UPPER, WORD
 from millrace.llm.components import components
 
 
+LOW = str.maketrans(UPPER, UPPER.lower())
+
+
+def shingle_counts(text):
+    """The weighted set of a text as words: its five-word shingles, or all its words if there are fewer."""
+    w = re.findall(WORD, text.translate(LOW))
+    return collections.Counter(zip(*(w[i:] for i in range(5)), strict=False)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
+
+
+def similar(a, b):
+    both = sum((a & b).values())
+    return 5 * both >= 4 * (a.total() + b.total() - both) > 0
+
+
 def brute_classes(rows):
     """Class (a frozenset of row numbers) of each row, comparing all rows that share a shingle."""
-    sets = [m.shingle_counts(t or "") for _, t in rows]
+    sets = [shingle_counts(t or "") for _, t in rows]
     index = collections.defaultdict(list)
     parent = list(range(len(rows)))
 
@@ -34,7 +53,7 @@ def brute_classes(rows):
             index[x].append(i)
     for i in by_set.values():
         for j in {j for x in sets[i] for j in index[x] if j < i}:
-            if find(i) != find(j) and m.similar(sets[i], sets[j]):
+            if find(i) != find(j) and similar(sets[i], sets[j]):
                 parent[find(i)] = find(j)
     groups = collections.defaultdict(list)
     for i in range(len(rows)):
@@ -72,7 +91,7 @@ def test_words_are_those_of_the_pattern():
     texts = ["", "A a", "x", "é É日本, naïve_x9 9", "..", "Tail ", " a"] + ["".join(rng.choice("aAbZ09 _.é日\n") for _ in range(60)) for _ in range(50)]
     raw = [t.encode() for t in texts]
     hashes, offsets = m.word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-    words = [m._WORD.findall(t.translate(m._LOW)) for t in texts]
+    words = [re.findall(WORD, t.translate(LOW)) for t in texts]
     assert np.diff(offsets).tolist() == list(map(len, words))
     flat = [w for ws in words for w in ws]
     assert len(set(zip(flat, hashes.tolist(), strict=True))) == len(set(flat)) == len(set(hashes.tolist()))
@@ -140,3 +159,45 @@ def test_groups_chains_and_edges(spark, monkeypatch):
 def test_query_against_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect()]
     check(m.op6_dart_minhash(spark, f"/root/testdata/{sf}").collect(), rows)
+
+
+def test_long_texts_are_hashed_in_slices(monkeypatch):
+    rng = random.Random(8)
+    for text in ("ab cd  ef", "x" * 500, "é" * 333 + " y", " " * 70, "one " * 40 + "z" * 90 + " two", "".join(rng.choice("ab ,é") for _ in range(3000))):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        want, _ = m.word_hashes(raw, np.array([0, len(raw)]))
+        for size in (1, 2, 7, 64, 100_000):
+            monkeypatch.setattr(m, "SLICE", size)
+            assert m.long_word_hashes(raw).tolist() == want.tolist()
+    monkeypatch.undo()
+    texts = pa.array([" ".join(str(rng.randrange(900)) for _ in range(n)) for n in (3, 40, 4000, 900)])
+    whole = m._signature(texts).to_pylist()
+    monkeypatch.setattr(m, "SLICE", 2000), monkeypatch.setattr(m, "THROWN", 100)
+    assert m._signature(texts).to_pylist() == whole
+
+
+def test_verification_by_hashes_is_that_by_words():
+    rng = random.Random(5)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 90))]
+        texts += [" ".join(base), " ".join(w if rng.random() > 0.03 else "new" for w in base), " ".join(base + base[: rng.randrange(len(base))])]
+    sets, plain = m.shingle_sets(pa.array(texts)), [shingle_counts(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(max(0, i - 4), i)]
+    got = [m.similar(sets[i], sets[j]) for i, j in pairs]
+    assert got == [similar(plain[i], plain[j]) for i, j in pairs] and 0 < sum(got) < len(got)
+
+
+def test_a_text_of_20_megabytes_in_bounded_memory():
+    code = """
+import resource, time, random, pyarrow as pa
+from millrace.llm import dart_minhash as m
+rng = random.Random(1)
+names = [f"w{i}" for i in range(50000)]
+text = pa.array([" ".join(rng.choices(names, k=3_000_000)), "q" * 20_000_000])
+before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+assert m._signature(text).to_pylist()[0]["n"] == 3_000_000 - 4
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, time.time() - began)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert int(got[0]) < 500 and float(got[1]) < 60
