@@ -28,9 +28,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the largest doc_id of each group of texts that are equal but for the case of A-Z; of repeated rows one."""
     kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    named = docs.withColumn("__text", F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
-    joined = named.join(kept, named["doc_id"].eqNullSafe(kept["__id"]) & (named["__text"] == kept["__sha"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+    named = docs.select(F.struct(*docs.columns).alias("row")).select("row", F.sha2(ascii_lower(F.coalesce(F.col("row.text"), F.lit(""))), 256).alias("sha"), F.col("row.doc_id").alias("id"))
+    joined = named.join(kept, F.col("id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha")), "left_semi")
+    return joined.dropDuplicates(["id", "sha"]).select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
