@@ -29,6 +29,13 @@ def wide_hash(value: Column) -> list[Column]:
     return [F.xxhash64(value).alias("h1"), F.xxhash64(F.lit(7), value).alias("h2")]
 
 
+def windows(text: Column, key: Column, n: int, size: int) -> Column:
+    """The text, or n stretches of `size` characters where it has more than they: one in each n-th of it, at a place by the key's hash."""
+    part = F.length(text) / n
+    spots = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substr(text, (i * part + F.pmod(F.xxhash64(key, i), F.greatest(F.lit(1), part.cast("long") - size + 1))).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(text) <= n * size, text).otherwise(F.array_join(spots, "\n"))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -9,33 +9,37 @@ text: long texts are cut into segments whose transfer matrices carry the message
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import read
+from millrace.llm.common import read, windows
 
-#: Training documents of a language and characters of each, at most.
-PER_LANGUAGE, TRAIN_CHARS = 400, 6000
+#: The training sample: documents of a language and languages, at most; a text of over WINDOWS * WINDOW characters gives
+#: that many windows, drawn over the whole of it. Other values of lang than the most frequent are not learned.
+PER_LANGUAGE, LANGUAGES = 400, 256
+WINDOWS, WINDOW = 6, 1000
 #: Hashed weights of a language, longest n-gram, and steps of training.
 BUCKETS, LONGEST, STEPS = 1 << 16, 4, 260
 LENGTH, SEQUENCES, STRETCH = 96, 48, 20
 #: Words of a segment, words that are labelled at once, and words whose scores a task remembers.
 SEGMENT, AT_ONCE, MEMORY_WORDS = 128, 300_000, 500_000
+#: Characters whose n-grams are made at once, and of a word that is remembered.
+GRAM_CHARS, SHORT_WORD = 200_000, 100
 FOLDS, HELD = 4, 2
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 U = np.uint64
 
 
 def tokens(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
+    """Runs of letters with their marks, lower-cased."""
     return _LETTERS.findall(text.lower()) if text else []
 
 
@@ -45,21 +49,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
+def gram_slices(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first word, word number from there, bucket) of all n-grams of marked words, GRAM_CHARS characters at a time; a long word goes over several slices."""
+    codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    ends = np.cumsum([len(w) + 2 for w in words])
+    for start in range(0, len(codes), GRAM_CHARS):
+        part = codes[start : start + GRAM_CHARS + LONGEST - 1].astype(np.uint64)
+        size = min(GRAM_CHARS, len(codes) - start)
+        first = int(np.searchsorted(ends, start, side="right"))
+        word = np.searchsorted(ends, np.arange(start, start + size), side="right")
+        left = ends[word] - np.arange(start, start + size)  # characters from here to the word's end
+        owner, bucket = [], []
+        acc = np.zeros(size, dtype=np.uint64)
+        for n in range(1, LONGEST + 1):
+            m = min(size, len(part) - n + 1)
+            acc[:m] = _mix(acc[:m] * U(31) + part[n - 1 : n - 1 + m] + U(n))
+            fits = left >= n
+            owner.append(word[fits] - first), bucket.append((acc[fits] % U(BUCKETS)).astype(np.int64))
+        yield first, np.concatenate(owner), np.concatenate(bucket)
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(word number, bucket) of all n-grams of marked words, sorted by word."""
-    codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    sizes = np.array([len(w) + 2 for w in words])
-    word = np.repeat(np.arange(len(words)), sizes)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters from here to the word's end
-    owner, bucket = [], []
-    acc = np.zeros(len(codes), dtype=np.uint64)
-    for n in range(1, LONGEST + 1):
-        if n > len(codes):
-            break
-        acc[: len(codes) - n + 1] = _mix(acc[: len(codes) - n + 1] * U(31) + codes[n - 1 :] + U(n))
-        fits = left >= n
-        owner.append(word[fits]), bucket.append((acc[fits] % U(BUCKETS)).astype(np.int64))
-    who, what = np.concatenate(owner), np.concatenate(bucket)
+    parts = list(gram_slices(words))
+    who, what = np.concatenate([w + first for first, w, _ in parts]), np.concatenate([b for _, _, b in parts])
     order = np.argsort(who, kind="stable")
     return who[order], what[order]
 
@@ -80,9 +93,13 @@ class Field:
         size = len(self.languages)
         if not words:
             return np.zeros((0, size), np.float32)
-        who, what = grams(words)
-        count = np.bincount(who, minlength=len(words))
-        out = np.stack([np.bincount(who, self.gram[what, k], minlength=len(words)) for k in range(size)], axis=1) / np.sqrt(count)[:, None]
+        out, count = np.zeros((len(words), size)), np.zeros(len(words))
+        for first, who, what in gram_slices(words):
+            n = int(who.max()) + 1
+            count[first : first + n] += np.bincount(who, minlength=n)
+            for k in range(size):
+                out[first : first + n, k] += np.bincount(who, self.gram[what, k], minlength=n)
+        out /= np.sqrt(count)[:, None]
         none = np.zeros(size, np.float32)
         return (out + self.lexicon_weight * np.stack([self.lexicon.get(w, none) for w in words])).astype(np.float32)
 
@@ -267,10 +284,14 @@ class Labeller:
     def __init__(self, field: Field):
         self.field = field
         self.memory: dict[str, int] = {}
+        self.long = False  # whether memory has words that are not to stay
         self.scores = np.zeros((1024, len(field.languages)), np.float32)
 
     def _rows(self, words: list[str]) -> np.ndarray:
+        if self.long:
+            self.memory.clear()
         new = list(set(words) - self.memory.keys())
+        self.long = any(len(w) > SHORT_WORD for w in new)
         if len(self.memory) + len(new) > MEMORY_WORDS:
             self.memory.clear()
             new = list(set(words))
@@ -311,16 +332,14 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Field:
-    """Trains on documents outside the held-out fold: up to PER_LANGUAGE of each language, those with the least hash of the id."""
+    """Trains on documents outside the held-out fold: up to PER_LANGUAGE of each of the LANGUAGES most frequent values, those with the least hash of id and text."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each language
-    place = F.xxhash64("id").cast("double") / 2.0**64 + 0.5  # 0 to 1
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = F.when(F.col("lang") == r["lang"], place <= 1.5 * PER_LANGUAGE / r["n"]).otherwise(chosen)
-    middle = F.greatest(F.lit(1), ((F.length("text") - TRAIN_CHARS) / 2).cast("int"))
-    rows = known.filter(chosen).select("lang", F.substr("text", middle, F.lit(TRAIN_CHARS)).alias("text"), place.alias("place"), "id").toPandas()
-    rows = rows.sort_values(["lang", "place", "id"]).groupby("lang").head(PER_LANGUAGE)
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    place = F.xxhash64("id", "text").cast("double") / 2.0**64 + 0.5  # 0 to 1
+    likely = known.withColumn("place", place).join(F.broadcast(counts), "lang").filter(F.col("place") <= 2.0 * PER_LANGUAGE / F.col("n"))
+    drawn = likely.select("lang", "place", "id", windows(F.col("text"), F.col("place"), WINDOWS, WINDOW).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id", "text"))
+    rows = drawn.withColumn("rank", rank).filter(F.col("rank") <= PER_LANGUAGE).orderBy("lang", "rank").toPandas()
     return train(list(rows["text"]), list(rows["lang"]))
 
 

@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -75,14 +79,53 @@ def test_held_out_accuracy_and_code_switching(spark):
 
 
 def test_edges(spark):
-    rows = [(1, "the cat", "en"), (2, None, "en"), (3, "12 !?", None), (4, "", "fr"), (None, "le chat", "fr"), (5, "le chat " * 60_000, "fr"), (1, "the cat", "en"), (6, "the dog", "en"), (7, "le chien", "fr"), (8, "퟿𝒳 日本", None)]
+    rows = [(1, "the cat", "en"), (2, None, "en"), (3, "12 !?", None), (4, "", "fr"), (None, "le chat", "fr"), (5, "le chat " * 60_000, "fr"), (1, "the cat", "en"), (6, "the dog", "en"), (7, "le chien", "fr"), (8, "퟿𝒳 日本", None), (9, "½ ² ⅷ Ⅻ", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({k: F.lit(0) for k in ("id", "score", "held_out", "place", "n")})
     got = c.identify(docs, c.fit(docs), spans=True).collect()
     assert len(got) == len(rows)
     for r in got:
-        assert 0 <= r.score <= 1 and (r.lang_pred == c.UNKNOWN) == (r.doc_id in (2, 3, 4))
+        assert 0 <= r.score <= 1 and (r.lang_pred == c.UNKNOWN) == (r.doc_id in (2, 3, 4, 9))
     none = c.fit(docs.limit(0))
     assert {r.lang_pred for r in c.identify(docs, none).collect()} == {c.UNKNOWN}
     one = c.fit(docs.filter("lang = 'en'"))
     assert {r.lang_pred for r in c.identify(docs, one).collect()} == {c.UNKNOWN, "en"}
     assert c.identify(docs.limit(0), one).count() == 0
+
+
+def test_marks_belong_to_words_and_numbers_do_not():
+    assert c.tokens("हिन्दी में ½² Ⅷ x_9y Ünï e\u0301") == ["हिन्दी", "में", "x", "y", "ünï", "e\u0301"]
+
+
+def test_slices_do_not_change_scores(monkeypatch):
+    words = ["a", "bc" * 40, "def", "g" * 7, "hi"] * 9
+    field = toy()
+    whole, (who, what) = field.emissions(words), c.grams(words)
+    for size in (1, 3, 50):
+        monkeypatch.setattr(c, "GRAM_CHARS", size)
+        assert np.allclose(field.emissions(words), whole, atol=1e-5)
+        other = c.grams(words)
+        assert (other[0] == who).all() and sorted(zip(*other)) == sorted(zip(who, what))
+
+
+def test_a_word_of_20_megabytes_in_bounded_memory():
+    code = """
+import random, resource, time
+from tests.llm.test_crf import c, toy
+labeller = c.Labeller(toy())
+text = "".join(random.Random(1).choices("abcdefgh", k=20_000_000)) + " end " * 1000
+before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+(words, gamma), = labeller.label([text])
+assert len(words) == 1001 and abs(gamma.sum() - 1001) < 1e-6
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, time.time() - began)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout.split()
+    assert int(got[0]) < 600 and float(got[1]) < 60, got
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(c, "PER_LANGUAGE", 20), monkeypatch.setattr(c, "LANGUAGES", 3)
+    seen = {}
+    monkeypatch.setattr(c, "train", lambda texts, langs: seen.update(texts=texts, langs=langs))
+    rows = [(1, f"t{i % 3}", f"l{i % 2}") for i in range(300)] + [(i, "x " * 9000 + str(i), f"l{i % 4}") for i in range(400)] + [(i, "rare", f"r{i}") for i in range(50)]
+    c.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(seen["langs"]) <= 60 and len(set(seen["langs"])) == 3 and max(map(len, seen["texts"])) <= c.WINDOWS * (c.WINDOW + 1)
