@@ -3,6 +3,7 @@
 Bytes are embedded, filters of WIDTH bytes slide over overlapping chunks that cover the whole text, each filter is
 max-pooled within a chunk, a hidden layer reads each chunk's pooled values, and the mean and the maximum over all chunks
 meet in one logistic unit. A whole text is one chunk more for every STEP bytes, so cost is in proportion to its length.
+Filters move by STRIDE bytes; STEP is odd, so the chunks of a text take all places modulo STRIDE in turn.
 The network is trained on the driver from a bounded sample of labelled rows and sent to the tasks as a few kilobytes.
 """
 
@@ -16,13 +17,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import read
+from millrace.llm.common import read, windows
 
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 8, 4, 32, 16
 #: Bytes of a chunk and from one chunk to the next.
-CHUNK, STEP = 512, 480
-#: Labelled rows that training reads, at most; bytes of each that it reads: CHUNK times this many chunks, spread evenly.
+CHUNK, STEP = 512, 481
+#: The training sample: labelled rows, at most; a text of over WINDOWS * WINDOW characters gives that many windows, drawn
+#: over the whole of it. A step of training draws up to TRAIN_CHUNKS chunks of each text.
 TRAIN_ROWS, TRAIN_CHUNKS = 4000, 6
+WINDOWS, WINDOW = 12, 2048
 STEPS, BATCH, RATE = 1800, 48, 0.004
 THRESHOLD = 0.3
 #: Chunks that are convolved at once.
@@ -169,15 +172,12 @@ def held_out(id_col: Column, folds: int = FOLDS, fold: int = 0) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text") -> Network | None:
-    """Trains on labelled rows outside the held-out fold: all of them, or the TRAIN_ROWS with the least hash of the id."""
+    """Trains on labelled rows outside the held-out fold: all of them, or the TRAIN_ROWS with the least hash of the id; rows of one id count once."""
     known = labels.filter(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").dropDuplicates(["id"])  # TRAIN_ROWS rows at most
-    long = CHUNK * 16
-    # a training text's bytes are bounded too: its first, middle and last parts, of which chunks are drawn
-    sizes = F.length("text")
-    middle = F.when(sizes <= 3 * long, F.col("text")).otherwise(F.concat(F.substring("text", 1, long), F.substr("text", (sizes / 2).cast("int"), F.lit(long)), F.substr("text", sizes - long + 1, F.lit(long))))
-    got = rows.select("id", middle.alias("text"), "label").toPandas().sort_values("id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    drawn = rows.select("id", "label", windows(F.col("text"), F.col("id"), WINDOWS, WINDOW).alias("text"))
+    got = drawn.groupBy("id", "label").agg(F.min("text").alias("text")).toPandas().sort_values("id")  # TRAIN_ROWS rows at most; of repeated ids the least text
     y = got["label"].to_numpy().astype(np.float32)
     if not len(y) or y.min() == y.max():
         return None

@@ -50,10 +50,16 @@ def test_pipeline_against_plain_version(spark, tmp_path):
 def test_stages_with_nulls_repeats_and_no_rows(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(1, "A text", "en"), (1, "A text", "en"), (2, "a TEXT", None), (None, None, None), (None, "", "de"), (3, " ".join(f"w{i}" for i in range(80)), "fr"), (4, " ".join(f"w{i}" for i in range(81)), "fr")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(c) for c in ("rid", "row", "kept", "__sha", "id")})
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(c) for c in ("rid", "row", "kept", "__sha", "__text", "sha", "id", "score", "n_tokens")})
+    scored = {r.doc_id: r.score for r in quality_cnn.classify(docs, quality_cnn.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), "quality")).collect()}
+    good = corpus_pipeline.quality(spark, docs, sf)
+    assert good.columns == docs.columns and sorted(r.doc_id or 0 for r in good.collect()) == sorted(i or 0 for i, _, _ in rows if scored[i] >= 0.3)
+    coded = corpus_pipeline.encode(spark, docs, sf).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens > 0) for r in coded) == sorted((i or 0, bool(t)) for i, t, _ in rows)
+    assert corpus_pipeline.quality(spark, docs.limit(0), sf).count() == corpus_pipeline.encode(spark, docs.limit(0), sf).count() == 0
     for name, stage in corpus_pipeline.STAGES[1:4]:
         out = stage(spark, docs, sf)
-        assert out.columns == docs.columns, name
+        assert out.columns == docs.columns and all(r["__text"] == "__text" and r.sha == "sha" for r in out.collect()), name
         ids = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
         assert ids == {"exact dedup": [(0, ""), (2, "a TEXT"), (3, rows[5][1]), (4, rows[6][1])], "MinHash near-dedup": [(0, ""), (0, ""), (2, "a TEXT"), (4, rows[6][1])]}.get(name, sorted((i or 0, t or "") for i, t, _ in rows))
         assert stage(spark, docs.limit(0), sf).count() == 0
