@@ -12,6 +12,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, deque
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,28 +20,67 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import read
 
-#: Usual statements of licenses and the opening of their texts.
+#: Whole texts of licenses, from the first granting word on; years and holders stand before them.
+TEXTS = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+        in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+        permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies
+        or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+        IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided
+        with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+        SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+        HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE,
+        EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission
+        notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+        AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+        WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+        Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+        1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the
+        product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+        3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in
+        source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this
+        software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and
+        successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED
+        "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+        SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE
+        USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to http://unlicense.org/""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the
+        "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software
+        is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following
+        disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of
+        machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+        THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR
+        ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+}
+#: What the three-clause text has before its disclaimer, and what the zero-clause one lacks.
+_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_NOTICE = ", provided that the above copyright notice and this permission notice appear in all copies"
+TEXTS = {k: " ".join(t.split()) for k, t in TEXTS.items()}
+TEXTS["BSD-3-Clause"] = TEXTS["BSD-2-Clause"].replace("THIS SOFTWARE IS", _THIRD + "THIS SOFTWARE IS", 1)
+TEXTS["0BSD"] = TEXTS["ISC"].replace(_NOTICE, "")
+#: Notices by which a work says its license, whose text is elsewhere.
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
-    "MIT": [
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    ],
+    "MIT": ["Released under the MIT License."],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     ],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under the Creative Commons Attribution 4.0 International License."],
-    "BSD": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    ],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
 }
 _GPL = " ".join(TEMPLATES["GPL-3.0"][1].split())
 _CC = {"BY": "Attribution", "BY-NC": "Attribution-NonCommercial", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
@@ -48,6 +88,7 @@ _CC = {"BY": "Attribution", "BY-NC": "Attribution-NonCommercial", "BY-SA": "Attr
 NAMED = {
     "Apache-2.0": ["Apache License 2.0", "Apache 2.0", "Apache License, Version 2"], "MIT": ["MIT License"], "MPL-2.0": ["Mozilla Public License 2.0", "MPL 2.0"], "ISC": ["ISC License"], "Unlicense": ["The Unlicense"],
     "BSD-2-Clause": ["BSD 2-Clause", "2-Clause BSD"], "BSD-3-Clause": ["BSD 3-Clause", "3-Clause BSD"], "CC0-1.0": ["CC0", "Creative Commons Zero"], "All-rights-reserved": ["All rights reserved."],
+    "EPL-2.0": ["Eclipse Public License 2.0", "EPL 2.0"], "CDDL-1.0": ["Common Development and Distribution License 1.0", "CDDL 1.0"], "BSL-1.0": ["Boost Software License 1.0"], "Zlib": ["zlib License"], "0BSD": ["Zero-Clause BSD", "0BSD"],
     "LGPL-2.1": ["GNU Lesser General Public License version 2.1", "LGPL 2.1", "LGPLv2.1"],
     **{f"{short}-{v}.0": [f"GNU {kind}General Public License version {v}", f"GNU {kind}General Public License v{v}", f"{short} version {v}", f"{short}-{v}", f"{short}v{v}"] for short, kind, v in (("GPL", "", 2), ("GPL", "", 3), ("LGPL", "Lesser ", 3), ("AGPL", "Affero ", 3))},
     **{f"CC-{k}-4.0": [f"CC {k} 4.0", f"Creative Commons {name} 4.0"] for k, name in _CC.items()},
@@ -57,9 +98,9 @@ for _name, _kind, _version in (("GPL-2.0", "", 2), ("LGPL-3.0", "Lesser ", 3), (
 for _name, _texts in NAMED.items():
     TEMPLATES[_name] = [*TEMPLATES.get(_name, []), *_texts]
 #: Words that tell licenses apart: those of a template must align, and others may not stand in its place.
-KINDS = {"lesser", "affero", "library", "nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives", "noderivs"}
+KINDS = {"lesser", "affero", "endorse", "nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives", "noderivs"}
 COVERAGE = 0.85
-#: A stretch holds at most this many words for each of the template's.
+#: What counts as one place: at most this many words for each of the template's, so half of them may be inserted ones.
 STRETCH = 1.5
 _WORD = re.compile(r"[^\W_]+")
 
@@ -110,11 +151,11 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Template:
-    def __init__(self, name: str, text: str, coverage: float):
-        self.name, self.words, self.coverage = name, words(text), coverage
+    def __init__(self, name: str, text: str, coverage: float, whole: bool = False, stretch: float = STRETCH):
+        self.name, self.words, self.whole = name, words(text), whole
         self.counts = Counter(self.words)
         self.need = -int(-coverage * len(self.words) // 1)  # words that must align
-        self.width = int(STRETCH * len(self.words)) + 1
+        self.width = int(stretch * len(self.words)) + 1
         self.barred = KINDS - self.counts.keys()
         self.must = KINDS & self.counts.keys() | {w for w in self.counts if w.isdecimal()}
         rare = sorted(self.counts, key=lambda w: (w == "by", -len(w), w))  # long words are rare in other texts
@@ -175,44 +216,55 @@ class Template:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, list[str]] | None = None, coverage: float = COVERAGE):
-        self.templates = [Template(k, t, coverage) for k, texts in (templates or TEMPLATES).items() for t in texts]
+    def __init__(self, templates: dict[str, list[str]] | None = None, coverage: float = COVERAGE, texts: dict[str, str] | None = None, stretch: float = STRETCH):
+        self.templates = [Template(k, t, coverage, stretch=stretch) for k, notices in (TEMPLATES if templates is None else templates).items() for t in notices]
+        self.templates += [Template(k, t, coverage, True, stretch) for k, t in (TEXTS if texts is None else texts).items()]
         self.keys = set().union(*(t.keys for t in self.templates))
 
-    def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, first word, word behind), in the order of places; each place has its best cover only."""
+    def scan(self, text: str | None) -> list[tuple[str, bool, float, int, int]]:
+        """(license, whole text or notice, coverage, first word, word behind), in the order of places; each place has its best cover only."""
         w = words(text)
         present = self.keys.intersection(w)
         if not present:
             return []
-        found = sorted((-aligned, start, t.name, cover, stop) for t in self.templates if t.keys & present for aligned, cover, start, stop in t.find(w))
-        out: list[tuple[str, float, int, int]] = []
-        for _, start, name, cover, stop in found:
-            f = (name, cover, start, stop)
-            if all(f[3] <= o[2] or o[3] <= f[2] for o in out):
-                out.append(f)
-        return sorted(out, key=lambda f: f[2])
+        found = sorted((-aligned, -cover, start, t.name, t.whole, stop) for t in self.templates if t.keys & present for aligned, cover, start, stop in t.find(w))
+        starts: list[int] = []
+        out: list[tuple[str, bool, float, int, int]] = []  # in the order of starts
+        for _, cover, start, name, whole, stop in found:
+            at = bisect_left(starts, start)
+            if (at and out[at - 1][4] > start) or (at < len(out) and starts[at] < stop):
+                continue
+            starts.insert(at, start), out.insert(at, (name, whole, -cover, start, stop))
+        return out
+
+
+def read_texts(spark: SparkSession, folder: str) -> dict[str, str]:
+    """More whole texts: one file for each license, named by it; they go to every task, so a library of licenses and not of documents."""
+    rows = spark.read.text(folder, wholetext=True).select("value", F.input_file_name().alias("f")).collect()
+    return {unquote(r["f"].rsplit("/", 1)[1]).removesuffix(".txt"): r["value"] for r in rows}
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """One row per input row: id, n_found, licenses (distinct names, sorted and comma-joined), coverage (the largest, 0 if none), places.
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, coverage: float = COVERAGE, texts: dict[str, str] | None = None, stretch: float = STRETCH) -> DataFrame:
+    """One row per input row: id, n_found, licenses (distinct names, sorted and comma-joined), texts (those whose whole text is there), coverage (the largest, 0 if none), places.
 
-    places are (license, coverage, start, stop) with positions in words. Null and empty texts have none. Where places
-    overlap the one with most covered words stays, then the earlier one, then the first by name. Rows are independent;
-    extra columns are not read and an empty table gives no rows.
+    templates are notices, texts whole licenses; both default to the ones above. A place has `coverage` of the template's
+    words in order, at most `stretch` words for each of them, and all words that tell licenses apart. places are
+    (license, whole, coverage, start, stop) with positions in words. Null and empty texts have none. Where places overlap
+    the one with most covered words stays, then the larger coverage, the earlier one, the first by name. Rows are
+    independent; extra columns are not read and an empty table gives no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(templates, coverage)
+        scanner = Scanner(templates, coverage, texts, stretch)
         for b in batches:
             found = [scanner.scan(t) for t in b["text"]]
             yield pd.DataFrame({
                 "id": b["id"], "n_found": [len(f) for f in found], "licenses": [",".join(sorted({x[0] for x in f})) for f in found],
-                "coverage": [max((x[1] for x in f), default=0.0) for f in found],
-                "places": [[dict(zip(("license", "coverage", "start", "stop"), x, strict=True)) for x in f] for f in found],
+                "texts": [",".join(sorted({x[0] for x in f if x[1]})) for f in found], "coverage": [max((x[2] for x in f), default=0.0) for f in found],
+                "places": [[dict(zip(("license", "whole", "coverage", "start", "stop"), x, strict=True)) for x in f] for f in found],
             })
 
-    schema = f"id {dict(docs.dtypes)[id_col]}, n_found long, licenses string, coverage double, places array<struct<license: string, coverage: double, start: long, stop: long>>"
+    schema = f"id {dict(docs.dtypes)[id_col]}, n_found long, licenses string, texts string, coverage double, places array<struct<license: string, whole: boolean, coverage: double, start: long, stop: long>>"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema).withColumnRenamed("id", id_col)
 
 

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -78,7 +79,7 @@ def test_patience_alignment():
 def test_planted_licenses(spark):
     rng = random.Random(2)
     noise = lambda n: " ".join(rng.choice(["the", "under", "license", "version", "lorem", "of", "and", "is"]) for _ in range(n))
-    mit, gpl = s.TEMPLATES["MIT"][1], s.TEMPLATES["GPL-3.0"][0]
+    mit, gpl = s.TEXTS["MIT"], s.TEMPLATES["GPL-3.0"][0]
     edited = mit.split()
     for i in (5, 30, 60):
         edited[i] = "changed"
@@ -89,7 +90,7 @@ def test_planted_licenses(spark):
     by = {r.doc_id: r for r in got}
     assert len(got) == len(rows) and s.scan_licenses(docs.limit(0)).count() == 0
     assert {i: by[i].licenses for i in range(9)} == {0: "MIT", 1: "MIT", 2: "GPL-3.0", 3: "", 4: "", 5: "", 6: "CC-BY-NC-4.0,MIT", 7: "", 8: "GPL-3.0"}
-    assert by[2].n_found == 2 and by[0].coverage == 1.0 and 0.9 < by[1].coverage < 1 and by[None].n_found == 1
+    assert by[0].texts == by[1].texts == "MIT" and by[6].texts == "" and by[2].n_found == 2 and by[0].coverage == 1.0 and 0.9 < by[1].coverage < 1 and by[None].n_found == 1
 
 
 def test_statements_in_other_words():
@@ -111,3 +112,55 @@ def test_query_finds_all_statements(spark):
     statements = {t: k for k, texts in s.TEMPLATES.items() for t in texts if len(t) < 90}
     for i, text in docs.items():
         assert set(filter(None, got[i].licenses.split(","))) == {k for t, k in statements.items() if " ".join(s.words(t)) in " ".join(s.words(text))}
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = list(itertools.accumulate(range(1, len(b) + 1), lambda left, j, old=row, x=x: max(left, old[j], old[j - 1] + (x == b[j - 1])), initial=0))
+    return row[-1]
+
+
+def test_alignment_against_the_longest_common_subsequence():
+    rng = random.Random(7)
+    for _ in range(40):
+        words = rng.sample([f"w{i}" for i in range(200)], 30)
+        a = [w for w in words if rng.random() > 0.2]
+        for _ in range(rng.randrange(8)):
+            a.insert(rng.randrange(len(a) + 1), f"new{rng.random()}")
+        if rng.random() < 0.5:
+            i, j = sorted(rng.sample(range(len(a)), 2))
+            a[i], a[j] = a[j], a[i]
+        assert len(s.align(a, words)) == longest_common(a, words)  # words are unique: every one is an anchor
+        again = a + rng.choices(words, k=10)
+        assert len(s.align(again, words)) <= longest_common(again, words)
+
+
+def test_whole_texts_are_told_apart_and_edits_cost_coverage():
+    scanner, rng = s.Scanner(), random.Random(9)
+    for name, text in s.TEXTS.items():
+        (got,) = scanner.scan(f"Copyright 2024 Some Body {text} and then code follows")
+        assert got[:3] == (name, True, 1.0)
+        w = s.words(text)
+        kept = [x for x in w if x in s.KINDS or x.isdecimal() or rng.random() > 0.05]
+        (got,) = [f for f in scanner.scan(" ".join(kept)) if f[0] == name]
+        assert got[1] and got[2] == longest_common(kept, w) / len(w)
+        opening = " ".join(w[: len(w) // 2])
+        assert not any(f[1] for f in scanner.scan(opening))
+
+
+def test_many_notices_take_linear_time():
+    scanner = s.Scanner()
+    spent = {}
+    for n in (2000, 8000):
+        began = time.process_time()
+        assert len(scanner.scan("Released under the MIT License. Some code here. " * n)) == n
+        spent[n] = time.process_time() - began
+    assert spent[8000] < 6 * spent[2000] and spent[8000] < 20
+
+
+def test_a_library_of_texts_is_read(spark, tmp_path):
+    (tmp_path / "Own License-1.txt").write_text("alpha beta gamma delta epsilon zeta")
+    docs = spark.createDataFrame([(1, "so: Alpha beta gamma delta epsilon zeta."), (2, "alpha")], "doc_id long, text string")
+    got = s.scan_licenses(docs, templates={}, texts=s.read_texts(spark, str(tmp_path))).orderBy("doc_id").collect()
+    assert [r.texts for r in got] == ["Own License-1", ""]
