@@ -193,27 +193,42 @@ def parse_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def as_transcript(turns: DataFrame) -> DataFrame:
     """The lines of transcripts that people would have written for (conv_id, turn, role, text), in one of four styles by conv_id.
 
-    A turn with a null role has no marker; a null text is empty. Rows with one conv_id and turn follow each other by text and role;
-    copy numbers them, so equal rows stay apart and no lines of two rows mix.
+    conv is a transcript's key: conv_id as text with a first letter. A row without conv_id or turn has no place among others
+    and is a transcript of its own, so such rows are no group however many there are. A turn whose role is null or none of ROLES
+    is written as the user's; a null text is empty. Rows with one conv_id and turn follow each other by text and role; copy numbers them, so equal rows
+    stay apart and no lines of two rows mix.
     """
-    style = F.pmod(F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))), F.lit(4))
+    named_id = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
+    style = F.pmod(F.crc32(named_id), F.lit(4))
     name = {0: {"system": "System", "user": "User", "assistant": "Assistant"}, 3: {"system": "System", "user": "Q", "assistant": "A"}}
-    role, text = F.col("role"), F.coalesce("text", F.lit(""))
+    role, text = F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise("user"), F.coalesce("text", F.lit(""))
 
     def named(names: dict) -> Column:
         return F.coalesce(F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[role], role)
 
     marked = F.when(style == 0, F.concat(named(name[0]), F.lit(": "), text)).when(style == 1, F.concat(F.lit("### "), F.initcap(role), F.lit(":\n"), text))
     marked = marked.when(style == 2, F.concat(F.lit("["), role, F.lit("] "), text)).otherwise(F.concat(named(name[3]), F.lit(": "), text))
-    copy = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(text, role))
-    rows = turns.select(F.col("conv_id").alias("conv"), "turn", copy.alias("copy"), F.split(F.coalesce(marked, text), "\n", -1).alias("lines"))
+    alone = F.concat(F.when(F.col("conv_id").isNull(), "n").otherwise("r"), F.monotonically_increasing_id().cast("string"), F.lit(":"), named_id)
+    key = F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.concat(F.lit("c:"), named_id)).otherwise(alone)
+    rows = turns.select(key.alias("conv"), "turn", "role", text.alias("text"), F.coalesce(marked, text).alias("marked"))
+    rows = rows.select("conv", "turn", F.row_number().over(Window.partitionBy("conv", "turn").orderBy("text", "role")).alias("copy"), F.split("marked", "\n", -1).alias("lines"))
     return rows.select("conv", "turn", "copy", F.posexplode("lines").alias("pos", "line"))
 
 
+def conversation(conv: Column, kind: str) -> Column:
+    """The conv_id behind a transcript's key."""
+    return F.when(~conv.startswith("n"), F.regexp_replace(conv, "^[cr][0-9]*:", "").cast(kind))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation as a transcript with speaker markers, its roles recovered and its turns rendered."""
-    turns = parse(as_transcript(read(spark, sf_dir, "conversations")))
-    return turns.select(F.col("conv").alias("conv_id"), "turn", "role", render(F.col("role"), F.col("content")).alias("rendered"))
+    """Each conversation as a transcript with speaker markers, its roles recovered and its turns rendered.
+
+    One row for each row of the table: conv_id, turn, role, rendered. The recovered role is always system, user or
+    assistant: a turn whose own role is null or another one was written as the user's.
+    """
+    table = read(spark, sf_dir, "conversations")
+    turns = parse(as_transcript(table))
+    return turns.select(conversation(F.col("conv"), dict(table.dtypes)["conv_id"]).alias("conv_id"), "turn", "role", render(F.col("role"), F.col("content")).alias("rendered"))
 
 
 ORACLE = """
