@@ -2,8 +2,8 @@
 
 Plan: each document's windows are tested inside the row against two small bit sets of the benchmark's windows, one by
 the hashes of three words and one by the hash of all, so that only likely windows leave the row. Those carry their words and meet the benchmark's windows
-in a hash join on the words themselves, which verifies them. The join is a broadcast while the windows are few enough
-by count; otherwise Spark shuffles both sides. Coverage of a document is folded from the sorted hits.
+in a hash join on the words themselves, which verifies them. The join is a broadcast while the windows and their items
+are few enough by count and by bytes; otherwise Spark shuffles both sides. Coverage of a document is folded from the sorted hits.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from millrace.storage import materialize
 #: The same words before lower-casing.
 CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
-#: The most windows that are broadcast.
-MAX_BROADCAST_WINDOWS = 200_000
+#: The most windows that are broadcast, and bytes of their words and items.
+MAX_BROADCAST_WINDOWS, MAX_BROADCAST_BYTES = 200_000, 100_000_000
 #: Bits of the bit set for each window, and its largest size as a power of two.
 BITS_A_WINDOW = 128
 MAX_BITS_LOG2 = 23
@@ -82,8 +82,10 @@ def _covered(spans: Column) -> Column:
 def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(scanned, hits): scanned has row (a struct of keep's columns), rid and n_words for each row; hits has rid, spans (sorted pos, len) and items."""
     windows = materialize(benchmark_windows(benchmark, window=window), "bench-windows")
-    by_length = {r["len"]: r["n"] for r in windows.groupBy("len").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `window` rows
-    count = sum(by_length.values())
+    size = F.octet_length("gram") + F.aggregate("items", F.lit(0).cast("long"), lambda acc, x: acc + F.octet_length(x) + 16)
+    lengths = windows.groupBy("len").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).collect()  # at most `window` rows
+    by_length = {r["len"]: r["n"] for r in lengths}
+    count, sent = sum(by_length.values()), sum(r["bytes"] for r in lengths)
     w, h = F.col("w"), F.col("h")
     found: Column = F.array().cast("array<struct<pos:int,len:int,gram:string>>")
     if count:
@@ -103,7 +105,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", kee
         "bench-scan",
     )
     grams = windows.select("gram", "items")
-    if count <= MAX_BROADCAST_WINDOWS:
+    if count <= MAX_BROADCAST_WINDOWS and sent <= MAX_BROADCAST_BYTES:
         grams = F.broadcast(grams)
     likely = scanned.filter(F.size("likely") > 0).select("rid", F.explode("likely").alias("l")).select("rid", "l.pos", "l.len", "l.gram")
     hits = likely.join(grams, "gram").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pos", "len"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
