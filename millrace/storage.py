@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+#: The paths handed out in each call of a tidy function that has not ended yet.
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,7 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="millrace-"))
@@ -31,7 +36,50 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex[:16]}"
+    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex[:16]}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+def read_by(*frames: DataFrame) -> set[str]:
+    """The tables of the shared folder that plans read; what a caller has to keep while it uses them."""
+    return {f.rsplit("/millrace/", 1)[1].split("/")[0] for df in frames for f in df.inputFiles() if "/millrace/" in f}
+
+
+def tidy(function: Callable) -> Callable:
+    """A function that returns a frame, or a tuple or dict of frames: tables that it wrote and that no returned plan reads are deleted at its end.
+
+    If it fails, all of them are deleted. What remains belongs to the caller; drop_tables() deletes it.
+    """
+
+    @functools.wraps(function)
+    def run(*args, **kwargs):
+        _open.append([])
+        spark, keep = None, set()
+        try:
+            out = function(*args, **kwargs)
+            frames = list(out.values()) if isinstance(out, dict) else list(out) if isinstance(out, tuple) else [out]
+            frames = [f for f in frames if isinstance(f, DataFrame)]
+            keep = read_by(*frames)
+            return out
+        finally:
+            written = _open.pop()
+            spark = SparkSession.getActiveSession()
+            for path in written:
+                if path.rsplit("/", 1)[1] in keep:
+                    if _open:
+                        _open[-1].append(path)
+                elif spark:
+                    drop_path(spark, path)
+
+    return run
+
+
+def drop_tables(*frames: DataFrame) -> None:
+    """Deletes the tables of the shared folder that the plans read; the frames cannot be used any more."""
+    for name in read_by(*frames):
+        drop_path(frames[0].sparkSession, f"{shared_dir(frames[0].sparkSession)}/millrace/{name}")
 
 
 def read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:

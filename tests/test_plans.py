@@ -1,5 +1,9 @@
 import json
+from pathlib import Path
 
+import pytest
+
+from millrace import storage
 from millrace.__main__ import parser
 from millrace.operators.codefix import CodefixOptions
 from millrace.operators.convert import ConvertOptions
@@ -51,3 +55,33 @@ def test_command_line():
     a = parser().parse_args(["filter", "in", "out", "--model", "m", "--endpoint", "e"])
     assert a.match_mode == "ws_norm" and a.fuzzy_threshold == 0.98 and a.concurrency == 8
     assert parser().parse_args(["samples", "r", "o"]).per_file == 60 and parser().parse_args(["codefix", "r", "o"]).total == 5000
+
+
+def test_tables_that_no_result_reads_are_deleted(spark):
+    folder = Path(storage.shared_dir(spark).removeprefix("file://")) / "millrace"
+
+    @storage.tidy
+    def inner():
+        used = storage.materialize(spark.range(5), "used")
+        storage.materialize(spark.range(3), "unused")
+        return used.filter("id > 1")
+
+    @storage.tidy
+    def outer():
+        return storage.materialize(inner(), "outer"), None
+
+    left = inner()
+    assert left.count() == 3 and len(storage.read_by(left)) == 1 and not list(folder.glob("unused-*"))
+    out, _ = outer()
+    assert out.count() == 3 and {p.name for p in folder.glob("used-*")} == storage.read_by(left)
+    storage.drop_tables(left, out)
+    assert not list(folder.glob("used-*")) and not list(folder.glob("outer-*"))
+
+    @storage.tidy
+    def fails():
+        storage.materialize(spark.range(5), "lost")
+        raise ValueError
+
+    with pytest.raises(ValueError):
+        fails()
+    assert not list(folder.glob("lost-*"))
