@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import byte_bpe, dart_minhash, decontamination, exact_dedup, quality_cnn
 from millrace.llm.common import ascii_lower, read
-from millrace.storage import materialize
+from millrace.storage import drop_tables, materialize, tidy
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +53,16 @@ STAGES = [("quality classifier", quality), ("exact dedup", exact), ("MinHash nea
 ORACLE_SQL = None
 
 
+@tidy
+def _written(spark: SparkSession, docs: DataFrame, sf_dir: str, name: str, stage) -> DataFrame:
+    return materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; of a stage's tables its result stays, until the next stage's is written."""
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for at, (name, stage) in enumerate(STAGES):
+        before, docs = docs, _written(spark, docs, sf_dir, name, stage)
+        if at:
+            drop_tables(before)
     return docs
