@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import read
-from millrace.storage import materialize
+from millrace.storage import materialize, tidy
 
 ROLES = ("system", "user", "assistant")
 #: Names that transcripts give the speakers.
@@ -144,6 +144,7 @@ def _turns(group: pd.DataFrame) -> pd.DataFrame:
     })
 
 
+@tidy
 def parse(lines: DataFrame) -> DataFrame:
     """lines: (conv, turn, copy, pos, line), a transcript's lines in the order of turn, copy and pos. Returns (conv, turn, copy, pos, role, content), one row for each recovered turn.
 

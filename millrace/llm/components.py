@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import join_groups
-from millrace.storage import drop_path, materialize
+from millrace.storage import drop_path, materialize, tidy
 
 
 def _starred(edges: DataFrame, name: str) -> DataFrame:
@@ -16,6 +16,7 @@ def _starred(edges: DataFrame, name: str) -> DataFrame:
     return join_groups(edges, least, ["u"], "n", total)
 
 
+@tidy
 def components(edges: DataFrame) -> DataFrame:
     """edges: (u, v) of longs in any order. Returns (node, label) for every node of an edge; label is the least node it is linked with.
 

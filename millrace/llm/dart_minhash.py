@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import join_groups, read
 from millrace.llm.components import components
-from millrace.storage import drop_path, materialize, table_path
+from millrace.storage import drop_path, materialize, table_path, tidy
 
 SHINGLE = 5
 #: Similarity of a link as a fraction.
@@ -326,6 +326,7 @@ def _block_links(pairs: pa.Table, texts: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
 
+@tidy
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows has row (a struct of all columns of docs), rid, c1, c2; classes has c1, c2, class_id, class_size, keep_rid, n for each distinct set.
 
@@ -375,6 +376,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("rid", "row", "c1", "c2", F.col("n").alias("weight")), materialize(out.select("c1", "c2", F.col("copies"), "class_size", F.col("best.id").alias("class_id"), F.col("best.rid").alias("keep_rid")), "dart-out")
 
 
+@tidy
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, class_id (largest id of its class), class_size, kept.
 
@@ -391,6 +393,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.unionByName(alone).select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
 
 
+@tidy
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with one of each class, all columns kept; rows without words stay."""
     rows, classes = near_duplicates(docs, id_col, text_col)

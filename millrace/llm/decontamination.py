@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import read, words
-from millrace.storage import materialize
+from millrace.storage import materialize, tidy
 
 #: The same words before lower-casing.
 CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -79,6 +79,7 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, start, step)["n"]
 
 
+@tidy
 def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(scanned, hits): scanned has row (a struct of keep's columns), rid and n_words for each row; hits has rid, spans (sorted pos, len) and items."""
     windows = materialize(benchmark_windows(benchmark, window=window), "bench-windows")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import HOT_SHARE, ascii_lower, read, task_count
-from millrace.storage import materialize
+from millrace.storage import materialize, tidy
 
 SLOTS = 4
 SALTS = 16
@@ -147,6 +147,7 @@ def _live(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"digest": [r[0] for r in part], "keep_id": pd.array([r[1] for r in part], dtype="Int64"), "group_size": [r[2] for r in part]})
 
 
+@tidy
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups rows whose texts are equal after lower-casing A-Z; the largest id of a group stays.
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import join_groups, literal_table, read
-from millrace.storage import materialize
+from millrace.storage import materialize, tidy
 
 SHARDS = 16
 #: Rows of histograms that a pass sends to the driver, at most, over all nodes.
@@ -170,6 +170,7 @@ def kd_units(docs: DataFrame, shards: int | None, target_bytes: int | None, id_c
     return dealt, materialize(keyed, "kd-units"), n_rows, shards
 
 
+@tidy
 def kd_shards(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """Puts every row into one shard so that the shards' bytes are near equal (law `bytes`) and equal texts stay together.
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import HOT_SHARE, ascii_lower, read, wide_hash
-from millrace.storage import drop_path, materialize, new_path, read_table
+from millrace.storage import drop_path, materialize, new_path, read_table, tidy
 
 BLANKS = " \t\n\x0b\x0c\r"
 BATCHES = 4
@@ -89,6 +89,7 @@ def _batch_edges(docs: DataFrame, id_col: str, batches: int) -> list[int]:
     return sorted({int(x) for x in edges or []}, reverse=True)
 
 
+@tidy
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = BATCHES) -> DataFrame:
     """Drops lines whose key (stripped, A-Z lower-cased) has min_chars code points and is in min_docs documents, except in the largest id that holds it.
 
