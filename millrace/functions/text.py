@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import functools
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Characters that Python's str.isspace accepts, as a class of Java's regular expressions.
 PY_WS = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
@@ -22,9 +24,15 @@ EN_STOPWORDS = "a an the and or but with without on in at by to of for from as i
 STOPWORDS = sorted({*JAVA_STOPWORDS, *EN_STOPWORDS})
 
 
+@F.arrow_udf(StringType())
+def _without_invalid(content: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else x.decode(errors="ignore") for x in content.to_pylist()], pa.string())
+
+
 def decode_ignore(content: Column) -> Column:
-    """Bytes as text; invalid bytes are deleted and all line ends become a newline."""
-    text = F.replace(F.call_function("make_valid_utf8", content.cast("string")), F.lit("�"), F.lit(""))
+    """Bytes as text; invalid bytes are deleted and all line ends become a newline. Only rows with invalid bytes leave the JVM."""
+    valid = F.call_function("is_valid_utf8", content.cast("string"))
+    text = F.when(valid, content.cast("string")).otherwise(_without_invalid(F.when(~valid, content)))
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
@@ -108,14 +116,19 @@ def fim_in_order(prompt: Column) -> Column:
     return third > 0
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_HUMP = "\x01"
+
+
 def code_tokens(text: Column, drop_stopwords: bool = True, identifiers_only: bool = False) -> Column:
-    """Lower-cased tokens of code: runs of letters, digits, `_` and `.`, cut at `_`; a camel-case hump becomes a blank inside its token."""
-    runs = F.filter(F.split(text, r"[^A-Za-z0-9_.]+"), lambda x: x != "")
-    humps = F.transform(runs, lambda x: F.lower(F.regexp_replace(x, "([a-z0-9])([A-Z])", "$1 $2")))
-    parts = F.filter(F.flatten(F.transform(humps, lambda x: F.split(x, "_"))), lambda x: x != "")
-    if drop_stopwords:
-        stop = F.array(*map(F.lit, STOPWORDS))
-        parts = F.filter(parts, lambda x: ~F.array_contains(stop, x))
+    """Lower-cased tokens of code: runs of letters, digits, `_` and `.`, cut at `_`; a camel-case hump becomes a blank inside its token.
+
+    The text is marked at its humps, lower-cased and split once; a token is only looked at to drop it or to set its blanks.
+    """
+    marked = F.regexp_replace(F.translate(text, _HUMP, " "), "([a-z0-9])(?=[A-Z])", f"$1{_HUMP}")
+    parts = F.split(F.translate(marked, _UPPER, _UPPER.lower()), f"[^a-z0-9.{_HUMP}]+")
+    parts = F.filter(parts, lambda x: ~x.isin("", *(STOPWORDS if drop_stopwords else [])))
+    parts = F.transform(parts, lambda x: F.translate(x, _HUMP, " "))
     return F.filter(parts, lambda x: x.rlike("^[a-z_][a-z0-9_]*$")) if identifiers_only else parts
 
 
@@ -159,18 +172,18 @@ def task_project(task_id: Column) -> Column:
     return F.substring_index(F.coalesce(task_id, F.lit("")), "/", 1)
 
 
-def path_project(path: Column) -> Column:
-    """The first two parts of a path, if the second looks like a repository's name."""
-    parts = F.split(F.coalesce(path, F.lit("")), "/")
+def path_project(parts: Column) -> Column:
+    """The first of a path's parts, with the second behind it if that looks like a repository's name; null without parts."""
     second = F.get(parts, F.lit(1))
-    return F.when(second.rlike(r"[/\-_]"), F.concat_ws("/", parts[0], second))
+    return F.when(F.size(parts) > 0, F.when(second.rlike(r"[/\-_]"), F.concat_ws("/", parts[0], second)).otherwise(parts[0]))
 
 
 def canonical_project(task: Column, path: Column) -> Column:
-    """The path's project if the task's name is a spelling of it, else the task's; the other one if one is empty."""
+    """The path's project if the task's name is a spelling of it, else the task's; the path's, or `unknown`, if the task has none."""
+    task = strip(F.coalesce(task, F.lit("")))
+    path = F.nullif(path, F.lit(""))
     single, double = F.replace(task, F.lit("_"), F.lit("/")), F.replace(F.replace(task, F.lit("__"), F.lit("/")), F.lit("_"), F.lit("/"))
-    empty = F.coalesce(task, F.lit("")) == ""
-    return F.when(empty, F.coalesce(path, F.lit("unknown"))).when((single == path) | (double == path), path).otherwise(task)
+    return F.when(task == "", F.coalesce(path, F.lit("unknown"))).when((single == path) | (double == path), path).otherwise(task)
 
 
 def render_context(snippets: Column) -> Column:

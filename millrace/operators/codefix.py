@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.text import code_tokens, rstrip_newlines
 from millrace.operators.bm25 import scores, top_k
-from millrace.operators.samples import stratified_quota
+from millrace.operators.samples import quotas, stratified_top
 
 #: Mutation types, what a compiler says of each, words before a parenthesis that call nothing, prompts.
 MUTATIONS = ("swap_args", "missing_arg", "extra_arg")
@@ -184,19 +185,33 @@ def subset_with_sum(counts: dict[str, int], target: int) -> set[str] | None:
     return chosen
 
 
+#: Rows that an exact split draws from, for each that it needs.
+SUPERSET = 4
+
+
 def exact_split(pool: DataFrame, total: int, val: int, seed: int = 42, attempts: int = 300) -> DataFrame:
     """total candidates by equal quotas, with split: the files of val sum to `val` rows exactly and share none with train.
 
-    Each attempt samples anew; the driver sees the counts of the sampled rows' files, at most `total` of them.
+    The pool is read once for SUPERSET times the quota of each mutation, those with the least hash: at most SUPERSET * total
+    rows come to the driver, and each attempt draws anew from them.
     """
     if total < len(MUTATIONS) or not 0 <= val <= total:
         raise ValueError("total must cover all mutation types and val must not exceed it")
+    keys = ["mutation_type", "file", "line_index"]
+    quota = quotas(list(MUTATIONS), total)
+    drawn = stratified_top(pool, "mutation_type", {m: q * SUPERSET for m, q in quota.items()}, keys, seed).collect()
+    by_type = {m: [r for r in drawn if r["mutation_type"] == m] for m in MUTATIONS}
+    if short := {m: (len(by_type[m]), q) for m, q in quota.items() if len(by_type[m]) < q}:
+        raise RuntimeError(f"not enough candidates (have, need): {short}")
+    for rows in by_type.values():
+        rows.sort(key=lambda r: (str(r["file"]), r["line_index"], repr(r)))
     for attempt in range(attempts):
-        chosen = stratified_quota(pool, "mutation_type", list(MUTATIONS), total, ["mutation_type", "file", "line_index"], seed + attempt)
-        counts = {r["file"]: r["n"] for r in chosen.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}
-        files = subset_with_sum(counts, val)
+        rng = random.Random(seed + attempt)
+        chosen = [r for m, q in quota.items() for r in rng.sample(by_type[m], q)]
+        files = subset_with_sum(Counter(r["file"] for r in chosen), val)
         if files is not None:
-            return chosen.withColumn("split", F.when(F.col("file").isin(list(files)), "val").otherwise("train") if files else F.lit("train"))
+            rows = [(*r, "val" if r["file"] in files else "train") for r in chosen]
+            return pool.sparkSession.createDataFrame(rows, T.StructType([*pool.schema.fields, T.StructField("split", T.StringType())]))
     raise RuntimeError(f"no split by files with exactly {val} rows in {attempts} attempts; use more diverse candidates, another seed or a smaller total")
 
 

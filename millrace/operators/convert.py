@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import FILE_SEP, FIM_PREFIX, fim_in_order, has_all_fim
+from millrace.functions.text import FILE_SEP, FIM_MIDDLE, FIM_PREFIX, FIM_SUFFIX, fim_in_order
 from millrace.storage import materialize
 
 #: The closed list of reasons.
@@ -26,6 +27,7 @@ NEEDS_TRUNCATION = "rag_variant_requires_truncation"
 BOTH_MODE_CONFLICT = "both_mode_conflict_skip"
 
 UNKNOWN_MODEL_MAX = 1_000_000
+FIM_TOKENS = (FIM_PREFIX, FIM_SUFFIX, FIM_MIDDLE)
 #: The tokens of the default tokenizer: markers, runs of blanks, words, single other characters.
 TOKEN = r"<\|[a-z_]+\|>|\s+|[A-Za-z0-9_]+|[^\sA-Za-z0-9_]"
 
@@ -59,30 +61,34 @@ def separators(text: Column) -> Column:
 def strip_blocks(prompt: Column, prefix_only: bool = False, max_iters: int = 128) -> Column:
     """Struct (text, removed, unmatched, hit_max): file-separator blocks taken out from the left, pair by pair.
 
-    Stops when no pair is left, at a lone marker, at the prefix token if prefix_only, before a removal that would lose a
-    fill-in-the-middle token, or after max_iters removals. The text is cut at the markers once and folded: the part
-    behind an even number of markers is kept, and a part between a pair is dropped if the rest still has all tokens.
+    Stops when no pair is left, at a lone marker (unmatched), at the prefix token if prefix_only, before a removal that
+    would lose a fill-in-the-middle token, or after max_iters removals. The text is cut at the markers once; at most
+    max_iters pairs are folded, and the last part that holds each token is looked up once, so the cost is linear in the text.
     """
     parts = F.split(prompt, FILE_SEP.replace("|", r"\|"), -1)
-    pairs = F.floor((F.size(parts) - 1) / 2).cast("int")
-    # a removal is safe if the removed part and the joins around it leave all three tokens somewhere outside
-    start = F.struct(F.lit("").alias("kept"), F.lit(0).alias("removed"), F.lit(False).alias("stop"))
+    pairs = F.least(F.floor((F.size(parts) - 1) / 2).cast("int"), F.lit(max_iters))
+
+    def last_part(token: str) -> Column:
+        return F.array_max(F.transform(parts, lambda x, i: F.when(x.contains(token), i).otherwise(-1)))
 
-    def rest(k: Column) -> Column:
-        return F.array_join(F.slice(parts, 2 * k + 3, F.size(parts)), FILE_SEP)
+    last = [last_part(t) for t in FIM_TOKENS]
+    start = F.struct(F.lit("").alias("kept"), F.lit(0).alias("removed"), F.lit(False).alias("stop"))
 
     def step(acc: Column, k: Column) -> Column:
         head = F.concat(acc["kept"], parts[2 * k])
+        joined = F.concat(head, parts[2 * k + 2])  # a token may come together where the block goes
+        whole = functools.reduce(lambda a, b: a & b, [joined.contains(t) | (at > 2 * k + 2) for t, at in zip(FIM_TOKENS, last, strict=True)])
         at_prefix = head.contains(FIM_PREFIX) if prefix_only else F.lit(False)
-        stop = acc["stop"] | at_prefix | (acc["removed"] >= max_iters) | ~has_all_fim(F.concat(head, rest(k)))
+        stop = acc["stop"] | at_prefix | ~whole
         as_is = F.concat(head, F.lit(FILE_SEP), parts[2 * k + 1], F.lit(FILE_SEP))
         return F.struct(F.when(stop, as_is).otherwise(head).alias("kept"), (acc["removed"] + F.when(stop, 0).otherwise(1)).alias("removed"), stop.alias("stop"))
 
     numbers = F.when(pairs > 0, F.sequence(F.lit(0), pairs - 1)).otherwise(F.array().cast("array<int>"))
     done = F.aggregate(numbers, start, step)
-    odd = F.size(parts) % 2 == 0
-    tail = F.when(odd, F.concat(F.element_at(parts, -2), F.lit(FILE_SEP), F.element_at(parts, -1))).otherwise(F.element_at(parts, -1))
-    return F.struct(F.concat(done["kept"], tail).alias("text"), done["removed"].alias("removed"), odd.cast("int").alias("unmatched"), (done["removed"] >= max_iters).alias("hit_max"))
+    tail = F.array_join(F.slice(parts, 2 * pairs + 1, F.size(parts)), FILE_SEP)
+    hit = done["removed"] >= max_iters
+    lone = (F.size(parts) % 2 == 0) & ~done["stop"] & ~hit
+    return F.struct(F.concat(done["kept"], tail).alias("text"), done["removed"].alias("removed"), lone.cast("int").alias("unmatched"), hit.alias("hit_max"))
 
 
 def left_trim(prompt: Column, budget: Column, tokens: Callable[[Column], Column] = split_tokens) -> Column:
@@ -115,7 +121,7 @@ def truncate(df: DataFrame, opts: ConvertOptions, prompt: str = "prompt", comple
         F.when(F.col("__budget") <= 0, COMPLETION_TOO_LONG).when(fits, None).when(~fim_in_order(text), LOST_AFTER_TRUNCATION)
         .when(F.col("__hit") & F.lit(opts.drop_on_safeguard), MAX_ITERS).otherwise(F.col("__t.reason"))
     )
-    out = F.struct(F.when(fits & (F.col("__budget") > 0), text).otherwise(F.col("__t.text")).alias("text"), F.when(fits, 0).otherwise(stripped + F.coalesce(F.col("__t.removed"), F.lit(0))).alias("removed"), reason.alias("reason"), F.col("__skipped").alias("skipped_strip"))
+    out = F.struct(F.when(fits & (F.col("__budget") > 0), text).otherwise(F.col("__t.text")).alias("text"), F.when(fits, 0).otherwise(stripped + F.coalesce(F.col("__t.removed"), F.lit(0))).alias("removed"), reason.alias("reason"), F.col("__skipped").alias("skipped_strip"), F.col("__hit").alias("hit_max"), needs.alias("over_budget"))
     return d.withColumn("t", out).drop("__budget", "__n", "__ts", "__p", "__hit", "__t", "__skipped")
 
 
@@ -139,7 +145,7 @@ def convert(df: DataFrame, opts: ConvertOptions = ConvertOptions(), split: str =
     hit = F.coalesce(F.col("__s.hit_max"), F.lit(False))
     d = d.withColumn("__base", F.when(is_plain & ~hit, F.col("__s.text")).otherwise(F.col("__prompt")))
     d = materialize(d, "convert-stripped")  # each step is written: later ones would repeat its expressions many times over
-    d = truncate(d, opts, "__base", tokens=tokens) if opts.truncate else d.withColumn("t", F.struct(F.col("__base").alias("text"), F.lit(0).alias("removed"), F.lit(None).cast("string").alias("reason"), F.lit(False).alias("skipped_strip")))
+    d = truncate(d, opts, "__base", tokens=tokens) if opts.truncate else d.withColumn("t", F.struct(F.col("__base").alias("text"), F.lit(0).alias("removed"), F.lit(None).cast("string").alias("reason"), F.lit(False).alias("skipped_strip"), F.lit(False).alias("hit_max"), F.lit(False).alias("over_budget")))
     d = materialize(d, "convert-truncated")
     d = d.withColumn("tokens_before", F.size(tokens(F.col("__base")))).withColumn("tokens_after", F.size(tokens(F.col("t.text"))))
     limit = opts.model_max_length if opts.model_max_length and opts.model_max_length <= UNKNOWN_MODEL_MAX else None
@@ -153,6 +159,8 @@ def convert(df: DataFrame, opts: ConvertOptions = ConvertOptions(), split: str =
         reason = reason.when(F.col("tokens_after") > limit, OVER_MODEL_MAX)
     reason = reason.when(~fim_in_order(F.col("t.text")), LOST_AFTER_TRUNCATION)
     d = materialize(d.withColumn("drop_reason", reason), "convert-judged").withColumn("removed_blocks", F.coalesce(F.col("__s.removed"), F.lit(0)))
+    guards = {"hit_max_iters": F.coalesce(F.col("__s.hit_max"), F.lit(False)) | F.col("t.hit_max"), "skipped_strip": F.col("t.skipped_strip"), "unmatched": F.coalesce(F.col("__s.unmatched"), F.lit(0)) > 0, "over_budget": F.col("t.over_budget")}
+    d = d.withColumns(guards)
     d = d.withColumn("over_model_max", (F.col("tokens_before") > limit) if limit else F.lit(False))
     d = d.withColumn("prompt", F.when(F.col("drop_reason").isNull(), F.col("t.text"))).withColumn("removed_tokens", F.col("t.removed")).withColumn("truncated", F.col("drop_reason").isNull() & (F.col("t.removed") > 0))
     d = d.withColumn("variant_id", F.concat_ws("::", F.col("source_id").cast("string"), "variant")).drop("__prompt", "__s", "__base", "t")
@@ -192,12 +200,15 @@ def emission_tally(converted: DataFrame) -> DataFrame:
 
 
 def split_stats(converted: DataFrame, split: str = "split") -> DataFrame:
-    """Counts and averages of each split and of all (split null); averages have the denominators of their own meaning."""
-    kept = F.col("drop_reason").isNull()
+    """Counts and averages of each split and of all (split null); averages have the denominators of their own meaning.
+
+    safeguard columns: rows that hit the limit of removals, skipped the pass for their length, or had a lone marker.
+    """
+    kept, n = F.col("drop_reason").isNull(), F.count(F.lit(1))
     return converted.groupingSets([[F.col(split)], []], split).agg(
-        F.count(F.lit(1)).alias("total_seen"), F.count_if(kept).alias("kept"), F.count_if(F.col("truncated")).alias("truncated"), F.sum("removed_blocks").alias("removed_blocks"),
-        F.max("tokens_before").alias("max_tokens_before"), F.count_if(F.col("over_model_max")).alias("over_model_max"),
-        (F.sum("tokens_before") / F.count(F.lit(1))).alias("avg_tokens_before"), (F.sum(F.when(kept, F.col("tokens_after"))) / F.greatest(F.lit(1), F.count_if(kept))).alias("avg_tokens_after"),
+        n.alias("total_seen"), F.count_if(kept).alias("kept"), F.count_if(~kept).alias("dropped"), F.count_if(F.col("truncated")).alias("truncated"), F.sum("removed_blocks").alias("removed_blocks"),
+        F.max("tokens_before").alias("max_tokens_before"), F.max(F.when(kept, F.col("tokens_after"))).alias("max_tokens_after"), F.count_if(F.col("over_model_max")).alias("over_model_max"), F.count_if(F.col("over_budget")).alias("over_budget"),
+        (F.sum("tokens_before") / n).alias("avg_tokens_before"), (F.sum(F.when(kept, F.col("tokens_after"))) / F.greatest(F.lit(1), F.count_if(kept))).alias("avg_tokens_after"),
+        (F.sum("completion_tokens") / n).alias("avg_completion_tokens"), F.max("completion_tokens").alias("max_completion_tokens"), F.sum(F.when(kept, F.col("removed_tokens")).otherwise(0)).alias("removed_tokens"),
+        F.count_if(F.col("hit_max_iters")).alias("hit_max_iters"), F.count_if(F.col("skipped_strip")).alias("skipped_strip"), F.count_if(F.col("unmatched")).alias("unmatched_markers"),
     )
-
-

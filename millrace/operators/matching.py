@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from millrace.functions.text import ground_truth_forms, line_fingerprints, rstrip_newlines, suffix_score, ws_norm
+from millrace.functions.text import ground_truth_forms, line_fingerprints, rstrip_newlines, splitlines, suffix_score, ws_norm
 
 CONTEXT_LINES = 10
 PROMPT_MARGIN = 0.05
@@ -36,60 +36,71 @@ def ratio_bound(a: Column, b: Column) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) / F.greatest(F.lit(1), F.length(a) + F.length(b))
 
 
+def record_key(records: DataFrame) -> Column:
+    """What tells items apart: all of their columns that matching reads."""
+    return F.md5(F.to_json(F.struct(*[c for c in ("task_id", "prompt", "ground_truth", "fpath_tuple", "line_no") if c in records.columns]), {"ignoreNullFields": "false"}))
+
+
+def keyed(records: DataFrame) -> DataFrame:
+    """Adds rec, the item's key."""
+    return records.withColumn("rec", record_key(records))
+
+
 def candidate_files(records: DataFrame, paths: DataFrame, suffix: str = ".java") -> DataFrame:
-    """(task_id, file, rank): files whose path is a suffix of the item's, longest first; without one, files of its name by fit.
+    """(rec, file, rank): files whose path is a suffix of the item's, longest first; without one, files of its name by fit.
 
-    records: (task_id, fpath_tuple); paths: (file), relative to the repository.
+    records: (rec, fpath_tuple); paths: (file), relative to the repository.
     """
     size = F.size("fpath_tuple")
-    cut = records.select("task_id", "fpath_tuple", F.explode(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)))).alias("i")).select(
-        "task_id", F.col("i").alias("rank"), F.array_join(F.slice("fpath_tuple", F.col("i") + 1, F.greatest(size, F.lit(1))), "/").alias("file")
+    cut = records.select("rec", "fpath_tuple", F.explode(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)))).alias("i")).select(
+        "rec", F.col("i").alias("rank"), F.array_join(F.slice("fpath_tuple", F.col("i") + 1, F.greatest(size, F.lit(1))), "/").alias("file")
     )
     exact = cut.filter(F.col("file").endswith(suffix)).join(paths.select("file"), "file")
-    rest = records.select("task_id", "fpath_tuple").join(exact.select("task_id").distinct(), "task_id", "left_anti")
+    rest = records.select("rec", "fpath_tuple").join(exact.select("rec").distinct(), "rec", "left_anti")
     by_name = rest.withColumn("name", F.element_at("fpath_tuple", -1)).join(paths.select("file", F.element_at(F.split("file", "/"), -1).alias("name")), "name")
-    ranked = by_name.withColumn("rank", F.row_number().over(Window.partitionBy("task_id").orderBy(suffix_score(F.col("file"), F.col("fpath_tuple")))) - 1)
-    return exact.select("task_id", "file", "rank").unionByName(ranked.select("task_id", "file", "rank"))
+    ranked = by_name.withColumn("rank", F.row_number().over(Window.partitionBy("rec").orderBy(suffix_score(F.col("file"), F.col("fpath_tuple")))) - 1)
+    return exact.select("rec", "file", "rank").unionByName(ranked.select("rec", "file", "rank"))
 
 
 def _context_ratio(hits: DataFrame, lines: DataFrame, records: DataFrame) -> DataFrame:
     """Of items with several equal lines in a file, the line whose surroundings fit the prompt best, if by a margin."""
-    near = hits.select("task_id", "file", "rank", F.col("line_index").alias("hit")).join(lines.select("file", F.col("line_index").alias("at"), "line"), "file").filter(F.col("at").between(F.col("hit") - CONTEXT_LINES, F.col("hit") + CONTEXT_LINES - 1))
-    text = near.groupBy("task_id", "file", "rank", "hit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "").alias("context"))
-    parts = F.split(F.rtrim(F.coalesce("prompt", F.lit("")), F.lit("\n")), "\n")
-    tail = records.select("task_id", F.array_join(F.slice(parts, F.greatest(F.size(parts) - CONTEXT_LINES + 1, F.lit(1)), CONTEXT_LINES), "\n").alias("tail")).filter(F.length(ws_norm(F.col("tail"))) > 0)
-    scored = text.join(tail, "task_id").withColumn("ratio", sequence_ratio("tail", "context"))
-    w = Window.partitionBy("task_id", "file").orderBy(F.desc("ratio"), F.desc("hit"))
+    near = hits.select("rec", "file", "rank", F.col("line_index").alias("hit")).join(lines.select("file", F.col("line_index").alias("at"), "line"), "file").filter(F.col("at").between(F.col("hit") - CONTEXT_LINES, F.col("hit") + CONTEXT_LINES - 1))
+    text = near.groupBy("rec", "file", "rank", "hit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "").alias("context"))
+    parts = splitlines(F.coalesce("prompt", F.lit("")), keepends=False)
+    tail = records.select("rec", F.array_join(F.slice(parts, F.greatest(F.size(parts) - CONTEXT_LINES + 1, F.lit(1)), CONTEXT_LINES), "\n").alias("tail")).filter(F.length(ws_norm(F.col("tail"))) > 0)
+    scored = text.join(tail, "rec").withColumn("ratio", sequence_ratio("tail", "context"))
+    w = Window.partitionBy("rec", "file").orderBy(F.desc("ratio"), F.desc("hit"))
     first = scored.withColumn("n", F.row_number().over(w)).withColumn("next", F.lead("ratio").over(w)).filter("n = 1")
-    return first.filter(F.col("next").isNull() | (F.col("ratio") - F.col("next") > PROMPT_MARGIN)).select("task_id", "file", "rank", F.col("hit").alias("line_index"))
+    return first.filter(F.col("next").isNull() | (F.col("ratio") - F.col("next") > PROMPT_MARGIN)).select("rec", "file", "rank", F.col("hit").alias("line_index"))
 
 
 def match_records(records: DataFrame, lines: DataFrame, opts: MatchOptions = MatchOptions()) -> DataFrame:
-    """(task_id, status, resolved_path, line_index, strategy, confidence, reason) for each item.
+    """(rec, task_id, status, resolved_path, line_index, strategy, confidence, reason) for each item.
 
-    records: (task_id, prompt, ground_truth, fpath_tuple, line_no); lines: (file, line_index, line). Every stage is an
-    equality join on file and text; the stages of all candidate files are ranked, and the first that matched counts.
+    records: (task_id, prompt, ground_truth, fpath_tuple, line_no); lines: (file, line_index, line). Items are told apart by
+    record_key(), not by task_id, which several may share. Every stage is an equality join on file and text; the stages of all candidate files are ranked, and the first that matched counts.
     A file without a match but with an ambiguity does not stop a later one; the last ambiguity is told if none matched.
     """
-    forms = records.withColumn("g", ground_truth_forms(F.col("ground_truth"))).select("task_id", "line_no", F.col("g.gt_nl_stripped").alias("key"), F.col("g.gt_ws_norm").alias("gt_ws"))
+    every_record, records = keyed(records).select("rec", "task_id"), keyed(records).dropDuplicates(["rec"])
+    forms = records.withColumn("g", ground_truth_forms(F.col("ground_truth"))).select("rec", "line_no", F.col("g.gt_nl_stripped").alias("key"), F.col("g.gt_ws_norm").alias("gt_ws"))
     files = candidate_files(records, lines.select("file").distinct(), opts.suffix)
-    wanted = files.join(forms, "task_id")
-    keyed = lines.select("file", "line_index", rstrip_newlines(F.col("line")).alias("key"))
-    hits = wanted.join(keyed, ["file", "key"]).select("task_id", "file", "rank", "line_no", "line_index")
+    wanted = files.join(forms, "rec")
+    by_text = lines.select("file", "line_index", rstrip_newlines(F.col("line")).alias("key"))
+    hits = wanted.join(by_text, ["file", "key"]).select("rec", "file", "rank", "line_no", "line_index")
     off = F.abs(F.col("line_index") - F.col("line_no"))
     off_one = F.abs(F.col("line_index") - (F.col("line_no") - 1))
 
     def stage(found: DataFrame, number: int, strategy: str, confidence: int, status: str = "matched", reason: str | None = None) -> DataFrame:
         return found.select(
-            "task_id", "rank", F.lit(number).alias("stage"), F.lit(status).alias("status"), F.col("file").alias("resolved_path"), F.col("line_index").cast("int").alias("line_index"),
+            "rec", "rank", F.lit(number).alias("stage"), F.lit(status).alias("status"), F.col("file").alias("resolved_path"), F.col("line_index").cast("int").alias("line_index"),
             F.lit(strategy).alias("strategy"), F.lit(confidence).alias("confidence"), F.lit(reason).cast("string").alias("reason"),
         )
 
     def nearest(distance: Column) -> DataFrame:
-        w = Window.partitionBy("task_id", "file").orderBy(distance, "line_index")
+        w = Window.partitionBy("rec", "file").orderBy(distance, "line_index")
         return hits.filter(distance <= opts.window).withColumn("n", F.row_number().over(w)).filter("n = 1")
 
-    count = F.count(F.lit(1)).over(Window.partitionBy("task_id", "file"))
+    count = F.count(F.lit(1)).over(Window.partitionBy("rec", "file"))
     counted = hits.withColumn("hits", count)
     many = counted.filter("hits > 1")
     no_index = F.lit(None).cast("int")
@@ -100,7 +111,7 @@ def match_records(records: DataFrame, lines: DataFrame, opts: MatchOptions = Mat
         stage(nearest(off_one), 3, "window_search", 95),
         stage(counted.filter("hits = 1"), 4, "global_exact", 90),
         stage(_context_ratio(many, lines, records), 5, "prompt_disambiguation", 80),
-        stage(many.groupBy("task_id", "file", "rank").agg(F.lit(1).alias("one")).withColumn("line_index", no_index), 9, "global_exact", 30, "unmatched_ambiguous", "multiple_matches"),
+        stage(many.groupBy("rec", "file", "rank").agg(F.lit(1).alias("one")).withColumn("line_index", no_index), 9, "global_exact", 30, "unmatched_ambiguous", "multiple_matches"),
     ]
     if opts.fuzzy:
         fuzzy = fuzzy_matches(wanted, lines)
@@ -114,12 +125,12 @@ def match_records(records: DataFrame, lines: DataFrame, opts: MatchOptions = Mat
     # matches: first file, first stage; ambiguities: last file, last stage
     order = F.when(F.col("status") == "matched", F.struct(F.lit(0).alias("a"), F.col("rank").alias("b"), F.col("stage").alias("c"))).otherwise(F.struct(F.lit(1).alias("a"), (-F.col("rank")).alias("b"), (-F.col("stage")).alias("c")))
     columns = ["status", "resolved_path", "line_index", "strategy", "confidence", "reason"]
-    best = every.groupBy("task_id").agg(F.min_by(F.struct(*columns), order).alias("m")).select("task_id", *[F.col(f"m.{c}").alias(c) for c in columns])
-    first = files.groupBy("task_id").agg(F.min_by("file", "rank").alias("first_file"))
-    told = records.select("task_id").join(best, "task_id", "left").join(first, "task_id", "left")
+    best = every.groupBy("rec").agg(F.min_by(F.struct(*columns), order).alias("m")).select("rec", *[F.col(f"m.{c}").alias(c) for c in columns])
+    first = files.groupBy("rec").agg(F.min_by("file", "rank").alias("first_file"))
+    told = every_record.join(best, "rec", "left").join(first, "rec", "left")
     no_file = F.col("first_file").isNull()
     return told.select(
-        "task_id",
+        "rec", "task_id",
         F.when(F.col("status").isNotNull(), F.col("status")).when(no_file, "unmatched_file").otherwise("unmatched_line").alias("status"),
         F.when(F.col("status").isNotNull(), F.col("resolved_path")).otherwise(F.col("first_file")).alias("resolved_path"),
         "line_index", "strategy", F.coalesce("confidence", F.lit(0)).alias("confidence"),
@@ -128,16 +139,16 @@ def match_records(records: DataFrame, lines: DataFrame, opts: MatchOptions = Mat
 
 
 def fuzzy_matches(wanted: DataFrame, lines: DataFrame) -> DataFrame:
-    """(task_id, file, rank, line_index, ambiguous): the most similar line of each candidate file with ratio 0.9 or more.
+    """(rec, file, rank, line_index, ambiguous): the most similar line of each candidate file with ratio 0.9 or more.
 
-    wanted: (task_id, file, rank, gt_ws). Distinct text pairs whose lengths allow the ratio are compared once.
+    wanted: (rec, file, rank, gt_ws). Distinct text pairs whose lengths allow the ratio are compared once.
     """
     texts = lines.select("file", "line_index", ws_norm(F.col("line")).alias("cand")).filter("cand <> ''")
-    pairs = wanted.select("task_id", "file", "rank", "gt_ws").join(texts, "file").filter(ratio_bound(F.col("gt_ws"), F.col("cand")) >= FUZZY_RATIO)
+    pairs = wanted.select("rec", "file", "rank", "gt_ws").join(texts, "file").filter(ratio_bound(F.col("gt_ws"), F.col("cand")) >= FUZZY_RATIO)
     scores = pairs.select("gt_ws", "cand").distinct().withColumn("ratio", quick_ratio("gt_ws", "cand")).filter(F.col("ratio") >= FUZZY_RATIO)
-    w = Window.partitionBy("task_id", "file").orderBy(F.desc("ratio"), "line_index")
+    w = Window.partitionBy("rec", "file").orderBy(F.desc("ratio"), "line_index")
     ranked = pairs.join(scores, ["gt_ws", "cand"]).withColumn("n", F.row_number().over(w)).withColumn("next", F.lead("ratio").over(w)).filter("n = 1")
-    return ranked.select("task_id", "file", "rank", "line_index", F.coalesce(F.col("ratio") - F.col("next") < FUZZY_MARGIN, F.lit(False)).alias("ambiguous"))
+    return ranked.select("rec", "file", "rank", "line_index", F.coalesce(F.col("ratio") - F.col("next") < FUZZY_MARGIN, F.lit(False)).alias("ambiguous"))
 
 
 @F.pandas_udf(DoubleType())
@@ -154,10 +165,10 @@ def benchmark_masks(records: DataFrame, matches: DataFrame, lines: DataFrame, op
 
     Files of ambiguous and unmatched lines are referenced too, and the global prints cover unmatched items.
     """
-    found = matches.filter("status = 'matched'").select("task_id", F.col("resolved_path").alias("file"), "line_index")
-    truths = records.select("task_id", F.explode(line_fingerprints(F.col("ground_truth"))).alias("fp"))
+    found = matches.filter("status = 'matched'").select("rec", F.col("resolved_path").alias("file"), "line_index").distinct()
+    truths = keyed(records).select("rec", F.explode(line_fingerprints(F.col("ground_truth"))).alias("fp"))
     own = found.join(lines.select("file", "line_index", "line"), ["file", "line_index"]).select("file", F.explode(line_fingerprints(F.col("line"))).alias("fp"))
-    given = found.join(truths, "task_id").select("file", "fp")
+    given = found.join(truths, "rec").select("file", "fp")
     every = truths.select("fp").distinct()
     return {
         "line_mask": found.select("file", "line_index").distinct(),
@@ -172,6 +183,11 @@ def leak_count(samples: DataFrame, line_mask: DataFrame) -> DataFrame:
     return samples.join(line_mask, ["file", "line_index"], "left_semi").agg(F.count(F.lit(1)).alias("leaked"))
 
 
+def bench_file_counts(samples: DataFrame, referenced: DataFrame) -> DataFrame:
+    """(file, n): samples of each file that an item refers to."""
+    return samples.join(referenced.select("file").distinct(), "file", "left_semi").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+
+
 def mask_report(matches: DataFrame) -> DataFrame:
     """Items by status and strategy."""
     return matches.groupBy("status", "strategy").agg(F.count(F.lit(1)).alias("items"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import threading
 import time
 import urllib.error
 import urllib.request
@@ -12,7 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,7 +44,7 @@ class RequestFailed(Exception):
 
     def __init__(self, reason: str, transient: bool, detail: str = ""):
         super().__init__(f"{reason}: {detail}"[:300])
-        self.reason, self.transient = reason, transient
+        self.reason, self.transient, self.detail = reason, transient, detail[:300]
 
 
 def completions_url(endpoint: str) -> str:
@@ -54,19 +55,24 @@ def completions_url(endpoint: str) -> str:
 
 
 def parse_completion(body: str) -> str:
-    """The text of the first choice: its text, or its message's content, or the joined texts of a content list."""
+    """The text of the first choice: its text, or its message's content, or the joined texts of a content list that has any."""
     try:
         data = json.loads(body)
     except ValueError as e:
         raise RequestFailed("bad_response_json", False, str(e)) from e
-    try:
-        choice = data["choices"][0]
-        if isinstance(choice.get("text"), str):
-            return choice["text"]
-        content = choice["message"]["content"]
-        return content if isinstance(content, str) else "".join(part["text"] for part in content if "text" in part)
-    except (KeyError, IndexError, TypeError, AttributeError) as e:
-        raise RequestFailed("bad_response_schema", False, str(e)) from e
+    choices = data.get("choices") if isinstance(data, dict) else None
+    first = choices[0] if isinstance(choices, list) and choices else None
+    if isinstance(first, dict):
+        if isinstance(first.get("text"), str):
+            return first["text"]
+        message = first.get("message")
+        content = message.get("content") if isinstance(message, dict) else None
+        if isinstance(content, str):
+            return content
+        texts = [p["text"] for p in content if isinstance(p, dict) and isinstance(p.get("text"), str)] if isinstance(content, list) else []
+        if texts:
+            return "".join(texts)
+    raise RequestFailed("bad_response_schema", False, "no text in the first choice")
 
 
 def parse_completion_column(body: Column) -> Column:
@@ -76,24 +82,39 @@ def parse_completion_column(body: Column) -> Column:
     def get(path: str, kind: str) -> Column:
         return F.call_function("try_variant_get", v, F.lit(path), F.lit(kind))
 
-    listed = F.array_join(F.transform(get("$.choices[0].message.content", "array<struct<text:string>>"), lambda x: F.coalesce(x["text"], F.lit(""))), "")
-    return F.coalesce(get("$.choices[0].text", "string"), listed, get("$.choices[0].message.content", "string"))
+    def kind(value: Column) -> Column:
+        return F.call_function("schema_of_variant", value)
+
+    def text(path: str) -> Column:
+        return F.when(kind(get(path, "variant")) == "STRING", get(path, "string"))
 
+    parts = F.filter(get("$.choices[0].message.content", "array<variant>"), lambda p: F.coalesce(kind(F.call_function("try_variant_get", p, F.lit("$.text"), F.lit("variant"))) == "STRING", F.lit(False)))
+    joined = F.array_join(F.transform(parts, lambda p: F.call_function("try_variant_get", p, F.lit("$.text"), F.lit("string"))), "")
+    return F.coalesce(text("$.choices[0].text"), text("$.choices[0].message.content"), F.when(F.size(parts) > 0, joined))
 
-def classify_error(error: Exception) -> tuple[str, bool, str]:
-    """(reason, transient, detail of at most 300 characters)."""
+
+def classify_error(error: BaseException) -> tuple[str, bool, str]:
+    """(reason, whether another try may help, detail of at most 300 characters); the detail of an HTTP error is its body."""
     detail = str(error)[:300]
     if isinstance(error, RequestFailed):
-        return error.reason, error.transient, detail
+        return error.reason, error.transient, error.detail
     if isinstance(error, urllib.error.HTTPError):
-        return f"http_{error.code}", error.code in TRANSIENT_CODES, detail
-    if isinstance(error, TimeoutError) or isinstance(getattr(error, "reason", None), TimeoutError):
-        return "timeout", True, detail
-    if isinstance(error, ConnectionResetError):
-        return "connection_reset", True, detail
-    if isinstance(error, (urllib.error.URLError, ConnectionError, OSError)):
-        return "network_error", True, detail
-    return "request_error", False, detail
+        try:
+            body = error.read().decode(errors="replace").strip()
+        except Exception:  # noqa: BLE001  a body that cannot be read is none
+            body = ""
+        return f"http_{error.code}", error.code in TRANSIENT_CODES, body[:300] or detail
+    inner = error.reason if isinstance(error, urllib.error.URLError) else error
+    wrapped = inner is not error
+    if isinstance(inner, TimeoutError) or (wrapped and "timed out" in str(inner).lower()):
+        return "timeout", True, str(inner)[:300]
+    if isinstance(inner, ConnectionResetError):
+        return "connection_reset", True, str(inner)[:300]
+    if wrapped:
+        return "network_error", True, str(inner)[:300]
+    if isinstance(error, json.JSONDecodeError):
+        return "bad_response_json", False, detail
+    return "bad_response_schema" if isinstance(error, ValueError) else "request_error", False, detail
 
 
 def http_client(opts: FilterOptions) -> Callable[[str], str]:
@@ -108,41 +129,67 @@ def http_client(opts: FilterOptions) -> Callable[[str], str]:
     return ask
 
 
-def ask_with_retries(ask: Callable[[str], str], prompt: str, opts: FilterOptions, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, int | None, str | None]:
-    """(text, latency in ms, error reason): transient errors are tried again after growing pauses with jitter."""
+def ask_with_retries(ask: Callable[[str], str], prompt: str, opts: FilterOptions, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, int | None, str | None, str | None]:
+    """(text, latency in ms, error reason, its detail): transient errors are tried again after growing pauses with jitter."""
     for attempt in range(opts.retries + 1):
         began = time.monotonic()
         try:
-            return ask(prompt), int((time.monotonic() - began) * 1000), None
+            return ask(prompt), int((time.monotonic() - began) * 1000), None, None
         except Exception as e:  # noqa: BLE001  any failure of a client becomes a reason
-            reason, transient, _ = classify_error(e)
+            reason, transient, detail = classify_error(e)
             if not transient or attempt == opts.retries:
-                return None, None, reason
+                return None, None, reason, detail
             sleep(opts.backoff * 2**attempt + random.uniform(0, opts.backoff))
-    return None, None, "request_error"
+    return None, None, "request_error", "no attempt was made"
+
+
+class Progress:
+    """Counts of a run that tasks add to; a thread of the driver prints them every `seconds` until the block ends."""
+
+    def __init__(self, spark: SparkSession, seconds: float = 30.0, say: Callable[[str], None] = print):
+        self.asked, self.failed = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+        self.seconds, self.say, self._end = seconds, say, threading.Event()
 
+    def line(self) -> str:
+        return f"[progress] asked={self.asked.value} errors={self.failed.value}"
 
-def ask_model(df: DataFrame, ask: Callable[[str], str], opts: FilterOptions, prompt: str = "prompt") -> DataFrame:
-    """Adds teacher_raw, latency_ms and request_error. Rows whose prompt is null are not asked.
+    def __enter__(self) -> Progress:
+        def watch() -> None:
+            while not self._end.wait(self.seconds):
+                self.say(self.line())
 
-    Each task keeps up to `concurrency` requests in flight; a qps limit is shared evenly by the tasks. A batch's prompts
-    that are equal are asked once.
+        threading.Thread(target=watch, daemon=True).start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._end.set()
+        self.say(self.line())
+
+
+def ask_model(df: DataFrame, ask: Callable[[str], str], opts: FilterOptions, prompt: str = "prompt", progress: Progress | None = None) -> DataFrame:
+    """Adds teacher_raw, latency_ms, request_error and error_detail. Rows whose prompt is null are not asked.
+
+    Each task keeps up to `concurrency` requests in flight. A qps limit is shared by the tasks that can run at once, so it
+    is never exceeded. A batch's prompts that are equal are asked once.
     """
-    tasks = max(1, df.rdd.getNumPartitions()) if opts.qps else 1
-    schema = T.StructType([*df.schema.fields, T.StructField("teacher_raw", T.StringType()), T.StructField("latency_ms", T.IntegerType()), T.StructField("request_error", T.StringType())])
+    at_once = df.sparkSession.sparkContext.defaultParallelism
+    added = [T.StructField("teacher_raw", T.StringType()), T.StructField("latency_ms", T.IntegerType()), T.StructField("request_error", T.StringType()), T.StructField("error_detail", T.StringType())]
+    counters = (progress.asked, progress.failed) if progress else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pause = tasks / opts.qps if opts.qps else 0.0
+        pause = at_once / opts.qps if opts.qps else 0.0
         with ThreadPoolExecutor(opts.concurrency) as pool:
             for b in batches:
                 jobs = {}
                 for p in b[prompt].dropna().unique():
                     jobs[p] = pool.submit(ask_with_retries, ask, p, opts)
                     time.sleep(pause)
-                got = [jobs[p].result() if p in jobs else (None, None, None) for p in b[prompt]]
-                yield b.assign(teacher_raw=[g[0] for g in got], latency_ms=pd.array([g[1] for g in got], dtype="Int32"), request_error=[g[2] for g in got])
+                got = [jobs[p].result() if p in jobs else (None,) * 4 for p in b[prompt]]
+                if counters:
+                    counters[0].add(len(got)), counters[1].add(sum(g[2] is not None for g in got))
+                yield b.assign(teacher_raw=[g[0] for g in got], latency_ms=pd.array([g[1] for g in got], dtype="Int32"), request_error=[g[2] for g in got], error_detail=[g[3] for g in got])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, *added]))
 
 
 def compare(df: DataFrame, mode: str, threshold: float = 0.98, truth: str = "gt_raw", answer: str = "teacher_raw", one_line: bool = True) -> DataFrame:
@@ -185,6 +232,14 @@ def reason_counts(evaluated: DataFrame) -> DataFrame:
     return evaluated.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def until_kept(evaluated: DataFrame, order: str, n: int | None) -> DataFrame:
+    """Rows up to the n-th that passed, in input order: what a run that stops early has seen. All rows if fewer pass."""
+    if not n or n <= 0:
+        return evaluated
+    last = first_kept(evaluated, order, n).agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("at")).first()
+    return evaluated.filter(F.col(order) <= F.lit(last["at"])) if last["n"] == n else evaluated
+
+
 def first_kept(evaluated: DataFrame, order: str, n: int) -> DataFrame:
     """The first n rows that passed, in input order."""
     return evaluated.filter("passed").orderBy(order).limit(n)

@@ -57,16 +57,17 @@ def candidates(files: DataFrame, path_col: str = "path", text_col: str = "text")
 def exclusion_reason(lines: DataFrame, line_mask: DataFrame, file_prints: DataFrame, global_prints: DataFrame) -> DataFrame:
     """Adds reason (bench_line, bench_text_file, bench_text_global or null), the first that applies.
 
-    line_mask: (file, line_index); file_prints: (file, fp); global_prints: (fp). The masks are joined by Spark's choice:
-    by broadcast while they are small by statistics, by a shuffle beyond.
+    line_mask: (file, line_index); file_prints: (file, fp); global_prints: (fp). What the masks hit becomes one table by
+    file and line, which the lines with their text meet once. Joins are Spark's choice: by broadcast while a side is small
+    by statistics, by a shuffle beyond.
     """
-    prints = line_fingerprints(F.col("line"))
-    marked = lines.join(line_mask.select("file", F.col("line_index"), F.lit(True).alias("in_mask")).distinct(), ["file", "line_index"], "left")
-    keyed = marked.select("file", "line_index", F.explode(prints).alias("fp"))
-    in_file = keyed.join(file_prints.select("file", "fp").distinct(), ["file", "fp"], "left_semi").select("file", "line_index", F.lit(True).alias("in_file")).distinct()
-    in_any = keyed.join(global_prints.select("fp").distinct(), "fp", "left_semi").select("file", "line_index", F.lit(True).alias("in_any")).distinct()
-    joined = marked.join(in_file, ["file", "line_index"], "left").join(in_any, ["file", "line_index"], "left")
-    return joined.withColumn("reason", F.when(F.col("in_mask"), "bench_line").when(F.col("in_file"), "bench_text_file").when(F.col("in_any"), "bench_text_global")).drop("in_mask", "in_file", "in_any")
+    spots = lines.select("file", "line_index", F.explode(line_fingerprints(F.col("line"))).alias("fp"))
+    by_file = spots.join(file_prints.select("file", "fp").distinct(), ["file", "fp"], "left_semi").select("file", "line_index", F.lit(1).alias("why"))
+    by_any = spots.join(global_prints.select("fp").distinct(), "fp", "left_semi").select("file", "line_index", F.lit(2).alias("why"))
+    by_line = line_mask.select("file", F.col("line_index").cast("int").alias("line_index"), F.lit(0).alias("why"))
+    found = by_line.unionByName(by_file).unionByName(by_any).groupBy("file", "line_index").agg(F.min("why").alias("why"))
+    reason = F.get(F.array(F.lit("bench_line"), F.lit("bench_text_file"), F.lit("bench_text_global")), F.col("why"))
+    return lines.join(found, ["file", "line_index"], "left").withColumn("reason", reason).drop("why")
 
 
 def sample_lines(lines: DataFrame, opts: SampleOptions, referenced: DataFrame | None = None) -> DataFrame:
@@ -81,8 +82,12 @@ def sample_lines(lines: DataFrame, opts: SampleOptions, referenced: DataFrame |
 
 def masked_samples(files: DataFrame, masks: tuple[DataFrame, DataFrame, DataFrame], opts: SampleOptions = SampleOptions(), referenced: DataFrame | None = None, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """As fim_samples, without excluded lines, which leave before sampling. Files meet their sampled lines again for context."""
-    clean = exclusion_reason(candidates(files, path_col, text_col), *masks).filter("reason is null")
-    chosen = sample_lines(clean, opts, referenced).select("file", "line_index")
+    return clean_samples(files, exclusion_reason(candidates(files, path_col, text_col), *masks), opts, referenced, path_col, text_col)
+
+
+def clean_samples(files: DataFrame, told: DataFrame, opts: SampleOptions = SampleOptions(), referenced: DataFrame | None = None, path_col: str = "path", text_col: str = "text") -> DataFrame:
+    """Samples of the candidate lines in told that have no reason."""
+    chosen = sample_lines(told.filter("reason is null"), opts, referenced).select("file", "line_index")
     base = files.select(F.col(path_col).alias("file"), splitlines(F.coalesce(F.col(text_col), F.lit(""))).alias("lines"))
     return _finish(base.join(chosen, "file").withColumn("header", header_end(F.col("lines"))), opts)
 
@@ -138,13 +143,23 @@ def group_split(df: DataFrame, group: str, val_ratio: float, seed: int = 42) ->
     return df.join(chosen.select(group, F.lit("val").alias("split")), group, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
+def quotas(strata: list[str], total: int) -> dict[str, int]:
+    """Equal quotas, the remainder to the first strata."""
+    return {s: total // len(strata) + (i < total % len(strata)) for i, s in enumerate(strata)}
+
+
+def stratified_top(df: DataFrame, stratum: str, quota: dict[str, int], keys: list[str], seed: int = 42) -> DataFrame:
+    """Up to quota[s] rows of each stratum, those with the least hash of seed and keys: a top-k for each, no sort of a stratum."""
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    parts = [df.filter(F.col(stratum) == s).orderBy(order, *keys).limit(q) for s, q in quota.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def stratified_quota(df: DataFrame, stratum: str, strata: list[str], total: int, keys: list[str], seed: int = 42) -> DataFrame:
-    """total rows with equal quotas, the remainder to the first strata; fails if a stratum is short."""
-    quota = {s: total // len(strata) + (i < total % len(strata)) for i, s in enumerate(strata)}
+    """total rows by quotas(); fails if a stratum is short."""
+    quota = quotas(strata, total)
     have = {r[0]: r[1] for r in df.groupBy(stratum).agg(F.count(F.lit(1))).collect()}  # one row for each stratum
     short = {s: (have.get(s, 0), q) for s, q in quota.items() if have.get(s, 0) < q}
     if short:
         raise RuntimeError(f"not enough candidates (have, need): {short}")
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
-    parts = [df.filter(F.col(stratum) == s).orderBy(order, *keys).limit(q) for s, q in quota.items()]  # a top-k for each, no sort of a stratum
-    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+    return stratified_top(df, stratum, quota, keys, seed)

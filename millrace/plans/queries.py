@@ -449,7 +449,7 @@ def project_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A task's project is its path's if one spells the other."""
     lang, source, k = F.col("lang"), F.col("source"), F.col("doc_id") % 3
     task = tx.task_project(F.concat(lang, F.when(k == 1, "__").otherwise("_"), source, F.when(k == 2, "").otherwise("-x"), F.lit("/"), F.col("doc_id").cast("string")))
-    path = tx.path_project(F.concat(lang, F.lit("/"), source, F.when(k == 2, "").otherwise("-x"), F.lit("/src/A.java")))
+    path = tx.path_project(F.array(lang, F.concat(source, F.when(k == 2, "").otherwise("-x")), F.lit("src"), F.lit("A.java")))
     return table(spark, sf_dir, "documents").select("doc_id", tx.canonical_project(task, path).alias("project"))
 
 

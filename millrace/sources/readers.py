@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import decode_ignore, splitlines
+from millrace.storage import materialize
 
 #: Folders that hold no source.
 SKIP_DIRS = (".git", ".idea", "target", "build", "out", ".gradle", ".mvn")
@@ -17,9 +18,9 @@ def code_files(spark: SparkSession, root: str, pattern: str = "*.java") -> DataF
     """(path, text) of the files under root that match, unless a folder between root and file is to be skipped. path is relative to root."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:") + "/"
-    path = F.substring_index(F.col("path"), base, -1)
+    path = F.substr(F.col("path"), F.locate(base, F.col("path")) + len(base))  # behind the root's first occurrence
     skip = F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, SKIP_DIRS)))
-    return files.select(path.alias("path"), decode_ignore(F.col("content")).alias("text")).filter(~skip)
+    return files.filter(~skip).select(path.alias("path"), decode_ignore(F.col("content")).alias("text"))
 
 
 def line_table(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
@@ -56,17 +57,26 @@ def field(path: str, kind: str = "string") -> Column:
     return F.call_function("try_variant_get", F.col("v"), F.lit(f"$.{path}"), F.lit(kind))
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(value, file, number): lines with their number in their file, from 1. A file may be read in many pieces."""
+    raw = spark.read.text(path).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("_metadata.file_path").alias("full"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    raw = materialize(raw, "numbered-lines")
+    pieces = raw.groupBy("full", "block").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))  # one row for each piece of a file
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("full").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return raw.join(pieces.select("full", "block", "first", before.alias("before")), ["full", "block"]).select("value", "file", (F.col("before") + F.col("row") - F.col("first") + 1).alias("number"))
+
+
 def benchmark_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Benchmark items (task_id, prompt, ground_truth, fpath_tuple, line_no).
 
     Malformed and non-object lines and items without ground truth or path are left out. A path that is one string is a
     list of one. task_id falls back to file name and line number. line_no is an integer if it is written as one.
     """
-    ok = parse_lines(spark.read.text(path).withColumn("file", F.input_file_name()).withColumn("row", F.monotonically_increasing_id())).filter("status = 'ok'")
+    ok = parse_lines(numbered_lines(spark, path)).filter("status = 'ok'")
     as_list = field("metadata.fpath_tuple", "array<string>")
     number = field("metadata.line_no")
     records = ok.select(
-        F.coalesce(field("metadata.task_id"), F.concat_ws(":", F.element_at(F.split("file", "/"), -1), (F.col("row").bitwiseAND((1 << 33) - 1) + 1).cast("string"))).alias("task_id"),
+        F.coalesce(field("metadata.task_id"), F.concat_ws(":", "file", F.col("number").cast("string"))).alias("task_id"),
         F.coalesce(field("prompt"), F.lit("")).alias("prompt"),
         field("metadata.ground_truth").alias("ground_truth"),
         F.coalesce(as_list, F.when(field("metadata.fpath_tuple").isNotNull(), F.array(field("metadata.fpath_tuple")))).alias("fpath_tuple"),
@@ -75,6 +85,12 @@ def benchmark_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return records.filter("ground_truth is not null and fpath_tuple is not null")
 
 
+def gather(spark: SparkSession, files: list[str], folder: str | None = None, pattern: str = "*.jsonl") -> list[str]:
+    """Files named, and those directly in a folder that match; distinct and sorted."""
+    inside = spark.read.option("pathGlobFilter", pattern).text(folder).inputFiles() if folder else []
+    return sorted({*(f.removeprefix("file://") for f in inside), *(f.removeprefix("file://") for f in files)})
+
+
 def find_files(spark: SparkSession, paths: list[str], pattern: str = "*.jsonl") -> list[str]:
     """Files named, and files that match below folders named; distinct and sorted. Listed by Spark's file index."""
     found: set[str] = set()

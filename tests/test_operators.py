@@ -1,4 +1,5 @@
 import gzip
+import io
 import json
 import random
 import urllib.error
@@ -15,11 +16,12 @@ from millrace.streaming import events
 
 
 def test_code_tree(spark, tmp_path):
-    for path, data in {"build/x/src/A.java": b"a\r\nb\xff\n", "build/x/target/B.java": b"no", "build/x/.git/C.java": b"no", "build/x/D.txt": b"no"}.items():
+    for path, data in {"build/x/src/A.java": b"a\r\nb\xff\n", "build/x/target/B.java": b"no", "build/x/.git/C.java": b"no", "build/x/D.txt": b"no", "build/x/y/build/x/E.java": "z\ufffd".encode()}.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_bytes(data)
     files = readers.code_files(spark, str(tmp_path / "build/x"))
-    assert [(r.path, r.text) for r in files.collect()] == [("src/A.java", "a\nb\n")]
+    assert [(r.path, r.text) for r in files.collect()] == [("src/A.java", "a\nb\n")]  # the other's folder is skipped
+    assert readers.code_files(spark, str(tmp_path / "build/x/y/build"), "E.*").first().text == "z\ufffd"
     assert [(r.line_index, r.line) for r in readers.line_table(files).collect()] == [(0, "a\n"), (1, "b\n")]
 
 
@@ -38,6 +40,7 @@ def test_json_lines(spark, tmp_path):
     with pytest.raises(Exception):
         readers.jsonl_strict(spark, str(tmp_path / "bad.jsonl"), "a int").collect()
     assert [p.rsplit("/", 1)[1] for p in readers.find_files(spark, [str(tmp_path)])] == ["bad.jsonl"]
+    assert readers.gather(spark, [f"{tmp_path}/bad.jsonl", "/z/q.jsonl"], str(tmp_path)) == [f"{tmp_path}/bad.jsonl", "/z/q.jsonl"]
 
 
 def test_splits_and_policies(spark, tmp_path):
@@ -135,7 +138,7 @@ def test_scores_against_a_loop(spark):
             df = sum(t in x for x in bags.values())
             if b[t]:
                 want += math.log(1 + (4 - df + 0.5) / (df + 0.5)) * b[t] * 2.5 / (b[t] + 1.5 * (0.25 + 0.75 * b.total() / avg)) * qf
-        assert abs(got.get(k, 0.0) - want) < 1e-12
+        assert abs(got.get(k, 0.0) - want) < 1e-10
     assert {(r.token, r.doc): r.tf for r in bm25.postings(docs).collect()} == {(r.token, r.doc): r.tf for r in bm25.counted_postings(docs).collect()}
 
 
@@ -143,7 +146,7 @@ def test_retrieval_filters_and_budget(spark):
     rows = [(i, f"F{i}", i * 10, i * 10 + 1, [f"word common {i}\n", "x\n"], f"word common {i}\nx\n") for i in range(8)]
     chunks = spark.createDataFrame(rows, "chunk_id int, file string, start int, end int, lines array<string>, text string").withColumn("tokens", code_tokens(F.col("text")))
     asked = spark.createDataFrame([(1, "F0", 5, "word common 1", ["common", "word"])], "query_id int, file string, line_index int, completion string, tokens array<string>")
-    masks = spark.createDataFrame([("F2", [20], ["nothing"]), ("F3", [5], ["word common 3"])], "file string, masked array<int>, blocked array<string>")
+    masks = {"line_mask": spark.createDataFrame([("F2", 20), ("F3", 5)], "file string, line_index int"), "file_prints": spark.createDataFrame([("F2", "nothing"), ("F3", "word common 3"), ("F4", "word common 5")], "file string, fp string"), "global_prints": spark.createDataFrame([("nowhere",)], "fp string")}
     contexts, excluded = bm25.retrieve(asked, chunks, bm25.RetrieveOptions(k=3, max_chars=40, max_snippet_chars=20), masks)
     assert {r.reason: r.n for r in excluded.collect()} == {"proximity": 1, "completion_text": 1, "bench_line": 1, "bench_text": 1}
     assert [x.file for x in contexts.first().rag] == ["F4", "F5"]
@@ -164,6 +167,37 @@ def test_cascade_order_and_ambiguity(spark):
     assert {r.file for r in masks["referenced"].collect()} >= {"a/A.java", "b/A.java"}
 
 
+def test_items_of_one_task_are_matched_each_by_itself(spark):
+    lines = spark.createDataFrame([("A.java", i, x) for i, x in enumerate(["one\n", "two\n", "three\n"])], "file string, line_index int, line string")
+    records = spark.createDataFrame([("t", "", "one", ["A.java"], None), ("t", "", "three", ["A.java"], None), ("t", "", "three", ["A.java"], None)], "task_id string, prompt string, ground_truth string, fpath_tuple array<string>, line_no int")
+    got = matching.match_records(records, lines)
+    assert sorted((r.task_id, r.line_index) for r in got.collect()) == [("t", 0), ("t", 2), ("t", 2)]
+    masks = matching.benchmark_masks(records, got, lines)
+    assert sorted(r.line_index for r in masks["line_mask"].collect()) == [0, 2] and {r.fp for r in masks["file_prints"].collect()} == {"one", "three"}
+
+
+def test_prompt_tails_follow_splitlines(spark):
+    lines = spark.createDataFrame([("A.java", i, f"{x}\n") for i, x in enumerate(["a", "b", "x", "c", "d", "e", "f", "g", "h", "i", "j", "k", "l", "m", "n", "x", "o"])], "file string, line_index int, line string")
+    for prompt, want in (("l\r\nm\r\nn", 15), ("a\nb\n", 2), ("\n\n", None)):
+        records = spark.createDataFrame([("t", prompt, "x", ["A.java"], None)], "task_id string, prompt string, ground_truth string, fpath_tuple array<string>, line_no int")
+        assert matching.match_records(records, lines).first().line_index == want
+
+
+def test_line_numbers_of_a_file_in_pieces(spark, tmp_path):
+    (tmp_path / "big.jsonl").write_text("".join(json.dumps({"metadata": {"ground_truth": f"g{i}", "fpath_tuple": ["A.java"]}}) + "\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    got = readers.benchmark_records(spark, str(tmp_path / "big.jsonl")).collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r.task_id for r in got) == sorted(f"big.jsonl:{i + 1}" for i in range(3000)) and all(r.task_id == f"big.jsonl:{int(r.ground_truth[1:]) + 1}" for r in got)
+
+
+def test_early_stop_ends_at_the_last_kept_row(spark):
+    rows = spark.createDataFrame([(i, i % 3 == 0) for i in range(20)], "pos int, passed boolean")
+    assert [r.pos for r in modelfilter.until_kept(rows, "pos", 3).orderBy("pos").collect()] == list(range(7))
+    assert modelfilter.until_kept(rows, "pos", 99).count() == modelfilter.until_kept(rows, "pos", None).count() == 20
+
+
 def test_match_modes(spark):
     def equal(gt, answer, mode, threshold=0.9, one_line=True):
         df = spark.createDataFrame([(gt, answer)], "gt_raw string, teacher_raw string")
@@ -197,14 +231,22 @@ def test_filter_run_with_canned_client(spark):
 def test_client_parts():
     assert modelfilter.completions_url("http://h/v1/") == "http://h/v1/completions" == modelfilter.completions_url("http://h")
     assert modelfilter.parse_completion('{"choices":[{"message":{"content":[{"text":"a"},{"x":1},{"text":"b"}]}}]}') == "ab"
-    for body, reason in (("{", "bad_response_json"), ('{"choices":[]}', "bad_response_schema")):
+    assert modelfilter.parse_completion('{"choices":[{"message":{"content":["a",{"text":5},{"text":"b"}]}}]}') == "b"
+    for body, reason in (("{", "bad_response_json"), ('{"choices":[]}', "bad_response_schema"), ("[]", "bad_response_schema"), ('{"choices":[{"text":5}]}', "bad_response_schema"), ('{"choices":[{"message":{"content":[{"x":1}]}}]}', "bad_response_schema")):
         with pytest.raises(modelfilter.RequestFailed) as e:
             modelfilter.parse_completion(body)
         assert e.value.reason == reason and not e.value.transient
     error = lambda code: urllib.error.HTTPError("u", code, "m", None, None)
     assert modelfilter.classify_error(error(503))[:2] == ("http_503", True) and modelfilter.classify_error(error(400))[:2] == ("http_400", False)
     assert modelfilter.classify_error(ConnectionResetError())[:2] == ("connection_reset", True) and modelfilter.classify_error(urllib.error.URLError("x"))[:2] == ("network_error", True)
-    assert modelfilter.classify_error(ValueError())[:2] == ("request_error", False)
+    assert modelfilter.classify_error(ValueError("x")) == ("bad_response_schema", False, "x") and modelfilter.classify_error(KeyError())[:2] == ("request_error", False)
+    with pytest.raises(ValueError) as e:
+        json.loads("{")
+    assert modelfilter.classify_error(e.value)[:2] == ("bad_response_json", False)
+    for inner, want in ((ConnectionResetError(), "connection_reset"), (TimeoutError(), "timeout"), ("The read timed out", "timeout"), (OSError("no route"), "network_error")):
+        assert modelfilter.classify_error(urllib.error.URLError(inner))[:2] == (want, True)
+    body = urllib.error.HTTPError("u", 500, "m", None, io.BytesIO(b" broken " + b"x" * 400))
+    assert modelfilter.classify_error(body) == ("http_500", False, ("broken " + "x" * 400)[:300])
     tries, pauses = [], []
 
     def flaky(prompt):
@@ -235,6 +277,12 @@ def test_strip_and_trim(spark):
         for only in (False, True):
             assert tuple(strip(prompt, prefix_only=only))[:2] == plain(prompt, only), (prompt, only)
     assert strip(f"{s}a{s}{s}b{s}{p}{f}{m}", max_iters=1).hit_max
+    assert strip(f"{s}a{s}{p}{f}{m}{s}odd").unmatched == 1 and strip(f"{s}{p}{s}x{f}{m}{s}odd").unmatched == 0 and strip(f"{s}a{s}{p}{f}{m}{s}odd", max_iters=1).unmatched == 0
+    rng = random.Random(2)
+    for _ in range(60):
+        prompt = "".join(rng.choice([s, s, "t ", p, f, m, "<|fim_", "prefix|>"]) for _ in range(rng.randrange(2, 16)))
+        for only in (False, True):
+            assert tuple(strip(prompt, prefix_only=only, max_iters=3))[:2] == plain(prompt, only, 3), prompt
 
     def trim(prompt, budget):
         return spark.createDataFrame([(prompt,)], "p string").select(convert.left_trim(F.col("p"), F.lit(budget)).alias("s")).first().s

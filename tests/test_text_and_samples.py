@@ -79,9 +79,9 @@ def test_normal_forms_and_projects(spark):
     assert column(spark, ["a\r\nb", "a\rb", "a"], tx.first_line) == ["a\r", "a", "a"]
     assert column(spark, [" a  b \r\n"], lambda c: tx.normalize_for_mode(c, "exact")) == [" a  b "]
     assert column(spark, [" a  b \r\n"], lambda c: tx.normalize_for_mode(c, "ws_norm")) == ["a b"]
-    rows = spark.createDataFrame([("a_b-c/1", "a/b-c/x"), ("a__b_c/1", "a/b_c/x"), ("zz/1", "a/b-c/x"), (None, "a/b-c/x"), (None, None), ("t/1", "a/b/x")], "t string, p string")
+    rows = spark.createDataFrame([("a_b-c/1", ["a", "b-c", "x"]), ("a__b_c/1", ["a", "b_c", "x"]), ("zz/1", ["a", "b-c", "x"]), (None, ["a", "b-c", "x"]), (None, None), ("t/1", ["a", "b", "x"]), ("", ["a", "b"]), (" a_b_c ", ["a/b", "c"]), ("a_b", ["a/b"])], "t string, p array<string>")
     got = [r[0] for r in rows.select(tx.canonical_project(tx.task_project(F.col("t")), tx.path_project(F.col("p")))).collect()]
-    assert got == ["a/b-c", "a__b_c", "zz", "a/b-c", "unknown", "t"]
+    assert got == ["a/b-c", "a__b_c", "zz", "a/b-c", "unknown", "t", "a", "a_b_c", "a/b"]
     sizes = column(spark, ["", None, "a\nb", "x\n"], tx.text_size)
     assert [(s.chars, s.lines) for s in sizes] == [(0, 0), (0, 0), (3, 2), (2, 2)]
 
