@@ -111,15 +111,22 @@ def line_chunks(files: DataFrame, size: int = 30, overlap: int = 10, path_col: s
 def brace_chunks(files: DataFrame, size: int = 30, overlap: int = 10, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """As line_chunks, but a file whose braces balance is cut where its first level closes; longer parts are cut by windows.
 
-    A file without such a part falls back to line windows. Depth is a running sum over the lines, folded inside the row.
+    A file without such a part falls back to line windows. Depth is a running sum over the lines, folded inside the row;
+    braces in quotes and comments do not count.
     """
     base = files.select(F.col(path_col).alias("file"), splitlines(F.coalesce(F.col(text_col), F.lit(""))).alias("all"))
-    change = lambda x: F.regexp_count(x, F.lit(r"\{")) - F.regexp_count(x, F.lit(r"\}"))
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("at"))
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("at"), F.lit(False).alias("comment"))
+
     def step(acc: Column, x: Column) -> Column:
-        depth = acc["depth"] + change(x)
+        rest = F.when(acc["comment"], F.regexp_replace(x, r"^.*?(\*/|$)", "")).otherwise(x)
+        code = F.regexp_replace(rest, r"""(?s)"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|/\*.*?\*/|//.*""", "")
+        opens = F.locate("/*", code)
+        bare = F.when(opens > 0, F.substr(code, F.lit(1), opens - 1)).otherwise(code)
+        depth = acc["depth"] + F.regexp_count(bare, F.lit(r"\{")) - F.regexp_count(bare, F.lit(r"\}"))
         closes = (acc["depth"] >= 2) & (depth == 1)
-        return F.struct(depth.alias("depth"), F.when(closes, F.concat(acc["cuts"], F.array(acc["at"] + 1))).otherwise(acc["cuts"]).alias("cuts"), (acc["at"] + 1).alias("at"))
+        comment = (opens > 0) | (acc["comment"] & ~x.contains("*/"))
+        return F.struct(depth.alias("depth"), F.when(closes, F.concat(acc["cuts"], F.array(acc["at"] + 1))).otherwise(acc["cuts"]).alias("cuts"), (acc["at"] + 1).alias("at"), comment.alias("comment"))
+
     cuts = F.aggregate("all", start, step)["cuts"]
     edges = F.array_distinct(F.concat(F.array(F.lit(0)), cuts, F.array(F.size("all"))))
     parts = base.filter(F.size("all") > 0).select("file", "all", edges.alias("edges")).select("file", "all", "edges", F.posexplode(F.slice("edges", 1, F.size("edges") - 1)).alias("k", "from"))

@@ -104,11 +104,17 @@ def codefix_dataset(spark: SparkSession, repo: str, out: str, opts: codefix.Code
     return {r["mutation_type"]: r.asDict() for r in codefix.mutation_counts(chosen).collect()}
 
 
+def three_field_rows(rows: DataFrame, keep: bool = True) -> DataFrame:
+    """Rows of (prompt, expectedCode, completedCode) with the expected code as completion; other columns stay if wanted."""
+    named = rows.withColumn("completion", F.col("expectedCode"))
+    return named if keep else named.select("prompt", "completion", *[c for c in ("split",) if c in rows.columns])
+
+
 def converted_dataset(spark: SparkSession, files: dict[str, str], out: str, opts: convert.ConvertOptions = convert.ConvertOptions(), three_fields: bool = False) -> dict:
     """Prompts rewritten to a budget in two variants; writes splits and returns statistics and reasons."""
     rows = readers.load_splits(spark, files)
     if three_fields:
-        rows = rows.withColumn("completion", F.col("expectedCode"))
+        rows = three_field_rows(rows)
     named = [c for c in ("id", "source_id") if c in rows.columns]
     fallback = F.concat_ws(":", "split", F.monotonically_increasing_id().cast("string"))
     rows = materialize(rows.withColumn("source_id", F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in named], fallback)), "plan-rows")

@@ -128,14 +128,14 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
-_PART_NAME = "'get' || upper(substr(p_brand, 1, 1)) || lower(substr(p_brand, 2, 3)) || '_' || p_partkey || 'ById new.' || lower(substr(p_name, 1, 3))"
+_PART_NAME = "'get' || p_brand || '_' || p_partkey || 'ById new.' || p_name"
 
 
 @query(f"SELECT p_partkey, array_to_string({_tokens_sql(_PART_NAME)}, '|') AS tokens FROM part")
 def camel_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10 on names with humps, underscores and dots."""
     brand, name = F.col("p_brand"), F.col("p_name")
-    text = F.concat(F.lit("get"), F.upper(F.substring(brand, 1, 1)), F.lower(F.substring(brand, 2, 3)), F.lit("_"), F.col("p_partkey").cast("string"), F.lit("ById new."), F.lower(F.substring(name, 1, 3)))
+    text = F.concat(F.lit("get"), brand, F.lit("_"), F.col("p_partkey").cast("string"), F.lit("ById new."), name)
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tx.code_tokens(text), "|").alias("tokens"))
 
 
@@ -457,23 +457,25 @@ def project_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts with separator blocks before and behind the prefix token; some lack a token, some a partner marker."""
-    k = F.col("doc_id") % 7
-    head = F.substring("text", 1, 40)
-    block = F.concat(F.lit("<|file_sep|>"), F.substring("text", 41, 60), F.lit("<|file_sep|>"))
+    """Prompts of whole texts: the first half of the lines is the prefix, the others are blocks, the last line is the completion; some lack a token, some a partner marker."""
+    k, lines = F.col("doc_id") % 7, F.split("text", "\n")
+    half = F.floor(F.size(lines) / 2).cast("int")
+    head = F.array_join(F.slice(lines, 1, half), "\n")
+    block = F.concat(F.lit("<|file_sep|>"), F.array_join(F.slice(lines, half + 1, F.size(lines)), "\n"), F.lit("<|file_sep|>"))
     lead = F.when(k == 0, "").when(k == 1, block).when(k == 2, F.concat(block, F.lit("mid "), block)).when(k == 3, F.concat(block, F.lit("<|file_sep|>odd "))).otherwise(block)
     middle = F.when(k == 6, "").otherwise("<|fim_middle|>")
     prompt = F.concat(lead, F.lit("lead words here "), F.lit("<|fim_prefix|>"), head, F.lit("<|fim_suffix|>tail"), F.when(k == 5, block).otherwise(""), middle)
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.when(F.col("doc_id") % 2 == 0, "train").otherwise("validation").alias("split"), prompt.alias("prompt"), F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.substring("text", 1, 12)).alias("completion"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.when(F.col("doc_id") % 2 == 0, "train").otherwise("validation").alias("split"), prompt.alias("prompt"), F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.element_at(lines, -1)).alias("completion"))
 
 
 _PROMPTS = """
-WITH b AS (SELECT *, doc_id % 7 AS k, substr(text, 1, 40) AS head, '<|file_sep|>' || substr(text, 41, 60) || '<|file_sep|>' AS block FROM documents),
+WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+b AS (SELECT doc_id, l, doc_id % 7 AS k, array_to_string(l[1:len(l) // 2], chr(10)) AS head, '<|file_sep|>' || array_to_string(l[len(l) // 2 + 1:], chr(10)) || '<|file_sep|>' AS block FROM a),
 p AS (SELECT doc_id AS source_id, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'validation' END AS split, k, head,
   CASE k WHEN 0 THEN '' WHEN 1 THEN block WHEN 2 THEN block || 'mid ' || block WHEN 3 THEN block || '<|file_sep|>odd ' ELSE block END AS lead,
   CASE k WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN 'mid ' WHEN 3 THEN '<|file_sep|>odd ' WHEN 6 THEN block ELSE '' END AS lead_stripped,
   CASE WHEN k = 5 THEN block ELSE '' END AS inner_block, CASE WHEN k = 6 THEN '' ELSE '<|fim_middle|>' END AS middle,
-  CASE WHEN doc_id % 11 = 0 THEN '' ELSE substr(text, 1, 12) END AS completion FROM b)
+  CASE WHEN doc_id % 11 = 0 THEN '' ELSE l[-1] END AS completion FROM b)
 """
 
 
@@ -487,7 +489,7 @@ def strip_filesep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("source_id", F.col("s.text").alias("stripped"), F.col("s.removed").alias("removed"), F.col("s.unmatched").alias("unmatched"))
 
 
-CONVERT = convert.ConvertOptions(max_length=56)
+CONVERT = convert.ConvertOptions(max_length=500)
 
 
 def _converted(spark: SparkSession, sf_dir: str, conflict: str = "keep_one") -> DataFrame:
@@ -506,20 +508,20 @@ _CONVERTED = _PROMPTS + f""", v AS (
 ), t AS (
   SELECT *, {_TOK.format('completion')} AS c, {_TOK.format('base')} AS n, {_TOK.format('cut')} AS m, {_TOK.format("string_split(cut, '<|fim_prefix|>')[1]")} AS before FROM v
 ), r AS (
-  SELECT *, 56 - c - 1 AS budget, CASE
+  SELECT *, 500 - c - 1 AS budget, CASE
     WHEN c < 1 THEN 'min_completion_tokens'
     WHEN variant = 'norag' AND k = 6 THEN 'fim_tokens_lost_after_strip'
-    WHEN 56 - c - 1 <= 0 THEN 'completion_too_long'
+    WHEN 500 - c - 1 <= 0 THEN 'completion_too_long'
     WHEN k = 6 THEN 'fim_tokens_lost_after_truncation'
-    WHEN n <= 56 - c - 1 THEN NULL
-    WHEN m - (56 - c - 1) > before THEN 'budget_too_small_for_fim' END AS drop_reason FROM t
+    WHEN n <= 500 - c - 1 THEN NULL
+    WHEN m - (500 - c - 1) > before THEN 'budget_too_small_for_fim' END AS drop_reason FROM t
 )
 """
 
 
 @query(_CONVERTED + "SELECT source_id, variant, drop_reason, source_id || '::' || variant AS variant_id, CASE WHEN drop_reason IS NULL THEN CASE WHEN n <= budget THEN n ELSE least(m, budget) END END AS tokens_after FROM r")
 def variant_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both variants of each prompt with their fate under a budget of 56 tokens."""
+    """Both variants of each prompt with their fate under a budget of 500 tokens."""
     d = _converted(spark, sf_dir)
     return d.select("source_id", "variant", "drop_reason", "variant_id", F.when(F.col("drop_reason").isNull(), F.col("tokens_after")).alias("tokens_after"))
 
@@ -559,22 +561,24 @@ def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.sequence(F.lit(1), (F.col("conv_id") % 9 + 1).cast("int")).alias("prompt_ids"), F.when(F.col("turn") % 4 == 3, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(100), (F.lit(100) + F.col("turn")).cast("int"))).alias("completion_ids")
-    )
+    """Ids of whole turns: of the words for the prompt, of the lines for the completion; every fourth turn has no completion."""
+    words = F.transform(F.split("text", " "), lambda x: F.length(x))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.length(x) + 100)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("prompt_ids"), F.when(F.col("turn") % 4 == 3, F.array().cast("array<int>")).otherwise(lines).alias("completion_ids"))
 
 
 _LABELS = """
-WITH a AS (SELECT conv_id, turn, (conv_id % 9 + 1)::BIGINT AS p, (CASE WHEN turn % 4 = 3 THEN 0 ELSE turn + 1 END)::BIGINT AS c FROM conversations),
-b AS (SELECT *, greatest(0, p + c + 1 - 8) AS over FROM a), d AS (SELECT *, least(over, p) AS fp, greatest(0, c - (over - least(over, p))) AS kc FROM b),
-e AS (SELECT conv_id, turn, list_concat(range(fp + 1, p + 1), range(100, 100 + kc), [7]) AS input_ids, list_concat(list_transform(range(fp + 1, p + 1), lambda x: -100), range(100, 100 + kc), [7]) AS labels FROM d WHERE kc > 0)
+WITH i AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda x: length(x)) AS pi, CASE WHEN turn % 4 = 3 THEN [] ELSE list_transform(string_split(text, chr(10)), lambda x: length(x) + 100) END AS ci FROM conversations),
+a AS (SELECT *, len(pi) AS p, len(ci) AS c FROM i),
+b AS (SELECT *, greatest(0, p + c + 1 - 48) AS over FROM a), d AS (SELECT *, least(over, p) AS fp, greatest(0, c - (over - least(over, p))) AS kc FROM b),
+e AS (SELECT conv_id, turn, list_concat(pi[fp + 1:], ci[1:kc], [7]) AS input_ids, list_concat(list_transform(pi[fp + 1:], lambda x: -100), ci[1:kc], [7]) AS labels FROM d WHERE kc > 0)
 """
 
 
 @query(_LABELS + "SELECT conv_id, turn, array_to_string(input_ids, ',') AS input_ids, array_to_string(labels, ',') AS labels, len(input_ids) AS n_mask FROM e")
 def label_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cut ids with their masked labels."""
-    d = tensors.label_rows(_ids(spark, sf_dir), 8, 7)
+    d = tensors.label_rows(_ids(spark, sf_dir), 48, 7)
     return d.select("conv_id", "turn", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("labels", ",").alias("labels"), F.size("attention_mask").cast("long").alias("n_mask"))
 
 
@@ -583,7 +587,7 @@ SELECT conv_id, turn, batch, array_to_string(list_concat(input_ids, list_transfo
 """)
 def collate_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of four conversations, padded to their longest row."""
-    d = tensors.pad_batches(tensors.label_rows(_ids(spark, sf_dir), 8, 7), "conv_id", 4, 0)
+    d = tensors.pad_batches(tensors.label_rows(_ids(spark, sf_dir), 48, 7), "conv_id", 4, 0)
     return d.select("conv_id", "turn", "batch", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("labels", ",").alias("labels"))
 
 
@@ -637,19 +641,18 @@ def codefix_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def exact_group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """300 candidates, 30 of them for validation, no file in both."""
+    """As many candidates as the job's default, 100 of them for validation, no file in both."""
     pool = materialize(codefix.candidates(codefix.statements(_statements(spark, sf_dir))), "codefix-pool")
-    return codefix.exact_split(pool, 300, 30).select("id", "file", "mutation_type", "split")
+    return codefix.exact_split(pool, 5000, 100).select("id", "file", "mutation_type", "split")
 
 
 @query()
 def codefix_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repair records of 60 candidates with similar statements."""
+    """A search for similar statements among all, for the candidates of every line whose order's number is divisible by 50."""
     parsed = materialize(codefix.statements(_statements(spark, sf_dir)), "codefix-statements")
-    pool = materialize(codefix.candidates(parsed), "codefix-pool")
-    chosen = materialize(codefix.exact_split(pool, 60, 12), "codefix-chosen")
+    chosen = materialize(codefix.candidates(parsed.filter("floor(line_index / 10) % 50 = 0")).dropDuplicates(["id"]), "codefix-chosen")
     hints = codefix.augmentations(chosen, parsed.select("file", "line_index", "text"))
-    return codefix.records(chosen.join(hints, "id")).select("id", "split", "prompt", "completion", "augmentations")
+    return codefix.records(chosen.join(hints, "id")).select("id", "prompt", "completion", "augmentations")
 
 
 @query("""
