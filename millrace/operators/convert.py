@@ -155,6 +155,8 @@ def convert(df: DataFrame, opts: ConvertOptions = ConvertOptions(), split: str =
     if opts.drop_on_safeguard:
         reason = reason.when(hit, MAX_ITERS)
     reason = reason.when(is_plain & ~fim_in_order(F.col("__base")), LOST_AFTER_STRIP).when(F.col("t.reason").isNotNull(), F.col("t.reason"))
+    if opts.truncate:  # a prompt that has been through the budget is looked at before the model's limit
+        reason = reason.when(~fim_in_order(F.col("t.text")), LOST_AFTER_TRUNCATION)
     if opts.enforce_model_max and limit:
         reason = reason.when(F.col("tokens_after") > limit, OVER_MODEL_MAX)
     reason = reason.when(~fim_in_order(F.col("t.text")), LOST_AFTER_TRUNCATION)

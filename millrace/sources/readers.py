@@ -95,7 +95,7 @@ def find_files(spark: SparkSession, paths: list[str], pattern: str = "*.jsonl")
     """Files named, and files that match below folders named; distinct and sorted. Listed by Spark's file index."""
     found: set[str] = set()
     for p in paths:
-        if p.endswith(pattern.lstrip("*")):
+        if p.endswith(pattern.lstrip("*")) or "*" in p:
             found.add(p)
         else:
             found.update(spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(p).inputFiles())
