@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -283,32 +282,43 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(_verified, "u long, v long")
 
 
-def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of nodes of different components in a block or between its two sides whose marks mostly agree, each in the bucket of its first common band only."""
-    block = block.sort_values("rid")
-    marks = np.stack([np.frombuffer(m, dtype="<u2") for m in block["marks"]])
-    rid, label, side = (block[c].to_numpy() for c in ("rid", "label", "side"))
-    key, i, j, band = (block[c].iloc[0] for c in ("key", "i", "j", "band"))
-    parts = []
-    for at in range(len(rid)):
+def _likely(marks: np.ndarray, label: np.ndarray, side: np.ndarray, band: int, i: int, j: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(node, other nodes, agreement) of the pairs of different components in a block, or between its two sides, whose marks mostly agree; each in the bucket of its first common band only."""
+    for at in range(len(label)):
         if i != j and side[at] != i:
             continue
-        other = np.flatnonzero((label != label[at]) & ((side != side[at]) if i != j else (np.arange(len(rid)) > at)))
+        other = np.flatnonzero((label != label[at]) & ((side != side[at]) if i != j else (np.arange(len(label)) > at)))
         same = marks[other] == marks[at]
         share = same.mean(axis=1)
         good = share >= LIKELY
         other, share, same = other[good], share[good], same[good]
         first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
         if first.any():
-            other, share = other[first], share[first]
-            parts.append(pd.DataFrame({"u": rid[at], "v": rid[other], "lu": label[at], "lv": label[other], "share": share}))
-    out = pd.concat(parts) if parts else pd.DataFrame({"u": [], "v": [], "lu": [], "lv": [], "share": []})
-    return out.assign(key=key, i=i, j=j)[["key", "i", "j", "u", "v", "lu", "lv", "share"]]
+            yield at, other[first], share[first]
 
 
-def _block_links(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+def _block(table: pa.Table) -> tuple[pa.Table, tuple]:
+    """A block in the order of its nodes, and what _likely() asks of it."""
+    table = table.sort_by("rid")
+    marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), dtype="<u2").reshape(len(table), K)
+    band, i, j = (table.column(c)[0].as_py() for c in ("band", "i", "j"))
+    return table, (marks, table.column("label").to_numpy(), table.column("side").to_numpy(), band, i, j)
+
+
+def _block_nodes(table: pa.Table) -> pa.Table:
+    """The nodes of a block that are in a likely pair: at most all of them, however many pairs there are."""
+    table, asked = _block(table)
+    hit = np.zeros(len(table), dtype=bool)
+    for at, other, _ in _likely(*asked):
+        hit[at] = hit[other] = True
+    return table.filter(pa.array(hit))
+
+
+def _block_links(table: pa.Table) -> pa.Table:
     """Verified links of a block as a forest: no link that earlier ones imply. Pairs that agree most come first, so that most others are already connected."""
-    sets = dict(zip(texts.column("rid").to_pylist(), shingle_sets(texts.column("text").combine_chunks()), strict=True))
+    table, asked = _block(table)
+    sets, rid, label = shingle_sets(table.column("text").combine_chunks()), table.column("rid").to_pylist(), table.column("label").to_pylist()
+    pairs = sorted((-s, at, int(o)) for at, other, share in _likely(*asked) for o, s in zip(other, share, strict=True))
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -318,11 +328,10 @@ def _block_links(pairs: pa.Table, texts: pa.Table) -> pa.Table:
         return x
 
     out = []
-    rows = zip(*(pairs.column(c).to_pylist() for c in ("share", "u", "v", "lu", "lv")), strict=True)
-    for _, u, v, lu, lv in sorted(rows, key=lambda r: (-r[0], r[1], r[2])):
-        if (x := root(lu)) != (y := root(lv)) and similar(sets[u], sets[v]):
+    for _, a, b in pairs:
+        if (x := root(label[a])) != (y := root(label[b])) and similar(sets[a], sets[b]):
             parent[x] = y
-            out.append((u, v))
+            out.append((rid[a], rid[b]))
     return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
 
@@ -364,10 +373,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = mixed.join(worded.select("rid", "marks"), "rid")
     spread = full.select("key", "band", "rid", "label", "marks", F.pmod(F.xxhash64("rid"), blocks).cast("int").alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     spread = spread.select("key", "band", "rid", "label", "marks", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    block = ["key", "i", "j"]
-    likely = materialize(spread.groupBy(*block).applyInPandas(_block_pairs, "key long, i int, j int, u long, v long, lu long, lv long, share double"), "dart-likely")
-    sent = likely.select(*block, F.explode(F.array("u", "v")).alias("rid")).distinct().join(texts, "rid").select(*block, "rid", "text").toDF("k", "a", "b", "rid", "text")
-    more = materialize(likely.groupBy(*block).cogroup(sent.groupBy("k", "a", "b")).applyInArrow(_block_links, "u long, v long"), "dart-links-2")
+    block = "key long, band int, rid long, label long, marks binary, side int, i int, j int"
+    likely = materialize(spread.groupBy("key", "i", "j").applyInArrow(_block_nodes, block), "dart-likely")
+    sent = likely.join(texts, "rid").select("key", "band", "rid", "label", "marks", "side", "i", "j", "text")
+    more = materialize(sent.groupBy("key", "i", "j").applyInArrow(_block_links, "u long, v long"), "dart-links-2")
     final = components(links.unionByName(more))
 
     labelled = materialize(sets.join(final.withColumnRenamed("node", "rid"), "rid", "left").select("c1", "c2", "copies", "top", F.coalesce("label", "rid").alias("label")), "dart-labelled")
