@@ -54,6 +54,11 @@ def split_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), 0)
 
 
+def token_count(text: Column, tokens: Callable[[Column], Column] = split_tokens) -> Column:
+    """How many tokens a text has; those of the default tokenizer are counted and not made."""
+    return F.regexp_count(text, F.lit(TOKEN)) if tokens is split_tokens else F.size(tokens(text))
+
+
 def separators(text: Column) -> Column:
     return F.call_function("regexp_count", text, F.lit(FILE_SEP.replace("|", r"\|")))
 
@@ -95,7 +100,7 @@ def left_trim(prompt: Column, budget: Column, tokens: Callable[[Column], Column]
     """Struct (text, removed, reason): tokens before the prefix token are dropped until the budget holds."""
     all_tokens = tokens(prompt)
     excess = F.size(all_tokens) - budget
-    before = F.size(tokens(F.substring_index(prompt, FIM_PREFIX, 1)))
+    before = token_count(F.substring_index(prompt, FIM_PREFIX, 1), tokens)
     cut = F.array_join(F.slice(all_tokens, excess + 1, F.greatest(budget, F.lit(0))), "")
     reason = F.when(excess <= 0, None).when(~prompt.contains(FIM_PREFIX), LOST_AFTER_TRUNCATION).when(excess > before, BUDGET_TOO_SMALL).when(~fim_in_order(cut), LOST_AFTER_TRUNCATION)
     text = F.when(excess <= 0, prompt).when(reason.isNull(), cut)
@@ -106,7 +111,7 @@ def truncate(df: DataFrame, opts: ConvertOptions, prompt: str = "prompt", comple
     """Adds t: struct (text, removed, reason) by the policy."""
     budget = F.lit(opts.max_length) - F.col(completion_tokens) - opts.eos_len
     text = F.col(prompt)
-    d = df.withColumn("__budget", budget).withColumn("__n", F.size(tokens(text)))
+    d = df.withColumn("__budget", budget).withColumn("__n", token_count(text, tokens))
     fits = F.col("__n") <= F.col("__budget")
     needs = ~fits & (F.col("__budget") > 0)
     if opts.policy == "drop_file_sep_prefix_then_left":
@@ -116,7 +121,7 @@ def truncate(df: DataFrame, opts: ConvertOptions, prompt: str = "prompt", comple
     else:
         d = d.withColumn("__p", text).withColumn("__hit", F.lit(False)).withColumn("__skipped", F.lit(False))
     d = materialize(d, "convert-passed").withColumn("__t", F.when(needs, left_trim(F.col("__p"), F.col("__budget"), tokens)))
-    stripped = F.greatest(F.lit(0), F.col("__n") - F.size(tokens(F.col("__p"))))
+    stripped = F.greatest(F.lit(0), F.col("__n") - token_count(F.col("__p"), tokens))
     reason = (
         F.when(F.col("__budget") <= 0, COMPLETION_TOO_LONG).when(fits, None).when(~fim_in_order(text), LOST_AFTER_TRUNCATION)
         .when(F.col("__hit") & F.lit(opts.drop_on_safeguard), MAX_ITERS).otherwise(F.col("__t.reason"))
@@ -137,7 +142,7 @@ def convert(df: DataFrame, opts: ConvertOptions = ConvertOptions(), split: str =
     df: prompt, completion, source_id, split and whatever else is to be carried. Adds variant, variant_id, drop_reason,
     tokens_before, tokens_after, removed_tokens, truncated, removed_blocks. Rows with missing fields are told as such.
     """
-    typed = df.withColumn("completion_tokens", F.size(tokens(F.coalesce("completion", F.lit("")))))
+    typed = df.withColumn("completion_tokens", token_count(F.coalesce("completion", F.lit("")), tokens))
     plain, rag = opts.variants
     d = fan_out(typed, opts).withColumn("__prompt", F.coalesce("prompt", F.lit("")))
     is_plain = F.col("variant") == plain
@@ -147,7 +152,7 @@ def convert(df: DataFrame, opts: ConvertOptions = ConvertOptions(), split: str =
     d = materialize(d, "convert-stripped")  # each step is written: later ones would repeat its expressions many times over
     d = truncate(d, opts, "__base", tokens=tokens) if opts.truncate else d.withColumn("t", F.struct(F.col("__base").alias("text"), F.lit(0).alias("removed"), F.lit(None).cast("string").alias("reason"), F.lit(False).alias("skipped_strip"), F.lit(False).alias("hit_max"), F.lit(False).alias("over_budget")))
     d = materialize(d, "convert-truncated")
-    d = d.withColumn("tokens_before", F.size(tokens(F.col("__base")))).withColumn("tokens_after", F.size(tokens(F.col("t.text"))))
+    d = d.withColumn("tokens_before", token_count(F.col("__base"), tokens)).withColumn("tokens_after", token_count(F.col("t.text"), tokens))
     limit = opts.model_max_length if opts.model_max_length and opts.model_max_length <= UNKNOWN_MODEL_MAX else None
     reason = F.when(F.col("prompt").isNull() | F.col("completion").isNull(), MISSING_FIELDS).when(F.col("completion_tokens") < opts.min_completion_tokens, MIN_COMPLETION)
     if opts.rag_requires_truncation and not opts.truncate:
