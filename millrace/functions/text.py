@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -42,6 +43,11 @@ def splitlines(text: Column, keepends: bool = True) -> Column:
     return lines if keepends else F.transform(lines, lambda x: F.regexp_replace(x, rf"(?:\r\n|[{_ENDS}])$", ""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is computed once for a row however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def rstrip_newlines(text: Column) -> Column:
     return F.rtrim(text, F.lit("\r\n"))
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import FILE_SEP, FIM_MIDDLE, FIM_PREFIX, FIM_SUFFIX, fim_in_order
+from millrace.functions.text import FILE_SEP, FIM_MIDDLE, FIM_PREFIX, FIM_SUFFIX, fim_in_order, let
 from millrace.storage import materialize
 
 #: The closed list of reasons.
@@ -55,8 +55,8 @@ def split_tokens(text: Column) -> Column:
 
 
 def token_count(text: Column, tokens: Callable[[Column], Column] = split_tokens) -> Column:
-    """How many tokens a text has; those of the default tokenizer are counted and not made."""
-    return F.regexp_count(text, F.lit(TOKEN)) if tokens is split_tokens else F.size(tokens(text))
+    """How many tokens a text has; those of the default tokenizer, which cover the text, become one character each and are not made."""
+    return F.length(F.regexp_replace(text, TOKEN, "x")) if tokens is split_tokens else F.size(tokens(text))
 
 
 def separators(text: Column) -> Column:
@@ -70,45 +70,65 @@ def strip_blocks(prompt: Column, prefix_only: bool = False, max_iters: int = 128
     would lose a fill-in-the-middle token, or after max_iters removals. The text is cut at the markers once; at most
     max_iters pairs are folded, and the last part that holds each token is looked up once, so the cost is linear in the text.
     """
-    parts = F.split(prompt, FILE_SEP.replace("|", r"\|"), -1)
-    pairs = F.least(F.floor((F.size(parts) - 1) / 2).cast("int"), F.lit(max_iters))
+    sep = FILE_SEP.replace("|", r"\|")
+    return let(F.split(prompt, sep, -1), lambda parts: let(_last_parts(parts), lambda last: _fold_blocks(parts, last, prefix_only, max_iters)))
+
+
+def _last_parts(parts: Column) -> Column:
+    """For each token the last part that holds it, -1 if none does."""
 
     def last_part(token: str) -> Column:
         return F.array_max(F.transform(parts, lambda x, i: F.when(x.contains(token), i).otherwise(-1)))
 
-    last = [last_part(t) for t in FIM_TOKENS]
+    return F.array(*map(last_part, FIM_TOKENS))
+
+
+def _fold_blocks(parts: Column, last: Column, prefix_only: bool, max_iters: int) -> Column:
+    pairs = F.least(F.floor((F.size(parts) - 1) / 2).cast("int"), F.lit(max_iters))
     start = F.struct(F.lit("").alias("kept"), F.lit(0).alias("removed"), F.lit(False).alias("stop"))
 
     def step(acc: Column, k: Column) -> Column:
-        head = F.concat(acc["kept"], parts[2 * k])
+        return let(F.concat(acc["kept"], parts[2 * k]), lambda head: let(acc["stop"] | ends(head, k), lambda stop: after(acc, k, head, stop)))
+
+    def ends(head: Column, k: Column) -> Column:
         joined = F.concat(head, parts[2 * k + 2])  # a token may come together where the block goes
-        whole = functools.reduce(lambda a, b: a & b, [joined.contains(t) | (at > 2 * k + 2) for t, at in zip(FIM_TOKENS, last, strict=True)])
-        at_prefix = head.contains(FIM_PREFIX) if prefix_only else F.lit(False)
-        stop = acc["stop"] | at_prefix | ~whole
+        whole = functools.reduce(lambda a, b: a & b, [(last[n] > 2 * k + 2) | joined.contains(t) for n, t in enumerate(FIM_TOKENS)])
+        return (head.contains(FIM_PREFIX) | ~whole) if prefix_only else ~whole
+
+    def after(acc: Column, k: Column, head: Column, stop: Column) -> Column:
         as_is = F.concat(head, F.lit(FILE_SEP), parts[2 * k + 1], F.lit(FILE_SEP))
         return F.struct(F.when(stop, as_is).otherwise(head).alias("kept"), (acc["removed"] + F.when(stop, 0).otherwise(1)).alias("removed"), stop.alias("stop"))
 
+    def told(done: Column) -> Column:
+        tail = F.array_join(F.slice(parts, 2 * pairs + 1, F.size(parts)), FILE_SEP)
+        hit = done["removed"] >= max_iters
+        lone = (F.size(parts) % 2 == 0) & ~done["stop"] & ~hit
+        return F.struct(F.concat(done["kept"], tail).alias("text"), done["removed"].alias("removed"), lone.cast("int").alias("unmatched"), hit.alias("hit_max"))
+
     numbers = F.when(pairs > 0, F.sequence(F.lit(0), pairs - 1)).otherwise(F.array().cast("array<int>"))
-    done = F.aggregate(numbers, start, step)
-    tail = F.array_join(F.slice(parts, 2 * pairs + 1, F.size(parts)), FILE_SEP)
-    hit = done["removed"] >= max_iters
-    lone = (F.size(parts) % 2 == 0) & ~done["stop"] & ~hit
-    return F.struct(F.concat(done["kept"], tail).alias("text"), done["removed"].alias("removed"), lone.cast("int").alias("unmatched"), hit.alias("hit_max"))
+    return let(F.aggregate(numbers, start, step), told)
 
 
 def left_trim(prompt: Column, budget: Column, tokens: Callable[[Column], Column] = split_tokens) -> Column:
-    """Struct (text, removed, reason): tokens before the prefix token are dropped until the budget holds."""
-    all_tokens = tokens(prompt)
-    excess = F.size(all_tokens) - budget
-    before = token_count(F.substring_index(prompt, FIM_PREFIX, 1), tokens)
-    cut = F.array_join(F.slice(all_tokens, excess + 1, F.greatest(budget, F.lit(0))), "")
-    reason = F.when(excess <= 0, None).when(~prompt.contains(FIM_PREFIX), LOST_AFTER_TRUNCATION).when(excess > before, BUDGET_TOO_SMALL).when(~fim_in_order(cut), LOST_AFTER_TRUNCATION)
-    text = F.when(excess <= 0, prompt).when(reason.isNull(), cut)
-    return F.struct(text.alias("text"), F.when((excess > 0) & reason.isNull(), excess).otherwise(0).alias("removed"), reason.alias("reason"))
+    """Struct (text, removed, reason, total): tokens before the prefix token are dropped until the budget holds; total is how many there were."""
+
+    def told(total: Column, cut: Column) -> Column:
+        excess = total - budget
+        before = token_count(F.substring_index(prompt, FIM_PREFIX, 1), tokens)
+        reason = F.when(excess <= 0, None).when(~prompt.contains(FIM_PREFIX), LOST_AFTER_TRUNCATION).when(excess > before, BUDGET_TOO_SMALL).when(~fim_in_order(cut), LOST_AFTER_TRUNCATION)
+        return let(reason, lambda why: F.struct(
+            F.when(excess <= 0, prompt).when(why.isNull(), cut).alias("text"), F.when((excess > 0) & why.isNull(), excess).otherwise(0).alias("removed"), why.alias("reason"), total.alias("total")
+        ))
+
+    def cut(made: Column) -> Column:
+        left = F.slice(made, F.greatest(F.size(made) - budget, F.lit(0)) + 1, F.greatest(budget, F.lit(0)))
+        return F.struct(F.size(made).alias("total"), F.array_join(left, "").alias("cut"))
+
+    return let(let(tokens(prompt), cut), lambda c: told(c["total"], c["cut"]))
 
 
 def truncate(df: DataFrame, opts: ConvertOptions, prompt: str = "prompt", completion_tokens: str = "completion_tokens", tokens: Callable[[Column], Column] = split_tokens) -> DataFrame:
-    """Adds t: struct (text, removed, reason) by the policy."""
+    """Adds t: struct (text, removed, reason, skipped_strip, hit_max, over_budget, total) by the policy; total is the tokens before."""
     budget = F.lit(opts.max_length) - F.col(completion_tokens) - opts.eos_len
     text = F.col(prompt)
     d = df.withColumn("__budget", budget).withColumn("__n", token_count(text, tokens))
@@ -120,13 +140,13 @@ def truncate(df: DataFrame, opts: ConvertOptions, prompt: str = "prompt", comple
         d = d.withColumn("__p", F.coalesce(F.col("__ts.text"), text)).withColumn("__hit", F.coalesce(F.col("__ts.hit_max"), F.lit(False))).withColumn("__skipped", needs & ~small)
     else:
         d = d.withColumn("__p", text).withColumn("__hit", F.lit(False)).withColumn("__skipped", F.lit(False))
-    d = materialize(d, "convert-passed").withColumn("__t", F.when(needs, left_trim(F.col("__p"), F.col("__budget"), tokens)))
-    stripped = F.greatest(F.lit(0), F.col("__n") - token_count(F.col("__p"), tokens))
+    d = d.withColumn("__t", F.when(needs, left_trim(F.col("__p"), F.col("__budget"), tokens)))
+    stripped = F.greatest(F.lit(0), F.col("__n") - F.coalesce(F.col("__t.total"), F.col("__n")))
     reason = (
         F.when(F.col("__budget") <= 0, COMPLETION_TOO_LONG).when(fits, None).when(~fim_in_order(text), LOST_AFTER_TRUNCATION)
         .when(F.col("__hit") & F.lit(opts.drop_on_safeguard), MAX_ITERS).otherwise(F.col("__t.reason"))
     )
-    out = F.struct(F.when(fits & (F.col("__budget") > 0), text).otherwise(F.col("__t.text")).alias("text"), F.when(fits, 0).otherwise(stripped + F.coalesce(F.col("__t.removed"), F.lit(0))).alias("removed"), reason.alias("reason"), F.col("__skipped").alias("skipped_strip"), F.col("__hit").alias("hit_max"), needs.alias("over_budget"))
+    out = F.struct(F.when(fits & (F.col("__budget") > 0), text).otherwise(F.col("__t.text")).alias("text"), F.when(fits, 0).otherwise(stripped + F.coalesce(F.col("__t.removed"), F.lit(0))).alias("removed"), reason.alias("reason"), F.col("__skipped").alias("skipped_strip"), F.col("__hit").alias("hit_max"), needs.alias("over_budget"), F.col("__n").alias("total"))
     return d.withColumn("t", out).drop("__budget", "__n", "__ts", "__p", "__hit", "__t", "__skipped")
 
 
@@ -149,10 +169,9 @@ def convert(df: DataFrame, opts: ConvertOptions = ConvertOptions(), split: str =
     d = d.withColumn("__s", F.when(is_plain, strip_blocks(F.col("__prompt"), False, opts.max_iters)))
     hit = F.coalesce(F.col("__s.hit_max"), F.lit(False))
     d = d.withColumn("__base", F.when(is_plain & ~hit, F.col("__s.text")).otherwise(F.col("__prompt")))
-    d = materialize(d, "convert-stripped")  # each step is written: later ones would repeat its expressions many times over
-    d = truncate(d, opts, "__base", tokens=tokens) if opts.truncate else d.withColumn("t", F.struct(F.col("__base").alias("text"), F.lit(0).alias("removed"), F.lit(None).cast("string").alias("reason"), F.lit(False).alias("skipped_strip"), F.lit(False).alias("hit_max"), F.lit(False).alias("over_budget")))
-    d = materialize(d, "convert-truncated")
-    d = d.withColumn("tokens_before", token_count(F.col("__base"), tokens)).withColumn("tokens_after", token_count(F.col("t.text"), tokens))
+    d = truncate(d, opts, "__base", tokens=tokens) if opts.truncate else d.withColumn("t", F.struct(F.col("__base").alias("text"), F.lit(0).alias("removed"), F.lit(None).cast("string").alias("reason"), F.lit(False).alias("skipped_strip"), F.lit(False).alias("hit_max"), F.lit(False).alias("over_budget"), token_count(F.col("__base"), tokens).alias("total")))
+    as_before = (F.col("t.text") == F.col("__base")) & F.col("t.text").isNotNull()
+    d = d.withColumn("tokens_before", F.col("t.total")).withColumn("tokens_after", F.when(as_before, F.col("t.total")).otherwise(token_count(F.col("t.text"), tokens)))
     limit = opts.model_max_length if opts.model_max_length and opts.model_max_length <= UNKNOWN_MODEL_MAX else None
     reason = F.when(F.col("prompt").isNull() | F.col("completion").isNull(), MISSING_FIELDS).when(F.col("completion_tokens") < opts.min_completion_tokens, MIN_COMPLETION)
     if opts.rag_requires_truncation and not opts.truncate:

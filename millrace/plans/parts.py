@@ -19,7 +19,7 @@ from millrace.operators import bm25, codefix, convert, matching, modelfilter, sa
 from millrace.plans import pipelines
 from millrace.plans.queries import _ANSWERS, _BM25, _CONVERTED, _GOOD, _ITEMS, _LINES, _answers, _prompts, _statements, doc_files, query, table
 from millrace.sources import readers, sinks
-from millrace.storage import materialize, new_path
+from millrace.storage import materialize, new_path, spread
 
 # --- files -----------------------------------------------------------------------------------------------------------
 
@@ -243,7 +243,7 @@ def masked_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contexts of benchmark items among whole documents, none of which a mask touches, and what was left out."""
     docs = table(spark, sf_dir, "documents")
     lines = F.split("text", "\n")
-    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("file"), F.lit(0).alias("start"), (F.size(lines) - 1).alias("end"), lines.alias("lines"), "text", tx.code_tokens(F.col("text")).alias("tokens"))
+    chunks = spread(docs.select("doc_id", "text")).select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("file"), F.lit(0).alias("start"), (F.size(lines) - 1).alias("end"), lines.alias("lines"), "text", tx.code_tokens(F.col("text")).alias("tokens"))
     items = table(spark, sf_dir, "benchmark")
     asked = items.select(F.col("item_id").alias("query_id"), F.lit(-1).cast("long").alias("file"), F.lit(0).alias("line_index"), F.split("text", "\n")[0].alias("completion"), tx.code_tokens(F.col("text")).alias("tokens"))
     masks = {

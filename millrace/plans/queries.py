@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as tx
 from millrace.operators import bm25, codefix, convert, matching, modelfilter, samples, stats, tensors
 from millrace.sources import readers
-from millrace.storage import materialize
+from millrace.storage import materialize, spread
 from millrace.streaming import events as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as source files."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"))
 
 
 # --- samples ---------------------------------------------------------------------------------------------------------
@@ -124,7 +124,7 @@ def _tokens_sql(text: str) -> str:
 @query(f"SELECT doc_id, len(t)::BIGINT AS n_tokens, list_unique(t)::BIGINT AS n_distinct FROM (SELECT doc_id, {_tokens_sql('text')} AS t FROM documents)")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10: tokens of each document."""
-    t = table(spark, sf_dir, "documents").select("doc_id", tx.code_tokens(F.col("text")).alias("t"))
+    t = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tx.code_tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
@@ -142,12 +142,12 @@ def camel_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_tokens_sql('text')}) AS token FROM documents) GROUP BY token")
 def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document and corpus frequency of each token."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.code_tokens(F.col("text")).alias("tokens"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tx.code_tokens(F.col("text")).alias("tokens"))
     return bm25.counted_postings(docs).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = materialize(table(spark, sf_dir, "documents").select("doc_id", tx.code_tokens(F.col("text")).alias("tokens")), "bm25-docs")
+    docs = materialize(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tx.code_tokens(F.col("text")).alias("tokens")), "bm25-docs")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tx.code_tokens(F.col("text")).alias("tokens"))
     return bm25.scores(asked, docs)
 
@@ -465,7 +465,7 @@ def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = F.when(k == 0, "").when(k == 1, block).when(k == 2, F.concat(block, F.lit("mid "), block)).when(k == 3, F.concat(block, F.lit("<|file_sep|>odd "))).otherwise(block)
     middle = F.when(k == 6, "").otherwise("<|fim_middle|>")
     prompt = F.concat(lead, F.lit("lead words here "), F.lit("<|fim_prefix|>"), head, F.lit("<|fim_suffix|>tail"), F.when(k == 5, block).otherwise(""), middle)
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.when(F.col("doc_id") % 2 == 0, "train").otherwise("validation").alias("split"), prompt.alias("prompt"), F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.element_at(lines, -1)).alias("completion"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("source_id"), F.when(F.col("doc_id") % 2 == 0, "train").otherwise("validation").alias("split"), prompt.alias("prompt"), F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.element_at(lines, -1)).alias("completion"))
 
 
 _PROMPTS = """
@@ -601,7 +601,7 @@ def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 0, F.concat(F.lit("svc.call("), o, F.lit(", "), p, F.lit(");"))).when(k == 1, F.concat(F.lit("  a.b(f("), o, F.lit(",1), \"x,("), p, F.lit("\");")))
         .when(k == 2, F.concat(F.lit("run"), o, F.lit("();"))).otherwise(F.concat(F.lit("if ("), o, F.lit(" > "), p, F.lit(") {")))
     )
-    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 97).cast("string").alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_index"), line.alias("line"))
+    return spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")).select((F.col("l_orderkey") % 97).cast("string").alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_index"), line.alias("line"))
 
 
 _ITEMS = "SELECT (l_orderkey % 97)::VARCHAR AS file, l_orderkey * 10 + l_linenumber AS line_index, l_orderkey AS o, l_partkey AS p, l_orderkey % 4 AS k FROM lineitem"

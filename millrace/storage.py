@@ -94,6 +94,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return read_table(df.sparkSession, path, df)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over twice as many tasks as there are cores, if it is smaller than one input split for each core; a larger one as it is.
+
+    A reader gives a file of a single row group to a single task, however many cores wait. What is shuffled for that is at
+    most spark.sql.files.maxPartitionBytes a core; the size is the plan's own estimate, which reads nothing.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(2 * cores) if size < cores * split else df
+
+
 def table_path(df: DataFrame) -> str:
     """The folder of a table that materialize() returned."""
     return df.inputFiles()[0].rsplit("/", 1)[0]
