@@ -6,9 +6,10 @@ import hashlib
 import random
 import re
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,7 @@ _NAME_BEFORE = re.compile(r"([\w$.>]+)\s*$")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
 _OPENING = {")": "(", "]": "[", "}": "{"}
 OPEN_QUOTE = "\0"
+_CALL_ARROW = pa.struct([("line_text", pa.string()), ("open_paren", pa.int32()), ("close_paren", pa.int32()), ("args", pa.list_(pa.string()))])
 CALL = T.StructType([T.StructField("line_text", T.StringType()), T.StructField("open_paren", T.IntegerType()), T.StructField("close_paren", T.IntegerType()), T.StructField("args", T.ArrayType(T.StringType()))])
 
 
@@ -138,30 +140,31 @@ def may_call(line: Column) -> Column:
     return line.contains("(") & line.contains(")") & line.contains(";") & ~s.startswith("//") & ~s.startswith("/*") & ~s.startswith("*")
 
 
-@F.pandas_udf(CALL)
-def parse_calls(lines: pd.Series) -> pd.DataFrame:
-    """parse_call over a column; all fields are null where there is no call."""
-    empty = {"line_text": None, "open_paren": None, "close_paren": None, "args": None}
-    out = pd.DataFrame([parse_call(x) or empty for x in lines], columns=list(empty))
-    return out.astype({"open_paren": "Int32", "close_paren": "Int32"})
+def _parse_calls(lines: pa.Array) -> pa.Array:
+    return pa.array([parse_call(x) for x in lines.to_pylist()], _CALL_ARROW)
+
+
+#: parse_call over a column; null where there is no call. It counts as nondeterministic only so that a filter on its result
+#: does not run it a second time.
+parse_calls = F.arrow_udf(_parse_calls, CALL).asNondeterministic()
 
 
 def statements(lines: DataFrame) -> DataFrame:
     """(file, line_index, text, call) of the lines that are call statements. lines: (file, line_index, line)."""
     some = lines.filter(may_call(F.col("line"))).withColumn("call", parse_calls("line"))
-    return some.filter("call.line_text is not null").select("file", "line_index", rstrip_newlines(F.col("line")).alias("text"), "call")
+    return some.filter("call is not null").select("file", "line_index", rstrip_newlines(F.col("line")).alias("text"), "call")
 
 
-def candidates(parsed: DataFrame, seed: int = 42) -> DataFrame:
+def candidates(parsed: DataFrame, seed: int = 42, mutations: Sequence[str] = MUTATIONS) -> DataFrame:
     """(id, file, line_index, original_line, broken_line, mutation_type, compiler_problems): each statement under each mutation that changes it."""
 
-    @F.pandas_udf(T.StringType())
-    def broken(file: pd.Series, index: pd.Series, mutation: pd.Series, call: pd.DataFrame) -> pd.Series:
-        calls = call.to_dict("records")
-        return pd.Series([mutate(c, m, row_random(seed, f, int(i), m)) for f, i, m, c in zip(file, index, mutation, calls, strict=True)])
+    def broken(file: pa.Array, index: pa.Array, mutation: pa.Array, call: pa.Array) -> pa.Array:
+        rows = zip(file.to_pylist(), index.to_pylist(), mutation.to_pylist(), call.to_pylist(), strict=True)
+        return pa.array([mutate(c, m, row_random(seed, f, i, m)) for f, i, m, c in rows], pa.string())
 
-    spread = parsed.withColumn("mutation_type", F.explode(F.array(*map(F.lit, MUTATIONS))))
-    made = spread.withColumn("broken_line", broken(F.col("file").cast("string"), "line_index", "mutation_type", "call")).filter("broken_line is not null")
+    once = F.arrow_udf(broken, T.StringType()).asNondeterministic()  # as with parse_calls
+    each = parsed.withColumn("mutation_type", F.explode(F.array(*map(F.lit, mutations))))
+    made = each.withColumn("broken_line", once(F.col("file").cast("string"), "line_index", "mutation_type", "call")).filter("broken_line is not null")
     problems = F.create_map(*[F.lit(x) for pair in PROBLEMS.items() for x in pair])
     return made.select(
         F.concat_ws("::", F.col("file").cast("string"), F.col("line_index").cast("string"), "mutation_type").alias("id"), "file", "line_index", F.col("text").alias("original_line"), "broken_line", "mutation_type", F.array(problems[F.col("mutation_type")]).alias("compiler_problems")

@@ -622,7 +622,7 @@ SELECT file || '::' || line_index || '::swap_args' AS id, CASE k WHEN 0 THEN 'sv
 """)
 def codefix_mutate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Swapped arguments, which two arguments allow in one way only."""
-    d = codefix.candidates(codefix.statements(_statements(spark, sf_dir))).filter("mutation_type = 'swap_args'")
+    d = codefix.candidates(codefix.statements(_statements(spark, sf_dir)), mutations=["swap_args"])
     return d.select("id", "broken_line", F.col("compiler_problems")[0].alias("problem"))
 
 
@@ -635,7 +635,7 @@ SELECT mutation_type, file, line_index FROM r WHERE n <= CASE WHEN mutation_type
 """)
 def codefix_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hundred candidates by equal quotas."""
-    pool = codefix.candidates(codefix.statements(_statements(spark, sf_dir))).select("mutation_type", "file", "line_index")
+    pool = materialize(codefix.candidates(codefix.statements(_statements(spark, sf_dir))).select("mutation_type", "file", "line_index"), "codefix-quota")
     return samples.stratified_quota(pool, "mutation_type", list(codefix.MUTATIONS), 100, ["file", "line_index"])
 
 
