@@ -110,7 +110,12 @@ def _fold_blocks(parts: Column, last: Column, prefix_only: bool, max_iters: int)
 
 
 def left_trim(prompt: Column, budget: Column, tokens: Callable[[Column], Column] = split_tokens) -> Column:
-    """Struct (text, removed, reason, total): tokens before the prefix token are dropped until the budget holds; total is how many there were."""
+    """Struct (text, removed, reason): tokens before the prefix token are dropped until the budget holds."""
+    return let(_trimmed(prompt, budget, tokens), lambda t: F.struct(t["text"].alias("text"), t["removed"].alias("removed"), t["reason"].alias("reason")))
+
+
+def _trimmed(prompt: Column, budget: Column, tokens: Callable[[Column], Column]) -> Column:
+    """left_trim with total, the number of tokens that there were."""
 
     def told(total: Column, cut: Column) -> Column:
         excess = total - budget
@@ -140,7 +145,7 @@ def truncate(df: DataFrame, opts: ConvertOptions, prompt: str = "prompt", comple
         d = d.withColumn("__p", F.coalesce(F.col("__ts.text"), text)).withColumn("__hit", F.coalesce(F.col("__ts.hit_max"), F.lit(False))).withColumn("__skipped", needs & ~small)
     else:
         d = d.withColumn("__p", text).withColumn("__hit", F.lit(False)).withColumn("__skipped", F.lit(False))
-    d = d.withColumn("__t", F.when(needs, left_trim(F.col("__p"), F.col("__budget"), tokens)))
+    d = d.withColumn("__t", F.when(needs, _trimmed(F.col("__p"), F.col("__budget"), tokens)))
     stripped = F.greatest(F.lit(0), F.col("__n") - F.coalesce(F.col("__t.total"), F.col("__n")))
     reason = (
         F.when(F.col("__budget") <= 0, COMPLETION_TOO_LONG).when(fits, None).when(~fim_in_order(text), LOST_AFTER_TRUNCATION)
