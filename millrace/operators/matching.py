@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from millrace.functions.text import ground_truth_forms, line_fingerprints, rstrip_newlines, splitlines, suffix_score, ws_norm
+from millrace.storage import materialize
 
 CONTEXT_LINES = 10
 PROMPT_MARGIN = 0.05
@@ -27,8 +28,10 @@ class MatchOptions:
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """difflib's ratio of two texts, a first; null if either is."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
+    """difflib's ratio of two texts, a first; null if either is. Equal pairs of a batch are compared once."""
+    pairs = list(zip(a, b, strict=True))
+    ratio = {(x, y): SequenceMatcher(None, x, y).ratio() for x, y in set(pairs) if x is not None and y is not None}
+    return pd.Series([ratio.get(p) for p in pairs], dtype="float64")
 
 
 def ratio_bound(a: Column, b: Column) -> Column:
@@ -55,20 +58,21 @@ def candidate_files(records: DataFrame, paths: DataFrame, suffix: str = ".java")
     cut = records.select("rec", "fpath_tuple", F.explode(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)))).alias("i")).select(
         "rec", F.col("i").alias("rank"), F.array_join(F.slice("fpath_tuple", F.col("i") + 1, F.greatest(size, F.lit(1))), "/").alias("file")
     )
-    exact = cut.filter(F.col("file").endswith(suffix)).join(paths.select("file"), "file")
-    rest = records.select("rec", "fpath_tuple").join(exact.select("rec").distinct(), "rec", "left_anti")
-    by_name = rest.withColumn("name", F.element_at("fpath_tuple", -1)).join(paths.select("file", F.element_at(F.split("file", "/"), -1).alias("name")), "name")
+    exact = materialize(cut.filter(F.col("file").endswith(suffix)).join(paths.select("file").hint("merge"), "file"), "match-exact")
+    rest = records.select("rec", "fpath_tuple").join(exact.select("rec").distinct().hint("merge"), "rec", "left_anti")
+    by_name = rest.withColumn("name", F.element_at("fpath_tuple", -1)).join(paths.select("file", F.element_at(F.split("file", "/"), -1).alias("name")).hint("merge"), "name")
     ranked = by_name.withColumn("rank", F.row_number().over(Window.partitionBy("rec").orderBy(suffix_score(F.col("file"), F.col("fpath_tuple")))) - 1)
     return exact.select("rec", "file", "rank").unionByName(ranked.select("rec", "file", "rank"))
 
 
 def _context_ratio(hits: DataFrame, lines: DataFrame, records: DataFrame) -> DataFrame:
     """Of items with several equal lines in a file, the line whose surroundings fit the prompt best, if by a margin."""
-    near = hits.select("rec", "file", "rank", F.col("line_index").alias("hit")).join(lines.select("file", F.col("line_index").alias("at"), "line"), "file").filter(F.col("at").between(F.col("hit") - CONTEXT_LINES, F.col("hit") + CONTEXT_LINES - 1))
+    spots = hits.select("rec", "file", "rank", F.col("line_index").alias("hit"), F.explode(F.sequence(F.col("line_index") - CONTEXT_LINES, F.col("line_index") + CONTEXT_LINES - 1)).alias("at"))
+    near = spots.join(lines.select("file", F.col("line_index").alias("at"), "line").hint("merge"), ["file", "at"])
     text = near.groupBy("rec", "file", "rank", "hit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "").alias("context"))
     parts = splitlines(F.coalesce("prompt", F.lit("")), keepends=False)
     tail = records.select("rec", F.array_join(F.slice(parts, F.greatest(F.size(parts) - CONTEXT_LINES + 1, F.lit(1)), CONTEXT_LINES), "\n").alias("tail")).filter(F.length(ws_norm(F.col("tail"))) > 0)
-    scored = text.join(tail, "rec").withColumn("ratio", sequence_ratio("tail", "context"))
+    scored = text.join(tail.hint("merge"), "rec").withColumn("ratio", sequence_ratio("tail", "context"))
     w = Window.partitionBy("rec", "file").orderBy(F.desc("ratio"), F.desc("hit"))
     first = scored.withColumn("n", F.row_number().over(w)).withColumn("next", F.lead("ratio").over(w)).filter("n = 1")
     return first.filter(F.col("next").isNull() | (F.col("ratio") - F.col("next") > PROMPT_MARGIN)).select("rec", "file", "rank", F.col("hit").alias("line_index"))
@@ -78,15 +82,16 @@ def match_records(records: DataFrame, lines: DataFrame, opts: MatchOptions = Mat
     """(rec, task_id, status, resolved_path, line_index, strategy, confidence, reason) for each item.
 
     records: (task_id, prompt, ground_truth, fpath_tuple, line_no); lines: (file, line_index, line). Items are told apart by
-    record_key(), not by task_id, which several may share. Every stage is an equality join on file and text; the stages of all candidate files are ranked, and the first that matched counts.
+    record_key(), not by task_id, which several may share. Equal lines are one equality join on file and text, written once; the stages of all candidate files are ranked, and the first that matched counts.
+    Joins merge sorted sides: repeated texts make files small, so their size is no sign that a table may be broadcast.
     A file without a match but with an ambiguity does not stop a later one; the last ambiguity is told if none matched.
     """
-    every_record, records = keyed(records).select("rec", "task_id"), keyed(records).dropDuplicates(["rec"])
+    every_record, records = keyed(records).select("rec", "task_id"), materialize(keyed(records).dropDuplicates(["rec"]), "match-records")
     forms = records.withColumn("g", ground_truth_forms(F.col("ground_truth"))).select("rec", "line_no", F.col("g.gt_nl_stripped").alias("key"), F.col("g.gt_ws_norm").alias("gt_ws"))
-    files = candidate_files(records, lines.select("file").distinct(), opts.suffix)
-    wanted = files.join(forms, "rec")
+    files = materialize(candidate_files(records, materialize(lines.select("file").distinct(), "match-paths"), opts.suffix), "match-files")
+    wanted = files.join(forms.hint("merge"), "rec")
     by_text = lines.select("file", "line_index", rstrip_newlines(F.col("line")).alias("key"))
-    hits = wanted.join(by_text, ["file", "key"]).select("rec", "file", "rank", "line_no", "line_index")
+    hits = materialize(wanted.join(by_text.hint("merge"), ["file", "key"]).select("rec", "file", "rank", "line_no", "line_index"), "match-hits")
     off = F.abs(F.col("line_index") - F.col("line_no"))
     off_one = F.abs(F.col("line_index") - (F.col("line_no") - 1))
 
@@ -96,22 +101,22 @@ def match_records(records: DataFrame, lines: DataFrame, opts: MatchOptions = Mat
             F.lit(strategy).alias("strategy"), F.lit(confidence).alias("confidence"), F.lit(reason).cast("string").alias("reason"),
         )
 
-    def nearest(distance: Column) -> DataFrame:
-        w = Window.partitionBy("rec", "file").orderBy(distance, "line_index")
-        return hits.filter(distance <= opts.window).withColumn("n", F.row_number().over(w)).filter("n = 1")
+    def nearest(distance: Column) -> Column:
+        return F.min(F.when(distance <= opts.window, F.struct(distance.alias("d"), F.col("line_index").alias("i"))))
 
-    count = F.count(F.lit(1)).over(Window.partitionBy("rec", "file"))
-    counted = hits.withColumn("hits", count)
-    many = counted.filter("hits > 1")
+    # one row for each item and file: the nearest lines by either count of lines, how many lines are equal, and one of them
+    groups = hits.groupBy("rec", "file", "rank").agg(nearest(off).alias("zero"), nearest(off_one).alias("one"), F.count(F.lit(1)).alias("hits"), F.min("line_index").alias("any"))
+    groups = materialize(groups, "match-groups")
+    many = hits.join(groups.filter("hits > 1").select("rec", "file", "rank").hint("merge"), ["rec", "file", "rank"])
     no_index = F.lit(None).cast("int")
     stages = [
-        stage(hits.filter(off == 0), 0, "line_no_exact_0based", 100),
-        stage(nearest(off), 1, "window_search", 95),
-        stage(hits.filter(off_one == 0), 2, "line_no_exact_1based", 100),
-        stage(nearest(off_one), 3, "window_search", 95),
-        stage(counted.filter("hits = 1"), 4, "global_exact", 90),
+        stage(groups.filter("zero.d = 0").withColumn("line_index", F.col("zero.i")), 0, "line_no_exact_0based", 100),
+        stage(groups.filter("zero is not null").withColumn("line_index", F.col("zero.i")), 1, "window_search", 95),
+        stage(groups.filter("one.d = 0").withColumn("line_index", F.col("one.i")), 2, "line_no_exact_1based", 100),
+        stage(groups.filter("one is not null").withColumn("line_index", F.col("one.i")), 3, "window_search", 95),
+        stage(groups.filter("hits = 1").withColumn("line_index", F.col("any")), 4, "global_exact", 90),
         stage(_context_ratio(many, lines, records), 5, "prompt_disambiguation", 80),
-        stage(many.groupBy("rec", "file", "rank").agg(F.lit(1).alias("one")).withColumn("line_index", no_index), 9, "global_exact", 30, "unmatched_ambiguous", "multiple_matches"),
+        stage(groups.filter("hits > 1").withColumn("line_index", no_index), 9, "global_exact", 30, "unmatched_ambiguous", "multiple_matches"),
     ]
     if opts.fuzzy:
         fuzzy = fuzzy_matches(wanted, lines)
@@ -127,7 +132,7 @@ def match_records(records: DataFrame, lines: DataFrame, opts: MatchOptions = Mat
     columns = ["status", "resolved_path", "line_index", "strategy", "confidence", "reason"]
     best = every.groupBy("rec").agg(F.min_by(F.struct(*columns), order).alias("m")).select("rec", *[F.col(f"m.{c}").alias(c) for c in columns])
     first = files.groupBy("rec").agg(F.min_by("file", "rank").alias("first_file"))
-    told = every_record.join(best, "rec", "left").join(first, "rec", "left")
+    told = every_record.join(best.hint("merge"), "rec", "left").join(first.hint("merge"), "rec", "left")
     no_file = F.col("first_file").isNull()
     return told.select(
         "rec", "task_id",

@@ -12,6 +12,7 @@ from millrace.functions.text import code_tokens
 from millrace.operators import bm25, codefix, convert, matching, modelfilter, tensors
 from millrace.plans import queries
 from millrace.sources import readers, sinks
+from millrace.storage import materialize
 from millrace.streaming import events
 
 
@@ -176,6 +177,16 @@ def test_items_of_one_task_are_matched_each_by_itself(spark):
     assert sorted(r.line_index for r in masks["line_mask"].collect()) == [0, 2] and {r.fp for r in masks["file_prints"].collect()} == {"one", "three"}
 
 
+def test_matching_broadcasts_no_table_that_repeated_texts_make_small(spark):
+    n = 3000
+    lines = materialize(spark.range(n).select(F.concat(F.lit("F"), "id", F.lit(".java")).alias("file"), F.posexplode(F.split(F.lit("same\nother\nsame"), "\n")).alias("line_index", "line")), "lines")
+    records = materialize(spark.range(n).select(F.col("id").cast("string").alias("task_id"), F.lit("other").alias("prompt"), F.lit("same").alias("ground_truth"), F.array(F.concat(F.lit("F"), "id", F.lit(".java"))).alias("fpath_tuple"), F.lit(None).cast("int").alias("line_no")), "records")
+    got = matching.match_records(records, lines)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and plan.count("FileScan") < 20
+    assert got.groupBy("status", "line_index").count().collect() == [("unmatched_ambiguous", None, n)]
+
+
 def test_prompt_tails_follow_splitlines(spark):
     lines = spark.createDataFrame([("A.java", i, f"{x}\n") for i, x in enumerate(["a", "b", "x", "c", "d", "e", "f", "g", "h", "i", "j", "k", "l", "m", "n", "x", "o"])], "file string, line_index int, line string")
     for prompt, want in (("l\r\nm\r\nn", 15), ("a\nb\n", 2), ("\n\n", None)):
