@@ -209,6 +209,18 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
     return out
 
 
+def among(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """The rows whose rid some has, without a shuffle of rows: both rids are marked in bitmaps of 4 KB for 32 768 numbers, which are broadcast.
+
+    rid is monotonically_increasing_id(), dense in each partition of its table: an eighth of a byte for each row and 4 KB for each partition.
+    """
+    bitmaps = some.groupBy(F.bitmap_bucket_number("rid").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("rid")).alias("bits"))
+    place = F.bitmap_bit_position("rid")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("bucket", F.bitmap_bucket_number("rid")).join(F.broadcast(bitmaps), "bucket")
+    return marked.filter(F.call_function("shiftright", byte, F.pmod(place, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1).drop("bucket", "bits")
+
+
 SIGNATURE = "n long, c1 long, c2 long, bands array<long>, marks binary"
 
 
@@ -276,8 +288,8 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     hubs = materialize(pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "dart-hubs")
     copies = F.ceil(F.col("n") / PAIRS).cast("int")
     salted = join_groups(pairs, hubs, ["v"], "n", max(1, pairs.count())).select("u", "v", F.pmod(F.xxhash64("u"), copies).cast("int").alias("salt"))
-    spread = hubs.join(texts, hubs["v"] == texts["rid"]).select("v", F.col("text").alias("text_v"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
-    full = salted.join(texts, salted["u"] == texts["rid"]).select("u", "v", "salt", F.col("text").alias("text_u"))
+    spread = among(texts, hubs.select(F.col("v").alias("rid"))).join(hubs, F.col("v") == F.col("rid")).select("v", F.col("text").alias("text_v"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
+    full = among(texts, pairs.select(F.col("u").alias("rid"))).join(salted, F.col("u") == F.col("rid")).select("u", "v", "salt", F.col("text").alias("text_u"))
     joined = full.join(spread, ["v", "salt"]).select("u", "v", "text_u", "text_v")
     return joined.mapInArrow(_verified, "u long, v long")
 
@@ -348,7 +360,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     worded = rows.filter("n > 0")
     sets = materialize(worded.groupBy("c1", "c2").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"), F.max(F.struct(F.col("row")[id_col].alias("id"), "rid")).alias("top")), "dart-sets")
-    nodes = sets.select("rid").join(worded.select("rid", "bands", "n"), "rid")
+    nodes = among(worded.select("rid", "bands", "n"), sets.select("rid"))
     keyed = materialize(nodes.select("rid", "n", F.posexplode("bands").alias("band", "value")).select("rid", "n", "band", F.xxhash64("band", "value").alias("key")), "dart-keys")
     buckets = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words")).filter("size > 1"), "dart-buckets")
     total = max(1, keyed.count())
@@ -360,7 +372,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranked = members.join(weight, "rid")
     leaders = materialize(ranked.groupBy("key").agg(F.max(F.struct("weight", F.col("rid").alias("r"))).alias("top"), F.first("size").alias("size")).select("key", F.col("top.r").alias("leader"), "size"), "dart-leaders")
     pairs = join_groups(members.select("key", "rid"), leaders, ["key"], "size", total).filter("rid <> leader").select(F.col("rid").alias("u"), F.col("leader").alias("v")).distinct()
-    texts = materialize(weight.select("rid").join(worded.select("rid", F.col("row")[text_col].alias("text")), "rid"), "dart-texts")
+    texts = materialize(among(worded.select("rid", F.col("row")[text_col].alias("text")), weight.select("rid")), "dart-texts")
     links = materialize(_verify(pairs, texts), "dart-links")
     labels = components(links)
 
@@ -375,7 +387,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = spread.select("key", "band", "rid", "label", "marks", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
     block = "key long, band int, rid long, label long, marks binary, side int, i int, j int"
     likely = materialize(spread.groupBy("key", "i", "j").applyInArrow(_block_nodes, block), "dart-likely")
-    sent = likely.join(texts, "rid").select("key", "band", "rid", "label", "marks", "side", "i", "j", "text")
+    sent = likely.join(among(texts, likely.select("rid")), "rid").select("key", "band", "rid", "label", "marks", "side", "i", "j", "text")
     more = materialize(sent.groupBy("key", "i", "j").applyInArrow(_block_links, "u long, v long"), "dart-links-2")
     final = components(links.unionByName(more))
 

@@ -161,6 +161,16 @@ def test_query_against_brute_force(spark, sf):
     check(m.op6_dart_minhash(spark, f"/root/testdata/{sf}").collect(), rows)
 
 
+def test_rows_are_found_by_bitmaps_without_a_shuffle_of_rows(spark):
+    rows = m.materialize(spark.range(0, 70000, 1, 3).select(F.monotonically_increasing_id().alias("rid"), F.col("id").alias("x")), "rows")
+    some = rows.filter("x % 3 = 1 or x = 69999").select("rid")
+    got = m.among(rows, some)
+    assert got.columns == ["rid", "x"] and {r.x for r in got.collect()} == {x for x in range(70000) if x % 3 == 1 or x == 69999}
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
+    assert not m.among(rows, some.limit(0)).take(1)
+
+
 def test_long_texts_are_hashed_in_slices(monkeypatch):
     rng = random.Random(8)
     for text in ("ab cd  ef", "x" * 500, "é" * 333 + " y", " " * 70, "one " * 40 + "z" * 90 + " two", "".join(rng.choice("ab ,é") for _ in range(3000))):
