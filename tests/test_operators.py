@@ -143,6 +143,40 @@ def test_scores_against_a_loop(spark):
     assert {(r.token, r.doc): r.tf for r in bm25.postings(docs).collect()} == {(r.token, r.doc): r.tf for r in bm25.counted_postings(docs).collect()}
 
 
+def test_best_are_the_first_of_all_scores(spark, monkeypatch):
+    rng = random.Random(3)
+
+    def bag(size):
+        return [rng.choice("abcdefgh") if rng.random() < 0.7 else f"r{rng.randrange(60)}" for _ in range(rng.randrange(size))]
+
+    rows = [((i % 7, i), bag(6)) for i in range(300)] + [((i % 7, i), ["a", "b", "c"]) for i in range(300, 350)]
+    docs = materialize(spark.createDataFrame(rows, "doc_id struct<f: long, i: long>, tokens array<string>"), "best-docs")
+    asked = spark.createDataFrame([(i, bag(9)) for i in range(50)], "query_id long, tokens array<string>")
+    twice = docs.unionByName(docs.filter("doc_id.i < 30")).unionByName(spark.createDataFrame([((1, 8), ["a", "b", "x"])], docs.schema))
+    monkeypatch.setattr(bm25, "COMMON", 30)
+    monkeypatch.setattr(bm25, "COMMON_SHARE", 10**6)
+
+    def told(found):
+        return sorted((r["query"], r["rank"], tuple(r["doc"]), r["score"], r["first"]) for r in found.collect())
+
+    want = told(bm25.top_k(bm25.scores(asked, docs), 20))
+    assert told(bm25.best(asked, docs, 20)) == want == told(bm25.best_by_profile(asked, docs, 20)) and len(want) > 800
+    assert told(bm25.best(asked, docs, 3, 6)) == told(bm25.top_k(bm25.scores(asked, docs), 3, 6))
+    assert told(bm25.best(asked, twice, 20)) == told(bm25.top_k(bm25.scores(asked, twice), 20)) == told(bm25.best_by_profile(asked, twice, 20))
+
+
+def test_searches_make_no_row_for_each_pair(spark):
+    n = 2000  # every query shares a token with every document: 50 * 2000 pairs
+    docs = materialize(spark.range(n).select(F.col("id").alias("doc_id"), F.array(F.lit("call"), F.col("id").cast("string")).alias("tokens")), "pair-docs")
+    asked = spark.range(50).select(F.col("id").alias("query_id"), F.array(F.lit("call"), (F.col("id") + 7).cast("string")).alias("tokens"))
+    for search in (bm25.best, bm25.best_by_profile):
+        found = search(asked, docs, 2)
+        assert [(r["query"], r["doc"]) for r in found.filter("rank = 1").orderBy("query").collect()] == [(i, i + 7) for i in range(50)]
+        assert {r["doc"] for r in found.filter("rank = 2").collect()} == {0}
+        sizes = [spark.read.parquet(f).count() for f in {x.rsplit("/", 1)[0] for x in found.inputFiles()}]
+        assert max(sizes) < 50 * n / 10
+
+
 def test_retrieval_filters_and_budget(spark):
     rows = [(i, f"F{i}", i * 10, i * 10 + 1, [f"word common {i}\n", "x\n"], f"word common {i}\nx\n") for i in range(8)]
     chunks = spark.createDataFrame(rows, "chunk_id int, file string, start int, end int, lines array<string>, text string").withColumn("tokens", code_tokens(F.col("text")))
