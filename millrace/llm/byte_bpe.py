@@ -1,9 +1,10 @@
 """Byte-level BPE by DuckDB recursive queries, one database in each task.
 
-Each batch of documents is cut into pieces by the tokenizer's pattern; pieces not met before go to DuckDB as rows of
-(piece, position, token). A recursive query joins neighbours with the merge table and contracts the leftmost pair of the
-least rank of each piece until nothing merges. The ids of a document are decoded by an ordered aggregation over the
-positions. Work goes in slices of a bounded number of tokens, so memory does not grow with a text.
+Each batch of documents is cut into pieces by the tokenizer's pattern; pieces not met before go to DuckDB, a row with the
+list of its tokens each. A recursive query contracts the leftmost pair of the least rank of each list and joins the two new
+pairs with the merge table, until nothing merges. So a step makes one row for a piece, not one for each token. Runs of ids
+not met before are decoded by an ordered aggregation over the positions; a document's ids are its runs, one after another,
+and so are its bytes. Work goes in slices of a bounded number of tokens, so memory does not grow with a text.
 
 A contraction at a time is square in a piece's length, so a piece of more than SQL_BYTES bytes is first cut where no
 token of the vocabulary can lie across, which changes nothing: no pair over such a place ever has a rank. Its parts are
@@ -29,34 +30,32 @@ from millrace.llm.common import read
 
 #: Longer pieces are cut where no token lies across; what cannot be cut so is contracted in arrays.
 SQL_BYTES = 128
-#: Encoded pieces that a task remembers, and tokens of one decoding query.
+#: Encoded pieces that a task remembers with their ids and what these decode to, and tokens of one decoding query.
 MEMORY_PIECES = 350_000
 SLICE_TOKENS = 250_000
 SLICE_CHARS = 1_500_000
 
-#: A row is a token: spot = piece << 10 | first byte, e = the byte behind it. A pair's key is rank << 30 | first byte of the
-#: left token << 20 | first byte of the right << 10 | byte behind both, so that the least key is the leftmost pair of the
-#: least rank.
-MERGE = """
-WITH RECURSIVE step(spot, e, t, live) AS (
-  SELECT spot, e, t, true FROM start
+#: The rank of a pair that does not merge: above all others.
+NEVER = (1 << 21) - 1
+#: A token in a list is rank << 29 | first byte << 21 | id, the rank that of the pair it begins, so that the least is the
+#: leftmost pair of the least rank. A list has END before and behind its tokens, which merges with nothing.
+TOKEN = (1 << 21) - 1
+END = NEVER << 29 | 1 << 20
+MERGE = f"""
+WITH RECURSIVE step(w, l, least) AS (
+  SELECT w, l, list_min(l) FROM start
   UNION ALL
-  SELECT s.spot, CASE WHEN s.spot & 1023 = (k >> 20) & 1023 THEN k & 1023 ELSE s.e END,
-         CASE WHEN s.spot & 1023 = (k >> 20) & 1023 THEN k >> 30 ELSE s.t END, k IS NOT NULL
-  FROM step s LEFT JOIN (
-    SELECT l.spot >> 10 AS w, min((m.rank << 30) | ((l.spot & 1023) << 20) | (l.e << 10) | r.e) AS k
-    FROM step l JOIN step r ON r.spot = (l.spot >> 10 << 10) + l.e JOIN merges m ON m.pair = (l.t << 20) | r.t
-    WHERE l.live GROUP BY 1
-  ) b ON b.w = s.spot >> 10
-  WHERE s.live AND (k IS NULL OR s.spot & 1023 <> (k >> 10) & 1023)
+  SELECT w, l, list_min(l) FROM (
+    SELECT w, list_concat(l[:i - 2], [(coalesce(x.rank, {NEVER}) << 29) | (l[i - 1] & {(1 << 29) - 1}),
+                                      (coalesce(y.rank, {NEVER}) << 29) | (least & {255 << 21}) | made], l[i + 2:]) AS l
+    FROM (
+      SELECT w, l, least, least >> 29 AS made, list_position(l, least) AS i FROM step WHERE least < {NEVER << 29}
+    ) s LEFT JOIN merges x ON x.pair = ((l[i - 1] & {TOKEN}) << 21) | made LEFT JOIN merges y ON y.pair = (made << 21) | (l[i + 2] & {TOKEN})
+  )
 )
-SELECT spot >> 10 AS w, list(t ORDER BY spot) AS ids FROM step WHERE NOT live GROUP BY 1
+SELECT w, l FROM step WHERE least >= {NEVER << 29}
 """
-DECODE = "SELECT d, string_agg(v.chars, '' ORDER BY i.p) AS chars FROM ids i JOIN vocab v USING (id) GROUP BY d"
-
-
-#: The rank of a pair that does not merge.
-NEVER = np.iinfo(np.int32).max
+DECODE = "SELECT string_agg(v.chars, '' ORDER BY i.p) FROM ids i JOIN vocab v USING (id)"
 
 
 def _sorted(keys: list[int], values: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,13 +129,16 @@ class Coder:
     def __init__(self, ranks: Ranks):
         self.ranks = ranks
         self.find = regex.compile(ranks.pattern)
-        self.memory: dict[str, bytes] = {}
+        self.memory: dict[str, tuple[bytes, bytes]] = {}  # a piece's ids, and what these decode to
         self.again: set[str] = set()  # pieces that more than one slice had
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
-        self._table("merges", {"pair": ranks.pair, "rank": ranks.rank.astype(np.int64)})
+        self._table("merges", {"pair": (ranks.pair >> 20 << 21) | (ranks.pair & ((1 << 20) - 1)), "rank": ranks.rank.astype(np.int64)})
         tokens = list(ranks.ids)
         self._table("vocab", {"id": np.array(list(ranks.ids.values()), dtype=np.int32), "chars": pa.array([t.decode("latin-1") for t in tokens])})
+        self.lengths = np.zeros(max(ranks.ids.values()) + 1, dtype=np.int64)
+        self.lengths[list(ranks.ids.values())] = [len(t) for t in tokens]
         self.byte_ids = np.array([ranks.ids[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.byte_pairs = ranks.ranks_of(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256)).astype(np.int64).reshape(256, 256)
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("incoming", pa.table(columns))
@@ -183,35 +185,41 @@ class Coder:
     def _merged(self, parts: list[bytes]) -> list[bytes]:
         """The ids of short pieces by the recursive query."""
         out = [b""] * len(parts)
-        for start in range(0, len(parts), 20_000):
-            part = parts[start : start + 20_000]
+        for start in range(0, len(parts), 30_000):
+            part = parts[start : start + 30_000]
             sizes = np.array([len(raw) for raw in part])
-            first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ends = np.cumsum(sizes)
             flat = np.frombuffer(b"".join(part), dtype=np.uint8)
-            place = np.arange(len(flat)) - first
-            rows = pa.table({"spot": (np.repeat(np.arange(len(part)), sizes) << 10) | place, "e": place + 1, "t": self.byte_ids[flat].astype(np.int64)})
-            self.db.register("start", rows)
+            place = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
+            rank = np.r_[self.byte_pairs[flat[:-1], flat[1:]], NEVER]
+            rank[ends - 1] = NEVER
+            tokens = np.full(len(flat) + 2 * len(part), END, dtype=np.int64)
+            tokens[np.arange(len(flat)) + 2 * np.repeat(np.arange(len(part)), sizes) + 1] = (rank << 29) | (place << 21) | self.byte_ids[flat]
+            offsets = np.r_[0, ends + 2 * np.arange(1, len(part) + 1)].astype(np.int32)
+            self.db.register("start", pa.table({"w": np.arange(len(part)), "l": pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))}))
             got = self.db.sql(MERGE).to_arrow_table()
             self.db.unregister("start")
-            lists = got.column("ids").combine_chunks()
-            values, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes(), (lists.offsets.to_numpy() * 4).tolist()
+            lists = got.column("l").combine_chunks()
+            values, offsets = (lists.values.to_numpy(zero_copy_only=False) & TOKEN).astype("<u4").tobytes(), (lists.offsets.to_numpy() * 4).tolist()
             for w, a, b in zip(got.column("w").to_pylist(), offsets, offsets[1:]):
-                out[start + w] = values[a:b]
+                out[start + w] = values[a + 4 : b - 4]
         return out
 
-    def learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """Encodes pieces that memory lacks; long ones are returned and not remembered."""
-        ids, names, todo, long = self.ranks.ids, [], [], {}
+    def learn(self, pieces: Iterable[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Encodes pieces that memory lacks and decodes their ids; long ones are returned and not remembered."""
+        ids, names, runs, short, todo, long = self.ranks.ids, [], [], [], [], []
         for piece in pieces:
             raw = piece.encode()
             if (whole := ids.get(raw)) is not None:
-                self.memory[piece] = whole.to_bytes(4, "little")
+                names.append(piece), runs.append(whole.to_bytes(4, "little"))
             elif len(raw) > SQL_BYTES:
-                long[piece] = self._long(raw)
+                long.append(piece)
             else:
-                names.append(piece), todo.append(raw)
-        self.memory.update(zip(names, self._merged(todo), strict=True))
-        return long
+                short.append(piece), todo.append(raw)
+        runs += self._merged(todo)
+        self.memory.update(zip(names + short, zip(runs, self.decode(runs), strict=True), strict=True))
+        runs = [self._long(piece.encode()) for piece in long]
+        return dict(zip(long, zip(runs, self.decode(runs), strict=True), strict=True))
 
     def cut(self, text: str) -> Iterator[list[str]]:
         """The text's pieces, in slices."""
@@ -223,9 +231,15 @@ class Coder:
                 yield part
 
     def encode(self, texts: Iterable[str]) -> Iterator[tuple[int, bytes]]:
-        """(number of the text, ids as little-endian unsigned 32-bit integers) of each slice of each text, in order.
+        """(number of the text, ids as little-endian unsigned 32-bit integers) of each slice of each text, in order."""
+        for at, ids, _ in self.roundtrip(texts):
+            yield at, ids
+
+    def roundtrip(self, texts: Iterable[str]) -> Iterator[tuple[int, bytes, bytes]]:
+        """As encode, and the bytes that the ids decode to.
 
-        Slices are gathered to about SLICE_CHARS characters, so that one query encodes all their new pieces.
+        Slices are gathered to about SLICE_CHARS characters, so that one query encodes all their new pieces and one
+        decodes all their new ids.
         """
         held: list[tuple[int, list[str]]] = []
         size = 0
@@ -237,7 +251,7 @@ class Coder:
                 held, size = [], 0
         yield from self._joined(held)
 
-    def _joined(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, bytes]]:
+    def _joined(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, bytes, bytes]]:
         distinct = set().union(*(pieces for _, pieces in held))
         known = distinct & self.memory.keys()
         self.again |= known
@@ -247,24 +261,23 @@ class Coder:
         long = self.learn(distinct - known)
         for at, pieces in held:
             if long and not long.keys().isdisjoint(pieces):
-                yield at, b"".join(long[x] if x in long else self.memory[x] for x in pieces)
+                both = [long[x] if x in long else self.memory[x] for x in pieces]
             else:
-                yield at, b"".join(map(self.memory.__getitem__, pieces))
-
-    def decode(self, slices: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each slice of ids."""
-        sizes = np.array([len(s) for s in slices])
-        if not sizes.sum():
-            return [b""] * len(slices)
-        first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        rows = {"d": np.repeat(np.arange(len(slices), dtype=np.int32), sizes), "p": (np.arange(sizes.sum()) - first).astype(np.int32), "id": np.concatenate(slices).astype(np.int32)}
-        self.db.register("ids", pa.table(rows))
-        out = self.db.sql(DECODE).to_arrow_table()
-        self.db.unregister("ids")
-        result = [b""] * len(slices)
-        for d, chars in zip(out.column("d").to_pylist(), out.column("chars"), strict=True):
-            result[d] = chars.as_py().encode("latin-1")
-        return result
+                both = list(map(self.memory.__getitem__, pieces))
+            yield at, b"".join([ids for ids, _ in both]), b"".join([raw for _, raw in both])
+
+    def decode(self, runs: list[bytes]) -> list[bytes]:
+        """The bytes of each run of ids, by queries of SLICE_TOKENS tokens; a run has as many as its tokens together."""
+        ids = np.frombuffer(b"".join(runs), dtype="<u4").astype(np.int32)
+        raw = []
+        for start in range(0, len(ids), SLICE_TOKENS):
+            part = ids[start : start + SLICE_TOKENS]
+            self.db.register("ids", pa.table({"p": np.arange(len(part), dtype=np.int32), "id": part}))
+            raw.append(self.db.sql(DECODE).fetchall()[0][0].encode("latin-1"))
+            self.db.unregister("ids")
+        whole = b"".join(raw)
+        ends = np.r_[0, np.cumsum(self.lengths[ids])][np.cumsum([0] + [len(x) // 4 for x in runs])].tolist()
+        return [whole[a:b] for a, b in itertools.pairwise(ends)]
 
 
 def _roundtrip(ranks, full: bool):
@@ -278,28 +291,12 @@ def _roundtrip(ranks, full: bool):
             tokens = np.zeros(n, dtype=np.int64)
             sums = [(hashlib.sha256(), hashlib.sha256()) for _ in range(n)]
             whole: list[tuple[list, list]] = [([], []) for _ in range(n)]
-            waiting: list[tuple[int, np.ndarray]] = []
-            held = 0
-
-            def flush() -> None:
-                for (at, ids), raw in zip(waiting, coder.decode([x for _, x in waiting]), strict=True):
-                    sums[at][1].update(raw)
-                    if full:
-                        whole[at][0].append(ids), whole[at][1].append(raw)
-                waiting.clear()
-
             texts = (x or "" for start in range(0, n, 64) for x in column.slice(start, 64).to_pylist())
-            for at, raw in coder.encode(texts):
-                sums[at][0].update(raw)
-                ids = np.frombuffer(raw, dtype="<u4")
-                tokens[at] += len(ids)
-                for start in range(0, len(ids), SLICE_TOKENS):
-                    waiting.append((at, ids[start : start + SLICE_TOKENS]))
-                    held += len(waiting[-1][1])
-                    if held >= SLICE_TOKENS:
-                        flush()
-                        held = 0
-            flush()
+            for at, ids, raw in coder.roundtrip(texts):
+                tokens[at] += len(ids) // 4
+                sums[at][0].update(ids), sums[at][1].update(raw)
+                if full:
+                    whole[at][0].append(np.frombuffer(ids, dtype="<u4")), whole[at][1].append(raw)
             arrays = [batch.column("id"), pa.array(tokens), pa.array([a.hexdigest() for a, _ in sums], pa.string()), pa.array([b.hexdigest() for _, b in sums], pa.string())]
             if full:
                 arrays += [pa.array([np.concatenate(a).astype(np.int64) if a else np.zeros(0, np.int64) for a, _ in whole], pa.list_(pa.int64())), pa.array([b"".join(b) for _, b in whole], pa.binary())]

@@ -3,10 +3,13 @@ import hashlib
 import random
 import subprocess
 import sys
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -69,6 +72,40 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, tim
     assert int(got[0]) < 1500 and float(got[1]) < 90, got
 
 
+class Counting:
+    """A DuckDB connection that counts the rows of recursive queries and the ids of decoding ones."""
+
+    def __init__(self, db):
+        self.db, self.steps, self.ids = db, 0, 0
+
+    def __getattr__(self, name):
+        return getattr(self.db, name)
+
+    def sql(self, query):
+        if query == byte_bpe.MERGE:
+            self.steps += self.db.sql(query[: query.rindex("SELECT")] + "SELECT count(*) FROM step").fetchall()[0][0]
+        elif query == byte_bpe.DECODE:
+            self.ids += self.db.sql("SELECT count(*) FROM ids").fetchall()[0][0]
+        return self.db.sql(query)
+
+
+def test_a_step_makes_one_row_for_a_piece_and_repeated_runs_are_decoded_once(monkeypatch):
+    path, pattern = byte_bpe.tokenizer()
+    ranks, other, rng, made = byte_bpe.Ranks.load(path, pattern), reference(), random.Random(5), []
+    connect = byte_bpe.duckdb.connect
+    monkeypatch.setattr(byte_bpe.duckdb, "connect", lambda *a, **k: made.append(Counting(connect(*a, **k))) or made[-1])
+    alphabets = ("etaoinshr", "abcdefghijklmnopqrstuvwxyz", "aA", "éèêàß", "इसकाहैमें", "的一是不了人我在", "-=", "0123456789")
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 40))) for letters in alphabets for _ in range(200)]
+    texts = [" ".join(rng.sample(words, len(words))) for _ in range(6)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["id", "text"])
+    (got,) = byte_bpe._roundtrip(types.SimpleNamespace(value=ranks), True)(iter([batch]))
+    assert got.column("ids").to_pylist() == [other.encode_ordinary(t) for t in texts]
+    assert got.column("decoded").to_pylist() == [t.encode() for t in texts]
+    pieces = {p: len(other.encode_ordinary(p)) for t in texts for p in regex.findall(pattern, t)}
+    assert 0 < made[0].steps <= sum(len(p.encode()) - n + 1 for p, n in pieces.items())
+    assert 0 < made[0].ids <= sum(pieces.values())
+
+
 def check_shards(rows, texts, shards, slack):
     assert len(rows) == len(texts)
     sizes, slots = collections.Counter(), collections.defaultdict(list)
