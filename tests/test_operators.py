@@ -5,11 +5,12 @@ import random
 import urllib.error
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions.text import code_tokens
-from millrace.operators import bm25, codefix, convert, matching, modelfilter, tensors
+from millrace.functions.text import code_tokens, code_tokens_arrow
+from millrace.operators import bm25, codefix, convert, matching, modelfilter, samples, tensors
 from millrace.plans import queries
 from millrace.sources import readers, sinks
 from millrace.storage import materialize
@@ -165,6 +166,36 @@ def test_best_are_the_first_of_all_scores(spark, monkeypatch):
     assert told(bm25.best(asked, twice, 20)) == told(bm25.top_k(bm25.scores(asked, twice), 20)) == told(bm25.best_by_profile(asked, twice, 20))
 
 
+def test_best_over_many_blocks_shuffles_no_document(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["Alpha", "betaGamma", "x_y", "delta.", "the", "\u00e9t\u00e9", "a\x01b", "IOError", "zz9Top"] + [f"w{i}" for i in range(80)]
+
+    def text(size):
+        return " ".join(rng.choice(words[: rng.choice((9, 89))]) for _ in range(rng.randrange(size)))
+
+    docs = materialize(spark.createDataFrame([(i, text(30)) for i in range(400)] + [(i, "Alpha betaGamma w1") for i in range(400, 460)], "doc_id long, text string").repartition(3), "block-docs")
+    asked = spark.createDataFrame([(i, text(40)) for i in range(60)], "query_id long, text string").select("query_id", code_tokens(F.col("text")).alias("tokens"))
+    told = docs.withColumn("tokens", code_tokens(F.col("text")))
+    plans = []
+    monkeypatch.setattr(bm25, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or materialize(df, name))
+    for name, value in {"DOC_BLOCK": 50, "QUERY_BLOCK": 25, "DENSE": 4, "OUTER": 20, "PAIRS": 100}.items():
+        monkeypatch.setattr(bm25, name, value)
+    got = [sorted(map(tuple, found.select("query", "doc", "score", "first", "rank").collect())) for found in (bm25.best(asked, docs, 7, tokens_col=None), bm25.best(asked, told, 7), bm25.top_k(bm25.scores(asked, told), 7))]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 300
+    searches = [plan for name, plan in plans if name == "bm25-best"]
+    assert len(searches) >= 6 and not any("Exchange" in x for x in searches)
+
+
+def test_tokens_and_chunks_in_python_are_those_of_the_columns(spark):
+    texts = ["", None, "getHTTPName_x.y return\x01Null a1B", "\u00c9tat \u0130x the\tFOO__bar\x0bq\x85r\u2028s", "a\r\nb\rc\n" * 25, "\n" * 50, "x\n" * 30, "x\n" * 31]
+    df = spark.createDataFrame(list(enumerate(texts)), "path int, text string")
+    want = [r.t for r in df.select(code_tokens(F.col("text")).alias("t"), "path").orderBy("path").collect()]
+    assert code_tokens_arrow(pa.array(texts)).to_pylist() == want
+    for size, overlap in ((30, 10), (7, 0), (3, 5), (0, 2)):
+        cut = [sorted(map(tuple, x.select("file", "start", "end", "text").collect())) for x in (samples.text_chunks(df, size, overlap), samples.line_chunks(df, size, overlap))]
+        assert cut[0] == cut[1] and cut[0]
+
+
 def test_searches_make_no_row_for_each_pair(spark):
     n = 2000  # every query shares a token with every document: 50 * 2000 pairs
     docs = materialize(spark.range(n).select(F.col("id").alias("doc_id"), F.array(F.lit("call"), F.col("id").cast("string")).alias("tokens")), "pair-docs")
